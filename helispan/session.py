@@ -56,3 +56,19 @@ def drop_tables(spark: SparkSession) -> None:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/helispan")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, as its Python functions import it."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='helispan-')}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
