@@ -77,8 +77,12 @@ def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, np.nda
         i = j
 
 
-def hashed_words(off: np.ndarray, raw: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some rows, and the number of the first word of each row (and the total)."""
+def hashed_words(off: np.ndarray, raw: np.ndarray, table: np.ndarray = WORDS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some rows, and the number of the first word of each row (and the total).
+
+    With ``prefixes``, in bytes, the hashes are a table with a column for each as well, which holds 0
+    for words that are not longer.
+    """
     value = table[raw]
     inside = value != 0
     before = np.empty(len(raw), dtype=bool)
@@ -97,6 +101,13 @@ def hashed_words(off: np.ndarray, raw: np.ndarray, table: np.ndarray = WORDS) ->
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(value * up[: len(raw)], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
+    if prefixes:
+        columns = [h]
+        for k in prefixes:
+            stop = np.minimum(start + k, end)
+            part = mix((total[stop] - total[start]) * down[start] + np.uint64(k * int(_ODD) + 1 & (1 << 64) - 1))
+            columns.append(np.where(end - start > k, part, np.uint64(0)))
+        h = np.stack(columns, axis=1)
     return h, np.searchsorted(start, off)
 
 
