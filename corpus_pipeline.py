@@ -1,10 +1,14 @@
-"""The corpus pipeline: documents are filtered, deduplicated, redacted, mixed and packed."""
+"""The corpus pipeline: documents are filtered, deduplicated, redacted, mixed and packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helispan.llm import quality
+from helispan.llm import jaccard, mixing, packing, quality, secrets
 from helispan.session import materialize
 
 
@@ -13,11 +17,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: 3-word shingles, similarity of 0.9 or more."""
+    return jaccard.deduplicate(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come near their target weights."""
+    return mixing.repeat_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of binary lengths, each a sequence, with a checksum of their ids."""
+    return packing.digest(packing.pack(docs))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("packing", pack),
 ]
 
-#: SQL cannot express the stages' tokenizer; tests compare them with brute force.
+#: SQL cannot express the tokenizer of the last stage; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
