@@ -34,3 +34,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from helispan.plans import coded, graphs, ranked, sequenced  # noqa: E402, F401  the modules that register queries
