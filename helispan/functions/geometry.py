@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths below this count as none.
@@ -66,9 +66,15 @@ def dihedral(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(size > EPS, F.when(dot(n1, v3) < 0, -angle).otherwise(angle))
 
 
-def axis_angle(centre1: Column, direction1: Column, centre2: Column, direction2: Column) -> Column:
-    """Relative angle of two axes about the line between their closest points (F15); null for parallel axes."""
+def axis_angles(df: DataFrame, centre1: str, direction1: str, centre2: str, direction2: str, name: str) -> DataFrame:
+    """Adds the relative angle of two axes about the line between their closest points (F15); null for parallel axes.
+
+    The points are columns of their own on the way: one expression for all would hold each many times over.
+    """
     one = F.lit(1.0)
-    near = closest(centre1, along(centre1, one, direction1), centre2, along(centre2, one, direction2))
-    angle = dihedral(along(near["pa"], one, direction1), near["pa"], near["pb"], along(near["pb"], one, direction2))
-    return F.when(near.isNotNull(), angle)
+    c1, d1, c2, d2 = map(F.col, (centre1, direction1, centre2, direction2))
+    d = df.withColumn("_b", along(c1, one, d1)).withColumn("_d", along(c2, one, d2))
+    d = d.withColumn("_near", closest(c1, F.col("_b"), c2, F.col("_d")))
+    d = d.withColumn("_p", along(F.col("_near.pa"), one, d1)).withColumn("_q", along(F.col("_near.pb"), one, d2))
+    angle = F.when(F.col("_near").isNotNull(), dihedral(F.col("_p"), F.col("_near.pa"), F.col("_near.pb"), F.col("_q")))
+    return d.withColumn(name, angle).drop("_b", "_d", "_near", "_p", "_q")
