@@ -39,14 +39,17 @@ ALLOWED = [
 ]
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,stop:int,kind:string,text:string>>"
-_NONE = F.array().cast(_SPAN)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
 def _spans(text: str, pattern: str, hint: str, kind: str) -> Column:
     """Matches of a pattern as (start, stop, kind, text), leftmost and not overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.length(x["piece"])
@@ -55,7 +58,7 @@ def _spans(text: str, pattern: str, hint: str, kind: str) -> Column:
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.when(F.rlike(text, F.lit(hint)), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(_NONE)
+    return F.when(F.rlike(text, F.lit(hint)), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(_none())
 
 
 def _cost(n: Column) -> Column:
