@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helispan.llm import counting, html, idfiles, jaccard, mixing, packing, quality, secrets, toxicity, vectors
+from helispan.llm import counting, html, idfiles, jaccard, mixing, packing, quality, secrets, sql, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents"))
+    return quality.assess(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
