@@ -18,11 +18,13 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
+
 PIECES = tokenizer_path("piece_bpe_32k.model")
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a worker keeps at least; it keeps up to twice as many.
-CACHE = 300_000
+CACHE = 100_000
 LONGEST_KEPT = 48
 
 
@@ -89,6 +91,8 @@ _COUNTERS: dict[str, Counter] = {}
 def count_tokens(docs: DataFrame, path: str = PIECES) -> DataFrame:
     """``doc_id, n_tokens`` per document. A null or empty text has none; repeated rows repeat; nothing is shuffled."""
 
+    bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _COUNTERS:
             _COUNTERS[path] = Counter(vocabulary(path))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
+
 #: Elements whose start and end divide blocks.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 SPACES = set("br td th img input wbr".split())
@@ -27,7 +29,7 @@ UNSEEN = set("script style noscript template title svg math iframe object select
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in names (class, id, role) of parts that are not the article.
 _ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|"
     r"sidebars?|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|header|footer|copyright|legal|comments?|commentlist|disqus|respond|replies|reply|"
     r"share|sharing|social|related|recommended|recommendations|trending|newsletter|subscribe|signup|login|search|tags|complementary|contentinfo|toc)(?=$|[\s_\d-])",
     re.IGNORECASE,
@@ -251,6 +253,8 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars. A null or empty page has an empty text; nothing is shuffled."""
 
+    bound_batches(pages.sparkSession)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]

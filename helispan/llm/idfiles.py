@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
 from helispan.llm.tokens import WORD_BPE, encoder
 from helispan.session import shared_path
 
@@ -109,6 +110,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, kind: str =
     A null or empty text is its end id alone; null ids come first; repeated ids are kept, in the order
     of their texts; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 

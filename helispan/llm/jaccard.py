@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
 from helispan.llm.text import hashed_words, mix, shingle_hashes, slices
 from helispan.operators.graph import connected_components
 from helispan.session import materialize
@@ -292,6 +293,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     equal sets link whatever their number; ``component_id`` is the least id of a component (nulls
     aside), and a row repeated counts as another document. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     sets = materialize(_sets(docs, k, percent), "sets")
     each = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("least").alias("least"), F.count("*").alias("copies"))
     near = connected_components(_candidates(sets)).withColumnRenamed("node", "sid")
@@ -301,6 +303,9 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     part = each.join(joined, "sid", "left").join(counts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lowest = part.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = part.join(lowest, "component").select("sid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = materialize(known, "known")
+    # Copies share a key; beyond the bound, the join is one whose hot partitions Spark splits.
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(known, "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

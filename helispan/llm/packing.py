@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
 from helispan.llm.tokens import BYTE_BPE, encoder
 
 MAX_LENGTH = 1024
@@ -36,6 +37,7 @@ def pack(docs: DataFrame, tokenizer: str = BYTE_BPE, kind: str = "byte", end_id:
     alone; a null ``doc_id`` stays null; repeated rows are packed again; other columns are ignored.
     Nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
 from helispan.llm.text import TERMS, hashed_words, slices
 
 HELD_OUT = 2
@@ -245,5 +246,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null ``doc_id`` is not held out; repeated rows repeat; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     scored = score(docs, *train(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

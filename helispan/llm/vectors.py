@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helispan.llm.arrow import bound_batches
 from helispan.operators.graph import connected_components
 from helispan.session import materialize
 
@@ -171,6 +172,7 @@ def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors link only with those of as many dimensions. Copies link with each other. A repeated row
     counts as another vector, but needs an id of its own to be told apart; other columns are ignored.
     """
+    bound_batches(vectors.sparkSession)
     r = float(np.sqrt(2 - 2 * cosine))
     keyed = materialize(_valid(vectors), "vectors")
     distinct = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))

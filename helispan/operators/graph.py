@@ -20,12 +20,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     written table, so a lost executor never replays earlier rounds. Null ends are ignored, and a
     self-loop makes an isolated node.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
-    e = materialize(
-        pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "edges",
-    )
+    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    pairs = materialize(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = pairs.where("u = v").select(F.col("u").alias("node"))
+    e = pairs.where("u <> v")
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
