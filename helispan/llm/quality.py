@@ -162,13 +162,15 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> DataF
 
 
 def filter_documents(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """The documents that ``assess`` keeps, with all their columns, in two reads of the texts."""
+    """The documents that ``assess`` keeps, with all their columns.
+
+    They are written once beside their features, which cost far more than a copy of the texts, so that
+    the references and the verdicts need no second look at the words.
+    """
     columns = docs.columns
     own = [f"_k{i}" for i in range(len(columns))]
     d = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(columns, own, strict=True)], F.col("text").alias("text"))
     lang_of = own[columns.index(lang)]
-    references = language_references(_histograms(docs, [lang]).select(lang, "n_words", _share("_c", "_n").alias("_c"), _share("_v", "n_words").alias("_v")), lang)
-    # The row number is not deterministic, which keeps the filter above the features: pushed below
-    # them, it would repeat their expressions many times over.
-    d = _verdict(quality_features(d, own), references, lang_of).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    return d.select(*[F.col(a).alias(c) for a, c in zip(own, columns, strict=True)])
+    features = materialize(quality_features(d, own), "quality")
+    kept = _verdict(features, language_references(features, lang_of), lang_of).where("kept")
+    return kept.select(*[F.col(a).alias(c) for a, c in zip(own, columns, strict=True)])
