@@ -5,7 +5,8 @@ Edges are rows ``by, src, dst``, each undirected edge once and without loops.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -98,11 +99,44 @@ def _curve(adjacent: np.ndarray) -> np.ndarray:
     return (inner + outer) / m - (degree / (2 * m)) ** 2 - (1 - degree / (2 * m)) ** 2
 
 
+def _top_of_modularity(adjacent: np.ndarray, half: int) -> int | None:
+    """Nodes before the cut at the best local maximum above 0 of the smoothed curve."""
+    q = _curve(adjacent)
+    smooth = q.copy()
+    for i in range(half, len(q) - half):
+        smooth[i] = q[i - half : i + half + 1].mean()
+    tops = [i for i in range(1, len(q) - 1) if smooth[i] > smooth[i - 1] and smooth[i] > smooth[i + 1] and smooth[i] > 0]
+    return max(tops, key=lambda i: (smooth[i], -i)) + 1 if tops else None
+
+
+def _least_ratio(adjacent: np.ndarray, limit: float) -> int | None:
+    """Nodes before the first cut of least ratio, if that is below the limit and not after the first node."""
+    n = len(adjacent)
+    k = np.arange(1, n)
+    crossing = np.array([adjacent[:c, c:].sum() for c in k])
+    ratio = crossing / k + crossing / (n - k)
+    best = int(ratio.argmin()) if n > 1 else 0
+    return best + 1 if best and ratio[best] < limit else None
+
+
 def chain_domains(nodes: DataFrame, edges: DataFrame, by: list[str], half: int = 3) -> DataFrame:
     """``by, node, domain``: chains cut again and again at the best local maximum of their smoothed curve.
 
+    Cuts need a maximum above 0.
+    """
+    return _divided(nodes, edges, by, partial(_top_of_modularity, half=half))
+
+
+def ratio_cut_domains(nodes: DataFrame, edges: DataFrame, by: list[str], limit: float = 5.0) -> DataFrame:
+    """``by, node, domain``: chains cut again and again where the ratio cut is least and below the limit."""
+    return _divided(nodes, edges, by, partial(_least_ratio, limit=limit))
+
+
+def _divided(nodes: DataFrame, edges: DataFrame, by: list[str], best: Callable[[np.ndarray], int | None]) -> DataFrame:
+    """Domains of chains, cut where ``best`` says.
+
     A chain is a structure's segments in order, so one task holds a structure; its rows are bounded by
-    a molecule. Cuts need a maximum above 0.
+    a molecule.
     """
     key = F.struct(*by)
     listed = nodes.select(key.alias("k"), "seq", "node", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(edges.select(key.alias("k"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("node"), "src", "dst"))
@@ -118,20 +152,15 @@ def chain_domains(nodes: DataFrame, edges: DataFrame, by: list[str], half: int =
         todo, done = [(0, len(ids))], []
         while todo:
             lo, hi = todo.pop()
-            q = _curve(adjacent[lo:hi, lo:hi])
-            smooth = q.copy()
-            for i in range(half, len(q) - half):
-                smooth[i] = q[i - half : i + half + 1].mean()
-            tops = [i for i in range(1, len(q) - 1) if smooth[i] > smooth[i - 1] and smooth[i] > smooth[i + 1] and smooth[i] > 0]
-            if tops:
-                cut = lo + max(tops, key=lambda i: (smooth[i], -i)) + 1
-                todo += [(lo, cut), (cut, hi)]
-            else:
+            k = best(adjacent[lo:hi, lo:hi])
+            if k is None:
                 done.append((lo, hi))
+            else:
+                todo += [(lo, lo + k), (lo + k, hi)]
         rows = [(ids[i], d) for d, (lo, hi) in enumerate(sorted(done)) for i in range(lo, hi)]
         out = pd.DataFrame(rows, columns=["node", "domain"])
         for name in by:
-            out.insert(0, name, pdf[name].iloc[0]) if name in pdf else None
+            out.insert(0, name, pdf[name].iloc[0])
         return out
 
     flat = listed.select("k.*", "seq", "node", "src", "dst")

@@ -122,6 +122,12 @@ def chain_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.chain_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("label", "src", "dst"), ["label"])
 
 
+@bind("ratio_cut_domains")
+def ratio_cut_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated cutting has no plain SQL; tests compare with a small graph."""
+    return community.ratio_cut_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("label", "src", "dst"), ["label"])
+
+
 @bind("domain_overlap_counts", """
 SELECT o_orderstatus, floor(o_orderkey / 7000)::BIGINT AS found, floor(o_custkey / 400)::BIGINT AS reference, count(*) AS shared FROM orders GROUP BY 1, 2, 3""")
 def domain_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

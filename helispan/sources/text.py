@@ -103,6 +103,17 @@ def code_segments(residues: DataFrame, kept: str = "GHIE") -> DataFrame:
     return d.join(a, ["path", "first"]).join(b, ["path", "last"]).select("path", "chain", "code", "start", "stop", "length")
 
 
+def read_pmml_residues(rows: DataFrame) -> DataFrame:
+    """Codes of residues after the heading of the residue level (S4): path, ordinal, chain, res, code.
+
+    ``code_segments`` makes segments of them; lines that begin with ``!`` or have no number are left out.
+    """
+    heading = F.col("line").contains("RESIDUE LEVEL SECONDARY STRUCTURE ASSIGNMENT")
+    start = rows.where(heading).groupBy("path").agg(F.min("n").alias("_start"))
+    d = rows.join(start, "path").where(F.col("n") > F.col("_start")).withColumn("ordinal", cut(0, 5).try_cast("int"))
+    return d.where("ordinal is not null").select("path", "ordinal", chain_id(F.substring("line", 7, 1)).alias("chain"), cut(9, 13).alias("res"), F.coalesce(cut(25, 26), F.lit(" ")).alias("code"))
+
+
 def dssp_bridges(residues: DataFrame) -> DataFrame:
     """Bridges (J15): a lower-case label is parallel; partners that are missing are left out."""
     each = residues.select("path", "chain", "res", F.explode(F.array(F.struct(F.col("partner1").alias("partner"), F.col("label1").alias("label")), F.struct(F.col("partner2").alias("partner"), F.col("label2").alias("label")))).alias("b"))

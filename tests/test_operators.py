@@ -169,3 +169,12 @@ def test_representative_prefers_in_order(spark):
     d = spark.createDataFrame([(1, 10, False, None, 1), (1, 12, False, 2.0, 2), (1, 12, True, 3.0, 3), (1, 12, True, 2.5, 4)], "c int, len int, xray boolean, res double, id int")
     prefer = [-F.col("len"), ~F.col("xray"), F.coalesce("res", F.lit(1e9)), F.col("id")]
     assert cascade.representatives(d, ["c"], prefer, ["id"]).first().id == 4
+
+
+def test_ratio_cut_domains(spark, triangles):
+    edges, groups = triangles
+    nodes = groups.select("k", "node", (F.col("node") + 1).alias("seq"))
+    got = {(r.node, r.domain) for r in community.ratio_cut_domains(nodes, edges, ["k"]).collect()}
+    assert got == {(n, n // 3) for n in range(6)}
+    assert {r.domain for r in community.ratio_cut_domains(nodes, edges, ["k"], limit=0.5).collect()} == {0}
+    assert {(r.node, r.domain) for r in community.ratio_cut_domains(nodes, edges.limit(0), ["k"]).collect()} == {(n, 0) for n in range(6)}
