@@ -56,12 +56,12 @@ def nearer_top(at: Column, lo: Column, hi: Column, is_reversed: Column) -> Colum
 def orientation(code: Column, reference_sideways: Column, reference_reversed: Column) -> Column:
     """``sideways, reversed`` of an element from its code towards a reference.
 
-    Crossing codes (L, R) turn an element sideways of its reference; O reverses it and P, K and H's
-    pairs keep the code's sense.
+    Crossing codes (L, R) turn an element sideways of its reference; all but the parallel ones (P, K)
+    reverse it.
     """
     letter = F.substring(code, 1, 1)
     sideways = letter.isin("L", "R") != reference_sideways
-    turned = letter.isin("O", "H", "R") != reference_reversed
+    turned = ~letter.isin("P", "K") != reference_reversed
     return F.struct(sideways.alias("sideways"), turned.alias("reversed"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helispan.functions import geometry, scalar
-from helispan.operators import align, axis, cascade, community, domains, evaluate, pairs, ranges, runs
+from helispan.operators import align, axis, cascade, community, domains, evaluate, pairs, ranges, runs, sheets
 from helispan.operators.graph import connected_components
 
 TWO_TRIANGLES = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5)]
@@ -178,3 +178,13 @@ def test_ratio_cut_domains(spark, triangles):
     assert got == {(n, n // 3) for n in range(6)}
     assert {r.domain for r in community.ratio_cut_domains(nodes, edges, ["k"], limit=0.5).collect()} == {0}
     assert {(r.node, r.domain) for r in community.ratio_cut_domains(nodes, edges.limit(0), ["k"]).collect()} == {(n, 0) for n in range(6)}
+
+
+def test_orientation_and_top(spark):
+    codes = ["PD", "KK", "OT", "HH", "LE", "RT"]
+    d = spark.createDataFrame([(c, s, r) for c in codes for s in (False, True) for r in (False, True)], "c string, s boolean, r boolean")
+    for row in d.select("*", sheets.orientation(F.col("c"), F.col("s"), F.col("r")).alias("o")).collect():
+        assert row.o.sideways == ((row.c[0] in "LR") != row.s) and row.o.reversed == ((row.c[0] not in "PK") != row.r)
+    at = spark.createDataFrame([(10, False), (15, False), (16, False), (16, True), (12, True)], "n int, r boolean")
+    got = [x.t for x in at.select(sheets.nearer_top(F.col("n"), F.lit(10), F.lit(20), F.col("r")).alias("t")).collect()]
+    assert got == [False, False, True, False, True]
