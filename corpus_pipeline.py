@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 3-word shingles, similarity of 0.9 or more."""
-    return jaccard.deduplicate(docs)
+    """One document of each group of near duplicates stays: 5-word shingles, similarity of 0.8 or more."""
+    return jaccard.deduplicate(docs, k=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,10 @@ different ones among n fall together with a chance of about n * n / 2**65.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ GROUP = 64
 GROUP_TOKENS = 100_000
 #: Seeds tried for a set whose tokens leave too many parts empty.
 SEEDS = 8
+#: With so many tokens for each part, hardly any part is empty.
+FULL = 5
 #: Tables up to so many rows of two or three numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -52,23 +56,39 @@ def size_classes(limit: int = 1 << 40) -> list[int]:
 _CLASSES = size_classes()
 
 
+@cache
+def number_of_parts(c: int, percent: int) -> tuple[int, int]:
+    """Tokens in which sets of class c can differ, and the parts that their tokens fall into.
+
+    Parts are one more than the differences, or, where that would leave some of them empty, as many as
+    it takes that the least set of the class is likely to have more parts with tokens than differences.
+    """
+    most, least = _CLASSES[c + 1] - 1, -(-percent * _CLASSES[c] // 100)
+    d = 2 * (100 - percent) * most // (100 + percent)
+    p = d + 1
+    if d < 8 or least >= FULL * p:
+        return d, p
+    while p < least and p * (1 - math.exp(-least / p)) - math.sqrt(p * math.exp(-least / p)) < d + 1:
+        p += max(1, p // 50)
+    return d, p
+
+
 def parts_of(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the parts of a sorted set, such that two sets within the threshold share one.
 
     A set takes part in the class of its size and in those above that it can reach. In a class, sets
-    differ in at most d tokens and the tokens fall into d + 1 parts by a hash. A part that is empty
+    differ in at most d tokens and the tokens fall into d + 1 parts or more by a hash. A part that is empty
     is not written: of two sets, one with more than d parts is enough. Sets with fewer write the
     parts of further seeds, and if none is enough, the tokens of their prefix.
     """
     n, out = len(tokens), []
     c = bisect_right(_CLASSES, n) - 1
     while n and 100 * n >= percent * _CLASSES[c]:
-        most = _CLASSES[c + 1] - 1
-        d = 2 * (100 - percent) * most // (100 + percent)
+        d, p = number_of_parts(c, percent)
         if d:
             for s in range(SEEDS):
                 own = np.sort(mix(tokens ^ _SEED[s])) if s else tokens
-                part = ((own >> np.uint64(32)) * np.uint64(d + 1)) >> np.uint64(32)
+                part = ((own >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
                 first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 out.append(mix(np.add.reduceat(mix(own + _SEED[s]), first) ^ mix(part[first] + np.uint64(c << 40) + np.uint64(s << 56))))
                 if len(first) > d:
