@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Words, and beginnings of words, over-represented in toxic documents of the labelled sample become lexicon voters, beside voters
-for patterns. A generative label model treats the voters as noisy observations of the true label:
+All words, and beginnings of words, over-represented in toxic documents of the labelled sample are the lexicon. Voters for
+the number of them in a text (1, 2, 3, 4, more) stand beside voters for patterns. A generative label model treats the voters as noisy observations of the true label:
 expectation-maximisation over the counts of all vote combinations in the whole corpus estimates how
 often each voter fires on either class, and the voters' correlations within a class discount the say
-of those that fire together. A linear classifier is then fitted to the model's posterior labels of the sample.
+of those that fire together. A linear classifier over all lexicon words, their number and the patterns is then fitted to
+the model's posterior labels of the sample.
 
 Labels of documents whose ``crc32(doc_id) % 4`` is 2 are held out. Inputs of a score come from the
 text alone.
@@ -26,13 +27,13 @@ HELD_OUT = 2
 THRESHOLD = 0.3
 #: Bound of the labelled sample: the rows of least hash of their id.
 MAX_LABELLED = 20_000
-#: Candidate words, words kept, lexicon voters among which they are dealt.
-CANDIDATES, LEXICON, LEXICON_VOTERS = 512, 48, 12
+#: Lexicon voters: each fires at one number of lexicon words, the last at that and above.
+LEXICON_VOTERS = 5
 #: A word needs so many toxic documents (or that share of them) and that precision.
 MIN_TOXIC, MIN_SHARE, MIN_PRECISION = 5, 0.01, 0.8
 #: Beginnings of words, in bytes, that are candidates beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
-PATTERNS = 4
+PATTERNS = 3
 ROUNDS = 30
 #: Weight of the labels of the sample in the estimates, in documents of the corpus for each.
 ANCHOR = 1.0
@@ -83,7 +84,7 @@ def _candidates(sample: DataFrame) -> np.ndarray:
     each = sample.mapInArrow(counts, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     precision = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)
     found = each.where((F.col("bad") >= max(MIN_TOXIC, MIN_SHARE * size[1])) & (precision >= MIN_PRECISION))
-    rows = found.orderBy(F.desc(F.col("bad") * precision**3), "term").limit(CANDIDATES).collect()
+    rows = found.orderBy(F.desc(F.col("bad") * precision**3), "term").collect()
     return np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)
 
 
@@ -106,28 +107,10 @@ def _presence(sample: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, np
     return y, bits, np.stack([np.frombuffer(bytes(r["shapes"]), bool) for r in got])
 
 
-def _cover(y: np.ndarray, bits: np.ndarray) -> list[int]:
-    """Candidates picked one after the other for the toxic documents that those before do not explain."""
-    toxic = y == 1
-    precision = (bits[toxic].sum(axis=0) + 0.5) / (bits.sum(axis=0) + 1)
-    least = max(MIN_TOXIC, MIN_SHARE * toxic.sum())
-    open_, picked = toxic.copy(), []
-    while len(picked) < LEXICON and bits.shape[1]:
-        gain = bits[open_].sum(axis=0)
-        best = int(np.argmax(gain * precision**3))
-        if gain[best] < least:
-            break
-        picked.append(best)
-        open_ &= ~bits[:, best]
-    return picked
-
-
 def _votes(present: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    """Votes of all voters: words dealt among the lexicon voters, two or more words, and the patterns."""
-    lexicon = np.zeros((len(present), LEXICON_VOTERS), dtype=bool)
-    for k in range(present.shape[1]):
-        lexicon[:, k % LEXICON_VOTERS] |= present[:, k]
-    return np.concatenate([lexicon, (present.sum(axis=1) >= 2)[:, None], shapes], axis=1)
+    """Votes of all voters: numbers of lexicon words, one voter for each, and the patterns."""
+    n = np.minimum(present.sum(axis=1), LEXICON_VOTERS)[:, None]
+    return np.concatenate([n == np.arange(1, LEXICON_VOTERS + 1), shapes], axis=1)
 
 
 VOTERS = LEXICON_VOTERS + PATTERNS
@@ -188,7 +171,8 @@ def _fit_linear(x: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _features(present: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    return np.concatenate([present, (present.any(axis=1))[:, None], shapes], axis=1)
+    """Each lexicon word, their number up to 1, 2, 3 and 4, and the patterns."""
+    return np.concatenate([present, np.minimum(present.sum(axis=1)[:, None], np.arange(1, LEXICON_VOTERS)), shapes], axis=1)
 
 
 def _present(terms: list[np.ndarray], words: np.ndarray) -> np.ndarray:
@@ -210,12 +194,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     Without toxic labels the lexicon is empty, and with no labels at all the score is near 0 for all.
     """
     sample = _sample(docs, labels)
-    candidates = _candidates(sample)
-    if not len(candidates):
-        return candidates, np.array([0.0] * PATTERNS + [-5.0])
-    y, bits, shapes = _presence(sample, candidates)
-    picked = _cover(y, bits)
-    words, present = candidates[picked], bits[:, picked]
+    words = _candidates(sample)
+    if not len(words):
+        return words, np.array([0.0] * (LEXICON_VOTERS - 1 + PATTERNS) + [-5.0])
+    y, present, shapes = _presence(sample, words)
 
     def combos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, shapes, terms in _documents(batches, 0):
