@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helispan.session import materialize
+from helispan.session import finished, materialize
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -17,9 +17,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates large-star and small-star steps until the edges are stars around the least node of
     their component; rounds grow with the logarithm of the longest path. Each round is cut by a
-    written table, so a lost executor never replays earlier rounds. Null ends are ignored, and a
-    self-loop makes an isolated node.
+    written table, so a lost executor never replays earlier rounds; they are deleted when the labels
+    are written. Null ends are ignored, and a self-loop makes an isolated node.
     """
+    return finished(edges.sparkSession, lambda: _labels(edges, src, dst, max_rounds), "components")
+
+
+def _labels(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     pairs = materialize(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     nodes = pairs.where("u = v").select(F.col("u").alias("node"))

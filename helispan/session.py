@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +29,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, one machine takes a temporary folder; a cluster has to name one, as
+    its executors would each write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="helispan-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Tables written since each open ``finished`` began.
+_OPEN: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/helispan/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it goes when the ``finished`` around it ends."""
+    path = f"{shared_dir(spark)}/helispan/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,11 +63,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialize what ``build`` returns and delete the tables that were written on the way to it."""
+    path = shared_path(spark, name)
+    _OPEN.append([])
+    try:
+        df = build()
+        df.write.parquet(path)
+    finally:
+        for old in _OPEN.pop():
+            _delete(spark, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
-    """Delete everything ``materialize`` wrote below the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/helispan")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete everything that is still below the shared folder."""
+    _delete(spark, f"{shared_dir(spark)}/helispan")
 
 
 _SHIPPED: set[str] = set()
