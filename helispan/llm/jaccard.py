@@ -1,12 +1,17 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents are sets of word shingles. Equal sets are one set with copies. Which sets can be linked at
-all follows from the pigeonhole principle: two sets within the threshold differ in at most d tokens,
-so of d + 1 parts of the token space one is equal in both; sets that share no part are never
-compared. Sets connected by shared parts are put in order of their least token and cut into groups of
-similar sets. A group's token union (its row of the token-group matrix) bounds the overlap of any
-query set with any of its members; only groups that can hold a partner are opened, and only then are
-intersections counted. All counts are exact integers.
+all follows from the prefix rule: put the tokens of all sets in one fixed order; two sets within the
+threshold then share a token among the first few of each. The order begins with rare tokens, told by
+a table of counts of all tokens by hash bucket, so that passages and phrases of many documents bring
+no two of them together. Any order gives the same links; counts only make candidates few.
+
+Sets connected by shared prefix tokens are put in order of their least token and cut into groups of
+similar sets. A group's row of the token-group matrix is the union of its tokens, and beside each
+token a word with a bit for every set that holds it. A sketch of the union, a bit map of hash buckets,
+bounds the overlap of any two groups from above before any token moves; only for pairs of groups
+that can hold partners rows are opened, and there the unions bound each set's overlap once more
+before intersections are counted. All counts are exact integers.
 
 Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit hash of the set; two
 different ones among n fall together with a chance of about n * n / 2**65.
@@ -14,10 +19,7 @@ different ones among n fall together with a chance of about n * n / 2**65.
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,104 +27,90 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helispan.llm.arrow import bound_batches
+from helispan.llm.arrow import batch_of, bound_batches, bundles, runs
 from helispan.llm.text import hashed_words, mix, shingle_hashes, slices
 from helispan.operators.graph import connected_components
-from helispan.session import materialize
+from helispan.session import finished, materialize
 
 WORDS = 3
 PERCENT = 90
-#: Sets in a group, and tokens after which a group is closed before.
+#: Sets in a group (bits of a word), and tokens after which a group is closed before.
 GROUP = 64
 GROUP_TOKENS = 100_000
-#: Seeds tried for a set whose tokens leave too many parts empty.
-SEEDS = 8
-#: With so many tokens for each part, hardly any part is empty.
-FULL = 5
+#: Groups and tokens of a panel; a task compares two panels.
+PANEL = 64
+PANEL_TOKENS = 400_000
+#: Buckets of the table of token counts, and how many of them travel in a row.
+BUCKETS = 1 << 20
+ROW = 1 << 12
 #: Tables up to so many rows of two or three numbers are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
-_SEED = mix(np.arange(1, SEEDS + 2, dtype=np.uint64))
+_SEED = mix(np.arange(1, 3, dtype=np.uint64))
+_BUCKET_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def size_classes(limit: int = 1 << 40) -> list[int]:
-    """Least sizes of the classes of sets that share a number of parts; each is about 1.37 times the one before."""
-    sizes = [1]
-    while sizes[-1] < limit:
-        sizes.append(max(sizes[-1] + 1, sizes[-1] * 137 // 100))
-    return sizes
+def _sid(tokens: np.ndarray) -> int:
+    return int(mix(np.add.reduce(mix(tokens + _SEED[0]), keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
-_CLASSES = size_classes()
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """Per document: doc_id, text_key (hash of the text), n, sid (hash of the set, null if empty), least (its least token).
 
-
-@cache
-def number_of_parts(c: int, percent: int) -> tuple[int, int]:
-    """Tokens in which sets of class c can differ, and the parts that their tokens fall into.
-
-    Parts are one more than the differences, or, where that would leave some of them empty, as many as
-    it takes that the least set of the class is likely to have more parts with tokens than differences.
+    Rows with ``at`` are not documents: they hold the task's counts of tokens, ROW buckets each.
     """
-    most, least = _CLASSES[c + 1] - 1, -(-percent * _CLASSES[c] // 100)
-    d = 2 * (100 - percent) * most // (100 + percent)
-    p = d + 1
-    if d < 8 or least >= FULL * p:
-        return d, p
-    while p < least and p * (1 - math.exp(-least / p)) - math.sqrt(p * math.exp(-least / p)) < d + 1:
-        p += max(1, p // 50)
-    return d, p
-
-
-def parts_of(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a sorted set, such that two sets within the threshold share one.
-
-    A set takes part in the class of its size and in those above that it can reach. In a class, sets
-    differ in at most d tokens and the tokens fall into d + 1 parts or more by a hash. A part that is empty
-    is not written: of two sets, one with more than d parts is enough. Sets with fewer write the
-    parts of further seeds, and if none is enough, the tokens of their prefix.
-    """
-    n, out = len(tokens), []
-    c = bisect_right(_CLASSES, n) - 1
-    while n and 100 * n >= percent * _CLASSES[c]:
-        d, p = number_of_parts(c, percent)
-        if d:
-            for s in range(SEEDS):
-                own = np.sort(mix(tokens ^ _SEED[s])) if s else tokens
-                part = ((own >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                out.append(mix(np.add.reduceat(mix(own + _SEED[s]), first) ^ mix(part[first] + np.uint64(c << 40) + np.uint64(s << 56))))
-                if len(first) > d:
-                    break
-            else:
-                out.append(mix(tokens[: n - (percent * n + 99) // 100 + 1] ^ mix(_SEED[-1] + np.uint64(c))))
-        c += 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n, sid (hash of the set, null if empty), least (its least token), parts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("least", pa.int64()), ("parts", pa.list_(pa.int64()))])
+    names = ["doc_id", "text_key", "n", "sid", "least", "at", "counts"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            ids = batch.column(0)
-            for at, off, raw in slices(batch.column(1)):
-                n, sid, least, parts = [], [], [], []
+            for at, off, raw in slices(batch.column(2)):
+                n, sid, least, seen = [], [], [], []
                 for tokens in shingle_hashes(*hashed_words(off, raw), k):
                     n.append(len(tokens))
-                    sid.append(int(_sid(tokens)) if len(tokens) else None)
+                    sid.append(_sid(tokens) if len(tokens) else None)
                     least.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)
-                    parts.append(parts_of(tokens, percent))
-                ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-                flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(least, pa.int64()), listed], schema=schema)
+                    seen.append(tokens >> _BUCKET_SHIFT)
+                bucket, times = np.unique(np.concatenate(seen), return_counts=True)
+                count[bucket.astype(np.int64)] += times.astype(np.uint32)
+                none = pa.nulls(len(n))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(n)) for i in (0, 1)), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(least, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        table = count.astype("<u4").reshape(-1, ROW)
+        some = np.flatnonzero(table.any(axis=1))
+        none = pa.nulls(len(some)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(some, pa.int32()), pa.array([table[i].tobytes() for i in some], pa.binary())], names=names)
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(rows, "doc_id long, text_key long, n long, sid long, least long, at int, counts binary")
+
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How common each bucket's tokens are in all documents, in steps of a power of two; a byte for each of BUCKETS."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts, "<u4").astype(np.uint64)
+        level = {at: np.frexp(s.astype(np.float64))[1].astype(np.uint8).tobytes() for at, s in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(level), pa.int32()), pa.array(list(level.values()), pa.binary())], names=["at", "level"])
+
+    out = np.zeros(BUCKETS, np.uint8)
+    # BUCKETS bytes in BUCKETS / ROW rows, whatever the input.
+    for r in sets.where("at is not null").select("at", "counts").repartition("at").mapInArrow(total, "at int, level binary").collect():
+        out[r["at"] * ROW : (r["at"] + 1) * ROW] = np.frombuffer(bytes(r["level"]), np.uint8)
+    return out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, sid long, least long, parts array<long>")
 
+def prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set, rare ones first, of which two sets within the threshold share one.
 
-def _sid(tokens: np.ndarray) -> np.int64:
-    return mix(np.add.reduce(mix(tokens + _SEED[0]), keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0]
+    A partner holds at least ``percent`` in 100 of the tokens, so all but that many and one come first.
+    """
+    n = len(tokens)
+    first = n - -(-percent * n // 100) + 1
+    key = (common[(tokens >> _BUCKET_SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ _SEED[1]) >> np.uint64(8))
+    return tokens[np.argpartition(key, first - 1)[:first]] if first < n else tokens
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -130,111 +118,213 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["src", "dst"])
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges ``src, dst`` that connect all sets with an equal part, as stars around one of them.
+def _candidates(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect all sets with a prefix token in common, as stars around one of them.
 
-    Sets of a batch are linked before the shuffle and only one of them goes on, so that a part that
-    many sets share moves few rows.
+    Sets of a batch are linked before the shuffle and only one of them goes on, so that a token that
+    many sets share moves few rows; of equal sets in a task one is taken.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            listed = batch.column(1)
-            length = np.diff(listed.offsets.to_numpy())
-            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length)
-            part = listed.flatten().to_numpy()
-            order = np.lexsort((sid, part))
-            part, sid = part[order], sid[order]
-            first = np.concatenate(([True], part[1:] != part[:-1])) if len(part) else np.zeros(0, bool)
-            root = sid[first][np.cumsum(first) - 1] if len(part) else sid
-            linked = _pairs(sid[sid != root], root[sid != root])
-            src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
-            key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
-            columns = (np.concatenate([part[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "src", "dst"])
+            for _, off, raw in slices(batch.column(0)):
+                tokens, owners = [], []
+                for t in shingle_hashes(*hashed_words(off, raw), k):
+                    if len(t) and (s := _sid(t)) not in known:
+                        known.add(s)
+                        tokens.append(prefix(t, shared.value, percent))
+                        owners.append(s)
+                if not tokens:
+                    continue
+                token, sid = np.concatenate(tokens).view(np.int64), np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])
+                order = np.lexsort((sid, token))
+                token, sid = token[order], sid[order]
+                first = np.concatenate(([True], token[1:] != token[:-1]))
+                root = sid[first][np.cumsum(first) - 1]
+                linked = _pairs(sid[sid != root], root[sid != root])
+                src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
+                key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
+                columns = (np.concatenate([token[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "src", "dst"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
-            part, src, dst = (batch.column(i).to_numpy() for i in range(3))
+            token, src, dst = (batch.column(i).to_numpy() for i in range(3))
             done = src != dst
             yield _pairs(src[done], dst[done])
-            part, src = part[~done], src[~done]
-            if not len(part):
+            token, src = token[~done], src[~done]
+            if not len(token):
                 continue
-            first = np.concatenate(([last is None or part[0] != last], part[1:] != part[:-1]))
+            first = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
             roots = src[first] if first[0] else np.concatenate(([held], src[first]))
             root = roots[np.cumsum(first) - (1 if first[0] else 0)]
             yield _pairs(src[src != root], root[src != root])
-            last, held = part[-1], root[-1]
+            last, held = token[-1], root[-1]
 
-    posted = sets.where("sid is not null").select("sid", "parts").mapInArrow(postings, "part long, src long, dst long")
-    return posted.repartition("part").sortWithinPartitions("part").mapInArrow(links, "src long, dst long")
+    posted = docs.select("text").mapInArrow(postings, "token long, src long, dst long")
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(links, "src long, dst long")
 
 
 def _grouped(active: DataFrame) -> DataFrame:
-    """Adds ``gid`` to sets with a component: groups of one component, of similar sets where they are many."""
-    columns = ["component", "sid", "doc_id", "n", "copies"]
+    """Adds ``gid`` and ``panel`` to sets with a component: groups of one component, of similar sets where they are many."""
+    columns = ["component", "sid", "text_key", "n", "copies"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, of, count, tokens = TaskContext.get().partitionId() << 32, None, 0, 0
+        gid = panel = TaskContext.get().partitionId() << 32
+        of, count, tokens, groups, held = None, 0, 0, 0, 0
         for batch in batches:
-            out = []
+            gids, panels = [], []
             for component, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if component != of or count == GROUP or tokens + n > GROUP_TOKENS:
-                    gid, of, count, tokens = gid + 1, component, 0, 0
-                count, tokens = count + 1, tokens + n
-                out.append(gid)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(out, pa.int64())], names=[*columns, "gid"])
+                    gid, count, tokens, groups = gid + 1, 0, 0, groups + 1
+                    if component != of or groups > PANEL or held + n > PANEL_TOKENS:
+                        panel, of, groups, held = panel + 1, component, 1, 0
+                count, tokens, held = count + 1, tokens + n, held + n
+                gids.append(gid)
+                panels.append(panel)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(gids, pa.int64()), pa.array(panels, pa.int64())], names=[*columns, "gid", "panel"])
 
     keys = ["component", "least", "sid"]
     ordered = active.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns)
-    return ordered.mapInArrow(number, "component long, sid long, doc_id long, n long, copies long, gid long")
+    return ordered.mapInArrow(number, "component long, sid long, text_key long, n long, copies long, gid long, panel long")
 
 
-def _of_pairs(grouped: DataFrame, percent: int) -> DataFrame:
-    """``gid, pair, second``: every group with itself, and with the groups of its component of sizes within reach."""
-    groups = grouped.groupBy("component", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = groups.alias("a"), groups.alias("b")
-    near = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.gid") < F.col("b.gid")) & near)
-    pairs = pairs.select(F.col("a.gid").alias("x"), F.col("b.gid").alias("y"))
-    sides = pairs.select(F.struct("x", "y").alias("pair"), F.explode(F.array(F.struct(F.col("x").alias("gid"), F.lit(False).alias("second")), F.struct(F.col("y").alias("gid"), F.lit(True).alias("second")))).alias("s"))
-    alone = groups.select("gid", F.struct(F.col("gid").alias("x"), F.col("gid").alias("y")).alias("pair"), F.lit(False).alias("second"))
-    return alone.unionByName(sides.select("s.gid", "pair", "s.second"))
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit map of the hash buckets of a set's tokens, with four buckets or more for each."""
+    size = max(64, 1 << (4 * max(len(tokens), 1) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(tokens ^ _SEED[1]) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common_tokens(a: bytes, n: int, b: bytes, m: int) -> int:
+    """No two sets of ``n`` and ``m`` tokens with these sketches have more tokens in common."""
+    one, two = (np.frombuffer(x, np.uint64) for x in (a, b))
+    while len(one) > len(two):
+        one = one.reshape(2, -1)[0] | one.reshape(2, -1)[1]
+    while len(two) > len(one):
+        two = two.reshape(2, -1)[0] | two.reshape(2, -1)[1]
+    both, x, y = (int(np.bitwise_count(v).sum()) for v in (one & two, one, two))
+    return both + min(n - x, m - y)
+
+
+_MATRIX = "component long, panel long, gid long, low long, high long, sids array<long>, copies array<long>, ns array<long>, tokens array<long>, words array<long>, sketch binary, n_tokens long"
+
+
+def _matrix(tokens: DataFrame) -> DataFrame:
+    """One row per group: its sets, the union of their tokens, a word of bits for each token, and the union's sketch."""
+
+    kinds = [("component", pa.int64()), ("panel", pa.int64()), ("gid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("sids", "copies", "ns", "tokens", "words")), ("sketch", pa.binary()), ("n_tokens", pa.int64())]
+
+    def row(batch: pa.RecordBatch) -> list:
+        sid, lists = batch.column(3).to_numpy(), batch.column(5)
+        _, first = np.unique(sid, return_index=True)  # a set found by several tasks counts once
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [values[at[i] : at[i + 1]] for i in first]
+        n = np.array([len(s) for s in sets])
+        union, column = np.unique(np.concatenate(sets), return_inverse=True)
+        words = np.zeros(len(union), np.uint64)
+        np.bitwise_or.at(words, column, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), n))
+        heads = [batch.column(i)[0].as_py() for i in range(3)]
+        return [*heads, int(n.min()), int(n.max()), sid[first], batch.column(4).to_numpy()[first], n, union, words.view(np.int64), sketch(union.view(np.uint64)), len(union)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
+        for batch in runs(batches, 2):
+            made.append(row(batch))
+            held += made[-1][-1]
+            if held >= PANEL_TOKENS:
+                yield batch_of(made, kinds)
+                made, held = [], 0
+        if made:
+            yield batch_of(made, kinds)
+
+    return tokens.repartition("gid").sortWithinPartitions("gid").mapInArrow(rows, _MATRIX)
+
+
+def _tokens(docs: DataFrame, grouped: DataFrame, k: int) -> DataFrame:
+    """``component, panel, gid, sid, copies, tokens`` of the sets in groups, from one text of each (of each task)."""
+    asked = grouped.select("text_key", "sid", "copies", "gid", "panel", "component")
+    asked = F.broadcast(asked) if grouped.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
+    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(asked, "text_key")
+    schema = pa.schema([*((c, pa.int64()) for c in ("component", "panel", "gid", "sid", "copies")), ("tokens", pa.list_(pa.int64()))])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            keys = [batch.column(i).to_pylist() for i in range(5)]
+            for at, off, raw in slices(batch.column(5)):
+                rows = []
+                for i, t in enumerate(shingle_hashes(*hashed_words(off, raw), k), at):
+                    if len(t) and (s := keys[3][i]) not in known and _sid(t) == s:
+                        known.add(s)
+                        rows.append((*(c[i] for c in keys), t.view(np.int64)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return texts.select("component", "panel", "gid", "sid", "copies", "text").mapInArrow(tokens, "component long, panel long, gid long, sid long, copies long, tokens array<long>")
 
 
-def overlaps(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
-    """Which sets before ``split`` are linked with which from it on; of all with all where ``split`` is their number.
+def _opened(matrix: DataFrame, percent: int) -> DataFrame:
+    """``x, y, gid, second``: groups to open for a pair of panels, those whose sketches leave room for a link.
 
-    The union of a side is its row of the token-group matrix: sets whose overlap with it is too small
-    for any of its members are not opened.
+    Only panels of one component meet, and what meets are sketches.
     """
-    size = np.array([len(s) for s in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    one, two = (slice(0, split), slice(split, None)) if split < len(sets) else (slice(None), slice(None))
-    side = owner < split
-    union = [np.zeros(column.max() + 1, dtype=bool) for _ in range(2)]
-    union[0][column[side]] = True
-    if split < len(sets):
-        union[1][column[~side]] = True
-        bound = np.bincount(owner, weights=np.where(side, union[1][column], union[0][column]), minlength=len(sets))
+    heads = matrix.select("component", "panel", "gid", "low", "high", "sketch", "n_tokens")
+    sizes = heads.groupBy("component", "panel").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    a, b = sizes.alias("a"), sizes.alias("b")
+    near = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
+    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.panel") < F.col("b.panel")) & near).select(F.col("a.panel").alias("x"), F.col("b.panel").alias("y"))
+    sides = pairs.select("x", "y", F.col("x").alias("panel"), F.lit(False).alias("second")).unionByName(pairs.select("x", "y", F.col("y").alias("panel"), F.lit(True).alias("second")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 0, 1):
+            cells = batch.to_pylist()
+            one, two = [c for c in cells if not c["second"]], [c for c in cells if c["second"]]
+            found = set()
+            for p in one:
+                for q in two:
+                    need = max(p["low"], q["low"])
+                    if 100 * min(p["high"], q["high"]) >= percent * need and 100 * most_common_tokens(p["sketch"], p["n_tokens"], q["sketch"], q["n_tokens"]) >= percent * need:
+                        found |= {(p["gid"], False), (q["gid"], True)}
+            yield batch_of([[cells[0]["x"], cells[0]["y"], *f] for f in sorted(found)], [("x", pa.int64()), ("y", pa.int64()), ("gid", pa.int64()), ("second", pa.bool_())])
+
+    met = sides.join(heads, "panel").select("x", "y", "second", "gid", "low", "high", "sketch", "n_tokens")
+    across = met.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(rows, "x long, y long, gid long, second boolean")
+    within = heads.select(F.col("panel").alias("x"), F.col("panel").alias("y"), "gid", F.lit(False).alias("second"))
+    return within.unionByName(across)
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of group ``a`` are linked with which of group ``b``, each given by its tokens, words and sizes.
+
+    The tokens of both unions bound a set's overlap with any set of the other group; sets with too
+    small a bound are not opened.
+    """
+    (tokens, words, n), (others, their, m) = a, b
+    found = np.zeros((len(n), len(m)), dtype=bool)
+    if tokens is others:
+        i = j = np.arange(len(tokens))
     else:
-        often = np.bincount(column) > 1
-        bound = np.bincount(owner, weights=often[column], minlength=len(sets))
-        union = [often, often]
-    opened = 100 * bound >= percent * size
-    keep = opened[owner] & union[0][column] & union[1][column]
-    found = np.zeros((len(sets[one]), len(sets[two])), dtype=bool)
-    if not keep.any():
+        at = np.minimum(np.searchsorted(others, tokens), len(others) - 1)
+        i = np.flatnonzero(others[at] == tokens)
+        j = at[i]
+    need = max(int(n.min()), int(m.min()))
+    if 100 * len(i) < percent * need:
         return found
-    _, column = np.unique(column[keep], return_inverse=True)
-    grid = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
-    grid[owner[keep], column] = 1
-    both = np.rint(grid[one] @ grid[two].T).astype(np.int64)
-    found = 100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)
-    return found & opened[one][:, None] & opened[two][None, :]
+
+    def bits(w: np.ndarray, count: int) -> np.ndarray:
+        return np.unpackbits(w.view(np.uint8).reshape(-1, 8), axis=1, count=count, bitorder="little")
+
+    one, two = bits(words[i], len(n)), bits(their[j], len(m))
+    left, right = np.flatnonzero(100 * one.sum(axis=0, dtype=np.int64) >= percent * n), np.flatnonzero(100 * two.sum(axis=0, dtype=np.int64) >= percent * m)
+    if len(left) and len(right):
+        both = np.rint(one[:, left].T.astype(np.float32) @ two[:, right].astype(np.float32)).astype(np.int64)
+        found[np.ix_(left, right)] = 100 * both >= percent * (n[left][:, None] + m[right][None, :] - both)
+    return found
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,57 +342,87 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _verified(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Source, target and number of links of the opened groups of two panels, or of one with itself."""
+    second = batch.column("second").to_numpy(zero_copy_only=False)
+
+    def lists(name: str) -> list[np.ndarray]:
+        at, values = batch.column(name).offsets.to_numpy(), batch.column(name).values.to_numpy()
+        return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    groups = [(t, w.view(np.uint64), n) for t, w, n in zip(lists("tokens"), lists("words"), lists("ns"), strict=True)]
+    sid, copies = np.concatenate(lists("sids")), np.concatenate(lists("copies"))
+    at = np.cumsum([0, *(len(g[2]) for g in groups)])
+    count, a, b = np.zeros(len(sid), np.int64), [], []
+    alone = batch.column("x")[0] == batch.column("y")[0]
+    for i in range(len(groups)):
+        for j in range(i, len(groups)) if alone else np.flatnonzero(second) if not second[i] else ():
+            found = overlaps(groups[i], groups[j], percent)
+            if i == j:
+                np.fill_diagonal(found, False)
+            p, q = np.nonzero(np.triu(found) if i == j else found)
+            if not len(p):
+                continue
+            own, other = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
+            count[own] += found @ copies[other]
+            if i != j:
+                count[other] += copies[own] @ found
+            a.append(p + at[i])
+            b.append(q + at[j])
+    none = np.zeros(0, np.int64)
+    root = _roots(len(sid), np.concatenate([none, *a]), np.concatenate([none, *b]))
+    some = np.flatnonzero(count)
+    return sid[some], sid[root[some]], count[some]
+
+
 def _links(docs: DataFrame, active: DataFrame, k: int, percent: int) -> DataFrame:
-    """``src, dst, links``: connects each linked set with one of its sets, and counts its links once in all rows."""
+    """``src, dst, links``: connects each linked set with one of its sets, and counts its links in all rows."""
     grouped = materialize(_grouped(active), "groups")
-    small = grouped.count() <= BROADCAST_ROWS
-    asked = grouped.select("sid", "doc_id", "copies", "gid")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(asked) if small else asked.hint("shuffle_hash"), "doc_id")
-    schema = pa.schema([("gid", pa.int64()), ("sid", pa.int64()), ("copies", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    matrix = materialize(_matrix(_tokens(docs, grouped, k)), "matrix")
+    opened = materialize(_opened(matrix, percent), "opened")
+    asked = F.broadcast(opened) if opened.count() <= BROADCAST_ROWS else opened
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gid, sid, copies = (batch.column(i).to_pylist() for i in range(3))
-            for at, off, raw in slices(batch.column(3)):
-                rows = [(gid[i], sid[i], copies[i], t.view(np.int64)) for i, t in enumerate(shingle_hashes(*hashed_words(off, raw), k), at) if len(t) and int(_sid(t)) == sid[i]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in bundles(runs(batches, 0, 1), 200):
+            found = [_verified(b, percent) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["src", "dst", "links"])
 
-    made = texts.select("gid", "sid", "copies", "text").mapInArrow(tokens, "gid long, sid long, copies long, tokens array<long>")
-    of = _of_pairs(grouped, percent)
-    placed = made.join(F.broadcast(of) if small and of.count() <= BROADCAST_ROWS else of, "gid")
-    pairs = placed.groupBy("pair").agg(F.collect_list(F.struct("second", "sid", "copies", "tokens")).alias("sets")).select("sets")
+    rows = matrix.select("gid", "sids", "copies", "ns", "tokens", "words").join(asked, "gid").select("x", "y", "second", "sids", "copies", "ns", "tokens", "words")
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(verify, "src long, dst long, links long")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for row in batch.column(0):
-                flat = row.values
-                second = flat.field("second").to_numpy(zero_copy_only=False)
-                sid = flat.field("sid").to_numpy()
-                _, first = np.unique(sid, return_index=True)  # a repeated row counts once
-                first = first[np.argsort(second[first], kind="stable")]
-                if len(first) < 2:
-                    continue
-                split = int((~second[first]).sum())
-                lists = flat.field("tokens")
-                at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-                found = overlaps([values[at[i] : at[i + 1]] for i in first], split, percent)
-                copies, sid = flat.field("copies").to_numpy()[first], sid[first]
-                if split == len(first):
-                    np.fill_diagonal(found, False)
-                    count = found @ copies
-                    a, b = np.nonzero(np.triu(found))
-                else:
-                    count = np.concatenate([found @ copies[split:], copies[:split] @ found])
-                    a, b = np.nonzero(found)
-                    b = b + split
-                root = _roots(len(sid), a, b)
-                out += [(int(sid[i]), int(sid[root[i]]), int(count[i])) for i in np.flatnonzero(count)]
-            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))]
-            yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "links"])
-
-    return pairs.mapInArrow(verify, "src long, dst long, links long")
+
+def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """``sid, component_id, best_key, n_links`` of the sets that have copies or links; the others are alone.
+
+    A class is named after its document of least id, of equal ones the one of least text_key.
+    """
+    spark = docs.sparkSession
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")
+    own = sets.where("sid is not null")
+    each = own.groupBy("sid").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("least").alias("least"), F.count("*").alias("copies"))
+    each = materialize(each.select("*", F.col("first.text_key").alias("text_key")), "each")
+    near = connected_components(_candidates(docs, _commonness(sets), k, percent)).withColumnRenamed("node", "sid")
+    links = finished(spark, lambda: _links(docs, each.join(near, "sid"), k, percent), "links")
+    joined = connected_components(links).withColumnRenamed("node", "sid")
+    counts = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
+    part = each.join(joined, "sid", "left").join(counts, "sid", "left").where("copies > 1 or component is not null")
+    part = part.withColumn("component", F.coalesce("component", "sid"))
+    best = part.groupBy("component").agg(F.min("first").alias("best"))
+    return part.join(best, "component").select("sid", F.col("best.doc_id").alias("component_id"), F.col("best.text_key").alias("best_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def _rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per document: doc_id, text_key, n_shingles, component_id, n_links, and ``best_key``, null where it is alone."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = docs.select("doc_id", "text")
+    sets = materialize(_sets(docs, k), "sets")
+    known = finished(spark, lambda: _classes(docs, sets, k, percent), "known")
+    # Copies share a key; beyond the bound, the join is one whose hot partitions Spark splits.
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    out = sets.where("at is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "sid").join(known, "sid", "left")
+    component = F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best_key")
 
 
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -310,40 +430,29 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     Documents link when their sets of ``k``-word shingles have a Jaccard similarity of at least
     ``percent`` in 100. A null or empty text has no shingle, links with nothing and is its own component;
-    equal sets link whatever their number; ``component_id`` is the least id of a component (nulls
-    aside), and a row repeated counts as another document. Other columns are ignored.
+    equal sets link whatever their number; ``component_id`` is the least id of a component (null only
+    if all are), and a row repeated, or another text under the same id or under none, counts as another
+    document. Other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
-    sets = materialize(_sets(docs, k, percent), "sets")
-    each = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("least").alias("least"), F.count("*").alias("copies"))
-    near = connected_components(_candidates(sets)).withColumnRenamed("node", "sid")
-    links = materialize(_links(docs, each.join(near, "sid"), k, percent), "links")
-    joined = connected_components(links).withColumnRenamed("node", "sid")
-    counts = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
-    part = each.join(joined, "sid", "left").join(counts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = part.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = part.join(lowest, "component").select("sid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = materialize(known, "known")
-    # Copies share a key; beyond the bound, the join is one whose hot partitions Spark splits.
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(known, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _rows(docs, k, percent).drop("text_key", "best_key")
 
 
 def deduplicate(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one of the least id, with all columns; of rows with its id, one.
+    """One document of each component, with all columns: the one of the least id (null ids last).
 
-    Rows whose id is null stay.
+    Of several texts under that id one stays, and of rows with that text one. Documents without words stay.
     """
-    classes = materialize(join(docs, k, percent), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-
-    def sized(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(sized(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    classes = finished(docs.sparkSession, lambda: _rows(docs, k, percent).where("best_key is not null"), "members")
+    best = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("best_key"))
+    gone = classes.where(~best).select("doc_id", "text_key").distinct()
+    again = classes.where(best).groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
+
+    def matched(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return left.join(ids, left["_id"].eqNullSafe(ids["doc_id"]) & (left["_key"] == ids["text_key"]), how)
+
+    kept = matched(own, gone, "left_anti")
+    if not again.isEmpty():
+        kept = matched(kept, again, "left_anti").unionByName(matched(kept, again, "left_semi").dropDuplicates(["_id", "_key"]))
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helispan.llm import quality, vectors
+from helispan.llm import jaccard, quality, vectors
 
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -65,4 +65,22 @@ FROM embeddings LEFT JOIN c ON vec_id = node LEFT JOIN k ON vec_id = src
 """
 
 
-ORACLES = {"op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql()}
+def jaccard_sql() -> str:
+    """Sets of shingles, links by counted common shingles, and components by reachability."""
+    k, percent = jaccard.WORDS, jaccard.PERCENT
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format(lower)} AS w FROM documents),
+s AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.k JOIN n y ON c.b = y.k WHERE 100 * c.c >= {percent} * (x.n + y.n - c.c)),
+r AS (SELECT a AS node, b AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+m AS (SELECT node, min(e.doc_id) AS low FROM r JOIN d e ON r.seen = e.k GROUP BY node), q AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(m.low, doc_id), doc_id) AS component_id, coalesce(q.n, 0) AS n_links
+FROM d LEFT JOIN n USING (k) LEFT JOIN m ON d.k = m.node LEFT JOIN q ON d.k = q.a
+"""
+
+
+ORACLES = {"op4_jaccard_join": jaccard_sql(), "op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql()}

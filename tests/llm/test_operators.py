@@ -71,17 +71,63 @@ def test_jaccard_small_groups(docs, rows, monkeypatch):
     assert got == _sorted(brute.jaccard([(r[0], r[1]) for r in rows]))
 
 
-def test_jaccard_parts_share():
-    """Whatever two sets within the threshold: some part is equal."""
-    rng = np.random.default_rng(1)
-    for _ in range(3000):
-        n = int(rng.integers(9, 60))
+def test_jaccard_bridge_without_id(spark):
+    """Documents that only a row without an id connects; other texts under one id; a repeated row."""
+    words = [f"w{i}" for i in range(120)]
+    a, b, c = list(words), list(words), list(words)
+    b[0] = "x"
+    c[0], c[-1], c[-2] = "x", "y", "z"
+    rows = [(7, " ".join(a)), (None, " ".join(b)), (9, " ".join(c)), (9, " ".join(words[:50])), (9, " ".join(words[:50])), (None, "lone words are here"), (None, "lone words are here"), (None, ""), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = _sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(d).collect())
+    assert got == _sorted(brute.jaccard(rows))
+    kept = _sorted((r.doc_id, r.text) for r in jaccard.deduplicate(d).collect())
+    assert kept == _sorted([rows[0], rows[3], rows[5], rows[7], rows[8]])
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 40])
+def test_jaccard_many_panels(spark, monkeypatch, bound):
+    """A large family of near copies over many panels, with joins by shuffle and by broadcast."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(130):
+        w = list(base) if i % 13 else [f"v{i}{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice("abcdef") * 3
+        rows += [(i, " ".join(w))] * rng.choice([1, 1, 3])
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    monkeypatch.setattr(jaccard, "PANEL", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
+    got = _sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == _sorted(brute.jaccard(rows))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_prefixes_share(percent):
+    """Whatever two sets within the threshold and whatever the counts: some prefix token is equal."""
+    rng = np.random.default_rng(percent)
+    within = 0
+    for _ in range(4000):
+        n = int(2 ** rng.uniform(0, 10))
+        common = rng.integers(0, 9, jaccard.BUCKETS).astype(np.uint8) if rng.random() < 0.02 else np.zeros(jaccard.BUCKETS, np.uint8)
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        gone = int(rng.integers(0, max(1, n // 9)))
-        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, 3))).astype(np.uint64)]))
+        most = n * 2 // 9 + 1
+        gone, more = int(rng.integers(0, most)), int(rng.integers(0, most))
+        b = np.unique(np.concatenate([np.delete(a, rng.permutation(n)[:gone]), rng.integers(0, 1 << 63, more).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) + len(b) != 2 * both:
-            assert np.intersect1d(jaccard.parts_of(a, 90), jaccard.parts_of(b, 90)).size
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            within += 1
+            assert np.intersect1d(jaccard.prefix(a, common, percent), jaccard.prefix(b, common, percent)).size
+    assert within > 300
+
+
+def test_jaccard_sketch_bounds():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 500, int(rng.integers(1, 400))).astype(np.uint64)) for _ in range(2))
+        bound = jaccard.most_common_tokens(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b))
+        assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
 
 
 def test_deduplicate(docs, rows):

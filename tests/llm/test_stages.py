@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from helispan.llm import jaccard
 from tests.llm import brute
 
 
@@ -46,28 +44,3 @@ def test_stage_against_brute_force(spark, rows):
     assert got == [i for i, _ in rows if of[i] == i]
     tight = _components(rows, 3, 90)
     assert len(got) < sum(tight[i] == i for i, _ in rows)
-
-
-def test_parts_share_at_80():
-    """Whatever two sets within 80 in 100, of every class of sizes: some part is equal."""
-    rng = np.random.default_rng(3)
-    within = 0
-    for _ in range(4000):
-        n = int(2 ** rng.uniform(0, 10))
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        most = n * 2 // 9 + 1
-        gone, more = int(rng.integers(0, most)), int(rng.integers(0, most))
-        b = np.unique(np.concatenate([np.delete(a, rng.permutation(n)[:gone]), rng.integers(0, 1 << 63, more).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 80 * (len(a) + len(b) - both) and len(a) + len(b) != 2 * both:
-            within += 1
-            assert np.intersect1d(jaccard.parts_of(a, 80), jaccard.parts_of(b, 80)).size
-    assert within > 500
-
-
-def test_parts_of_looser_sets_are_few():
-    """At 80 in 100 a set writes fewer parts than it has tokens; at 90 the number of parts is that of the differences and one."""
-    rng = np.random.default_rng(5)
-    for n in (40, 300, 1500, 9000):
-        assert len(jaccard.parts_of(np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)), 80)) < 1.5 * n
-    assert all(p == d + 1 for d, p in (jaccard.number_of_parts(c, 90) for c in range(60)))
