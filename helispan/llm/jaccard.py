@@ -1,10 +1,13 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Documents are sets of word shingles. Equal sets are one set with copies. Which sets can be linked at
-all follows from the prefix rule: put the tokens of all sets in one fixed order; two sets within the
-threshold then share a token among the first few of each. The order begins with rare tokens, told by
-a table of counts of all tokens by hash bucket, so that passages and phrases of many documents bring
-no two of them together. Any order gives the same links; counts only make candidates few.
+Documents are sets of word shingles. Equal sets are one set with copies. Two rules tell which sets can
+be linked at all, both in one fixed order of all tokens. Any order gives the same links; this one
+begins with rare tokens, told by a table of counts of all tokens by hash bucket.
+
+* A linked set has most of its tokens in common with another. So of the first tokens of each set, twice
+  as many as may be its own, it is counted which are found in any other set; a set with too many of its
+  own has no partner and is alone.
+* Prefix rule: two sets within the threshold share a token among the first few of each.
 
 Sets connected by shared prefix tokens are put in order of their least token and cut into groups of
 similar sets. A group's row of the token-group matrix is the union of its tokens, and beside each
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helispan.llm.arrow import batch_of, bound_batches, bundles, runs
+from helispan.llm.links import SCHEMA, Links
 from helispan.llm.text import hashed_words, mix, shingle_hashes, slices
 from helispan.operators.graph import connected_components
 from helispan.session import finished, materialize
@@ -43,6 +47,7 @@ PANEL_TOKENS = 400_000
 #: Buckets of the table of token counts, and how many of them travel in a row.
 BUCKETS = 1 << 20
 ROW = 1 << 12
+STEPS = 8
 #: Tables up to so many rows of two or three numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -85,14 +90,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _commonness(sets: DataFrame) -> np.ndarray:
-    """How common each bucket's tokens are in all documents, in steps of a power of two; a byte for each of BUCKETS."""
+    """How common each bucket's tokens are in all documents, in STEPS steps for each power of two; a byte for each of BUCKETS."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[at] = sums.get(at, 0) + np.frombuffer(counts, "<u4").astype(np.uint64)
-        level = {at: np.frexp(s.astype(np.float64))[1].astype(np.uint8).tobytes() for at, s in sums.items()}
+        level = {at: np.minimum(STEPS * np.log2(s + 1.0), 255).astype(np.uint8).tobytes() for at, s in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(level), pa.int32()), pa.array(list(level.values()), pa.binary())], names=["at", "level"])
 
     out = np.zeros(BUCKETS, np.uint8)
@@ -102,29 +107,31 @@ def _commonness(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set, rare ones first, of which two sets within the threshold share one.
+def own_tokens(n: int, percent: int) -> int:
+    """How many of its ``n`` tokens a set can have that a linked one lacks."""
+    return n - -(-percent * n // 100)
 
-    A partner holds at least ``percent`` in 100 of the tokens, so all but that many and one come first.
-    """
-    n = len(tokens)
-    first = n - -(-percent * n // 100) + 1
+
+def first_tokens(tokens: np.ndarray, common: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` tokens of a set in the order of all tokens, rare ones first."""
+    if count >= len(tokens):
+        return tokens
     key = (common[(tokens >> _BUCKET_SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ _SEED[1]) >> np.uint64(8))
-    return tokens[np.argpartition(key, first - 1)[:first]] if first < n else tokens
+    return tokens[np.argpartition(key, count - 1)[:count]]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["src", "dst"])
+def prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set of which two sets within the threshold share one."""
+    return first_tokens(tokens, common, own_tokens(len(tokens), percent) + 1)
 
 
-def _candidates(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Edges ``src, dst`` that connect all sets with a prefix token in common, as stars around one of them.
+def _shared(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
+    """``sid, shared``: in how many of a set's first tokens others have a part, at least; sets without any are missing.
 
-    Sets of a batch are linked before the shuffle and only one of them goes on, so that a token that
-    many sets share moves few rows; of equal sets in a task one is taken.
+    The first tokens are 2 * (own_tokens + 1). Those found in several sets of a batch are counted before
+    the shuffle, and one row of each goes on, so that a token of many sets moves few rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    table = docs.sparkSession.sparkContext.broadcast(common)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -134,20 +141,81 @@ def _candidates(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
                 for t in shingle_hashes(*hashed_words(off, raw), k):
                     if len(t) and (s := _sid(t)) not in known:
                         known.add(s)
-                        tokens.append(prefix(t, shared.value, percent))
+                        tokens.append(first_tokens(t, table.value, 2 * own_tokens(len(t), percent) + 2))
                         owners.append(s)
                 if not tokens:
                     continue
                 token, sid = np.concatenate(tokens).view(np.int64), np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])
-                order = np.lexsort((sid, token))
+                order = np.argsort(token, kind="stable")
                 token, sid = token[order], sid[order]
-                first = np.concatenate(([True], token[1:] != token[:-1]))
-                root = sid[first][np.cumsum(first) - 1]
-                linked = _pairs(sid[sid != root], root[sid != root])
-                src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
-                key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
-                columns = (np.concatenate([token[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "src", "dst"])
+                first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                rows = np.diff(np.append(first, len(token)))
+                here, times = np.unique(sid[np.repeat(rows > 1, rows)], return_counts=True)
+                # Rows of a token and its set (0) or sets (-1), and rows of what is counted here, by set.
+                columns = (np.concatenate([token[first], here]), np.concatenate([sid[first], here]), np.concatenate([-(rows > 1).astype(np.int32), times.astype(np.int32)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "sid", "shared"])
+
+    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        token, sid, several = (np.concatenate(c) for c in zip(*held, strict=True))
+        first = np.concatenate(([True], token[1:] != token[:-1]))
+        of = np.cumsum(first) - 1
+        some = np.zeros(int(of[-1]) + 1, bool)
+        some[of[several | (sid != sid[first][of])]] = True
+        found, times = np.unique(sid[some[of] & ~several], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int32))], names=["sid", "shared"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            key, sid, shared = (batch.column(i).to_numpy() for i in range(3))
+            done = shared > 0
+            yield pa.RecordBatch.from_arrays([pa.array(sid[done]), pa.array(shared[done])], names=["sid", "shared"])
+            rows = key[~done], sid[~done], shared[~done] < 0
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut or (held and held[-1][0][-1] != rows[0][-1]):
+                yield counted([*held, tuple(c[:cut] for c in rows)])
+                held = []
+            held.append(tuple(c[cut:] for c in rows))
+        if held:
+            yield counted(held)
+
+    posted = docs.select("text").mapInArrow(postings, "key long, sid long, shared int")
+    each = posted.repartition("key").sortWithinPartitions("key").mapInArrow(count, "sid long, shared int")
+    return each.groupBy("sid").agg(F.sum("shared").alias("shared"))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["src", "dst"])
+
+
+def _candidates(tokens: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect all sets with a prefix token in common, as stars around one of them.
+
+    Sets of a batch are linked before the shuffle and only one of them goes on, so that a token that
+    many sets share moves few rows.
+    """
+    table = tokens.sparkSession.sparkContext.broadcast(common)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            found = [prefix(values[i:j], table.value, percent) for i, j in zip(at[:-1], at[1:], strict=True)]
+            if not found:
+                continue
+            token, sid = np.concatenate(found).view(np.int64), np.repeat(batch.column(0).to_numpy(), [len(t) for t in found])
+            order = np.lexsort((sid, token))
+            token, sid = token[order], sid[order]
+            first = np.concatenate(([True], token[1:] != token[:-1]))
+            root = sid[first][np.cumsum(first) - 1]
+            linked = _pairs(sid[sid != root], root[sid != root])
+            src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
+            key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
+            columns = (np.concatenate([token[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "src", "dst"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -164,20 +232,20 @@ def _candidates(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Da
             yield _pairs(src[src != root], root[src != root])
             last, held = token[-1], root[-1]
 
-    posted = docs.select("text").mapInArrow(postings, "token long, src long, dst long")
+    posted = tokens.select("sid", "tokens").mapInArrow(postings, "token long, src long, dst long")
     return posted.repartition("token").sortWithinPartitions("token").mapInArrow(links, "src long, dst long")
 
 
 def _grouped(active: DataFrame) -> DataFrame:
     """Adds ``gid`` and ``panel`` to sets with a component: groups of one component, of similar sets where they are many."""
-    columns = ["component", "sid", "text_key", "n", "copies"]
+    columns = ["component", "sid", "n", "copies"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = panel = TaskContext.get().partitionId() << 32
         of, count, tokens, groups, held = None, 0, 0, 0, 0
         for batch in batches:
             gids, panels = [], []
-            for component, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for component, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if component != of or count == GROUP or tokens + n > GROUP_TOKENS:
                     gid, count, tokens, groups = gid + 1, 0, 0, groups + 1
                     if component != of or groups > PANEL or held + n > PANEL_TOKENS:
@@ -185,11 +253,11 @@ def _grouped(active: DataFrame) -> DataFrame:
                 count, tokens, held = count + 1, tokens + n, held + n
                 gids.append(gid)
                 panels.append(panel)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(gids, pa.int64()), pa.array(panels, pa.int64())], names=[*columns, "gid", "panel"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(gids, pa.int64()), pa.array(panels, pa.int64())], names=[*columns, "gid", "panel"])
 
     keys = ["component", "least", "sid"]
     ordered = active.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns)
-    return ordered.mapInArrow(number, "component long, sid long, text_key long, n long, copies long, gid long, panel long")
+    return ordered.mapInArrow(number, "component long, sid long, n long, copies long, gid long, panel long")
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -245,27 +313,25 @@ def _matrix(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("gid").sortWithinPartitions("gid").mapInArrow(rows, _MATRIX)
 
 
-def _tokens(docs: DataFrame, grouped: DataFrame, k: int) -> DataFrame:
-    """``component, panel, gid, sid, copies, tokens`` of the sets in groups, from one text of each (of each task)."""
-    asked = grouped.select("text_key", "sid", "copies", "gid", "panel", "component")
-    asked = F.broadcast(asked) if grouped.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
+def _tokens(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``sid, tokens`` of the sets asked for by text_key and sid, from one text of each (of each task)."""
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(asked, "text_key")
-    schema = pa.schema([*((c, pa.int64()) for c in ("component", "panel", "gid", "sid", "copies")), ("tokens", pa.list_(pa.int64()))])
+    kinds = [("sid", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            keys = [batch.column(i).to_pylist() for i in range(5)]
-            for at, off, raw in slices(batch.column(5)):
+            sids = batch.column(0).to_pylist()
+            for at, off, raw in slices(batch.column(1)):
                 rows = []
-                for i, t in enumerate(shingle_hashes(*hashed_words(off, raw), k), at):
-                    if len(t) and (s := keys[3][i]) not in known and _sid(t) == s:
+                for s, t in zip(sids[at : at + len(off) - 1], shingle_hashes(*hashed_words(off, raw), k), strict=True):
+                    if len(t) and s not in known and _sid(t) == s:
                         known.add(s)
-                        rows.append((*(c[i] for c in keys), t.view(np.int64)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows.append((s, t.view(np.int64)))
+                yield batch_of(rows, kinds)
 
-    return texts.select("component", "panel", "gid", "sid", "copies", "text").mapInArrow(tokens, "component long, panel long, gid long, sid long, copies long, tokens array<long>")
+    return texts.select("sid", "text").mapInArrow(tokens, "sid long, tokens array<long>")
 
 
 def _opened(matrix: DataFrame, percent: int) -> DataFrame:
@@ -327,23 +393,8 @@ def overlaps(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray,
     return found
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least connected number for each of ``n``, over the links between ``a`` and ``b``."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
-def _verified(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Source, target and number of links of the opened groups of two panels, or of one with itself."""
+def _verified(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Links of the opened groups of two panels, or of one with itself."""
     second = batch.column("second").to_numpy(zero_copy_only=False)
 
     def lists(name: str) -> list[np.ndarray]:
@@ -351,44 +402,32 @@ def _verified(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarr
         return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
     groups = [(t, w.view(np.uint64), n) for t, w, n in zip(lists("tokens"), lists("words"), lists("ns"), strict=True)]
-    sid, copies = np.concatenate(lists("sids")), np.concatenate(lists("copies"))
+    links = Links(np.concatenate(lists("copies")))
     at = np.cumsum([0, *(len(g[2]) for g in groups)])
-    count, a, b = np.zeros(len(sid), np.int64), [], []
+    own = [np.arange(i, j) for i, j in zip(at[:-1], at[1:], strict=True)]
     alone = batch.column("x")[0] == batch.column("y")[0]
     for i in range(len(groups)):
         for j in range(i, len(groups)) if alone else np.flatnonzero(second) if not second[i] else ():
             found = overlaps(groups[i], groups[j], percent)
             if i == j:
                 np.fill_diagonal(found, False)
-            p, q = np.nonzero(np.triu(found) if i == j else found)
-            if not len(p):
-                continue
-            own, other = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
-            count[own] += found @ copies[other]
-            if i != j:
-                count[other] += copies[own] @ found
-            a.append(p + at[i])
-            b.append(q + at[j])
-    none = np.zeros(0, np.int64)
-    root = _roots(len(sid), np.concatenate([none, *a]), np.concatenate([none, *b]))
-    some = np.flatnonzero(count)
-    return sid[some], sid[root[some]], count[some]
-
-
-def _links(docs: DataFrame, active: DataFrame, k: int, percent: int) -> DataFrame:
+            if found.any():
+                links.add(own[i], own[j], found, both=i != j)
+    return links.rows(np.concatenate(lists("sids")))
+
+
+def _links(tokens: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """``src, dst, links``: connects each linked set with one of its sets, and counts its links in all rows."""
-    grouped = materialize(_grouped(active), "groups")
-    matrix = materialize(_matrix(_tokens(docs, grouped, k)), "matrix")
+    matrix = materialize(_matrix(tokens.join(grouped, "sid").select("component", "panel", "gid", "sid", "copies", "tokens")), "matrix")
     opened = materialize(_opened(matrix, percent), "opened")
     asked = F.broadcast(opened) if opened.count() <= BROADCAST_ROWS else opened
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in bundles(runs(batches, 0, 1), 200):
-            found = [_verified(b, percent) for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["src", "dst", "links"])
+            yield pa.concat_batches([_verified(b, percent) for b in some])
 
     rows = matrix.select("gid", "sids", "copies", "ns", "tokens", "words").join(asked, "gid").select("x", "y", "second", "sids", "copies", "ns", "tokens", "words")
-    return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(verify, "src long, dst long, links long")
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(verify, SCHEMA)
 
 
 def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -401,8 +440,14 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     own = sets.where("sid is not null")
     each = own.groupBy("sid").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("least").alias("least"), F.count("*").alias("copies"))
     each = materialize(each.select("*", F.col("first.text_key").alias("text_key")), "each")
-    near = connected_components(_candidates(docs, _commonness(sets), k, percent)).withColumnRenamed("node", "sid")
-    links = finished(spark, lambda: _links(docs, each.join(near, "sid"), k, percent), "links")
+    common = _commonness(sets)
+    own_most = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    first_n = F.least(F.col("n"), 2 * own_most + 2)
+    alive = materialize(each.join(_shared(docs, common, k, percent), "sid").where(first_n - F.col("shared") <= own_most).drop("shared"), "alive")
+    tokens = materialize(_tokens(docs, alive.select("text_key", "sid"), k), "tokens")
+    near = connected_components(_candidates(tokens, common, percent)).withColumnRenamed("node", "sid")
+    grouped = materialize(_grouped(alive.join(near, "sid")), "groups")
+    links = finished(spark, lambda: _links(tokens, grouped, percent), "links")
     joined = connected_components(links).withColumnRenamed("node", "sid")
     counts = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
     part = each.join(joined, "sid", "left").join(counts, "sid", "left").where("copies > 1 or component is not null")
