@@ -1,17 +1,24 @@
 """Secret scans in SQL functions only: three fixed patterns, and entropy of candidate strings.
 
 Positions are code points. SQL functions give matches but no positions, so a text is split by the
-pattern that also extracts the matches, and lengths of pieces and matches add up to positions.
+pattern that also extracts the matches, and running sums of the lengths of pieces and matches are
+the positions.
 
 The added method takes strings of 20 or more characters of keys, at least one digit and one letter
-among them, and slides a window of 20 characters over each. A window's entropy comes from the counts
-of its characters, which change by one character in and one out at each step. A string is a secret
-if its highest window entropy reaches the threshold of its character class (digits and one case of
-hexadecimal letters, or more) and no allow-list pattern suppresses it.
+among them, and slides a window of 20 characters over each. The fold over a string keeps the count
+of every character in the window, and for each character class (digits, lower case, upper case,
+marks) the number of its characters and their part of the entropy; a step takes one character out
+and one in. A string is a secret if some window has entropy enough as a whole, each class of which
+there are characters enough is spread over its own alphabet, and no allow-list pattern suppresses it.
+
+Work is linear in a text, or nearly so: running sums over m matches are made in blocks of sqrt(m).
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,85 +35,183 @@ CANDIDATE = rf"(?<![{_KEY}])[{_KEY}]{{20,}}"
 #: A candidate may be a secret only if a digit and a letter are among its characters.
 CANDIDATE_HINT = rf"(?<![{_KEY}])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Za-z])[{_KEY}]{{20}}"
 WINDOW = 20
-#: Least bits of the best window, by class.
+#: Least bits of a window, by the alphabet of the string: one case of hexadecimal digits, or more.
 MIN_ENTROPY = {"hex": 2.9, "other": 3.6}
-#: Strings that are not secrets: documented samples, paths, words joined by dashes, identifiers in the 8-4-4-4-12 form.
+#: The character classes.
+CLASSES = {"digit": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "mark": "+/_-"}
+#: Letters of a class that hexadecimal strings use.
+HEX_LETTERS = 6
+#: Characters of a class in a window from which its own entropy counts, and its least share of what its alphabet allows.
+CLASS_CHARS, CLASS_SHARE = 6, 0.6
+#: Strings that are not secrets: documented samples, paths of words, words joined by dashes, identifiers in the 8-4-4-4-12 form.
 ALLOWED = [
     r"(?i)example|sample|dummy|placeholder|xxxx",
-    r"^/?(?:[A-Za-z_-]+/)+[A-Za-z0-9_-]*$",
-    r"^[a-z]+(?:[-_][a-z0-9]+)+$",
+    rf"^/?+(?:[A-Z]?+[a-z]++(?:[_-][A-Z]?+[a-z]++)*+/)++[A-Za-z0-9_-]{{0,{WINDOW - 1}}}$",
+    r"^[a-z]++(?:[-_][a-z0-9]++)++$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
 ]
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:int,stop:int,kind:string,text:string>>"
 
+#: A count takes 5 bits, twelve of them a word; words of one class follow each other.
+_BITS, _PER_WORD = 5, 12
+_WORD_CLASS = [c for c, chars in enumerate(CLASSES.values()) for _ in range(-(-len(chars) // _PER_WORD))]
+#: By character code: the word and the shift of its count.
+_PLACE = {ord(x): (_WORD_CLASS.index(c) + i // _PER_WORD, _BITS * (i % _PER_WORD)) for c, chars in enumerate(CLASSES.values()) for i, x in enumerate(chars)}
+#: Parts of the entropy are whole numbers of this unit, so that sums are exact.
+_UNIT = 1 << 32
+_COST = [round(n * math.log2(n) * _UNIT) if n else 0 for n in range(WINDOW + 1)]
 
-def _none() -> Column:
-    return F.array().cast(_SPAN)
+
+def _class_limits(hexadecimal: bool) -> list[int]:
+    """By class and number of its characters in a window: the most that n log2 n of their counts may add up to."""
+    out = []
+    for name, chars in CLASSES.items():
+        letters = min(len(chars), HEX_LETTERS) if hexadecimal and name in ("lower", "upper") else len(chars)
+        out += [_COST[n] if n < CLASS_CHARS else round((math.log2(n) - CLASS_SHARE * math.log2(min(n, letters))) * n * _UNIT) for n in range(WINDOW + 1)]
+    return out
 
 
-def _spans(text: str, pattern: str, hint: str, kind: str) -> Column:
-    """Matches of a pattern as (start, stop, kind, text), leftmost and not overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
+def _literal(values: list[int], kind: str) -> Column:
+    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["piece"])
-        stop = at + F.length(x["match"])
-        span = F.struct(at.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x["match"].alias("text"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    return F.when(F.rlike(text, F.lit(hint)), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(_none())
 
+def _blocks(values: Column, body: Callable[[Column], Column]) -> Column:
+    """The values in blocks of about the square root of their number, each through ``body``; null for none."""
 
-def _cost(n: Column) -> Column:
-    """A count's part of the entropy of a window: n log2 n, and 0 for none."""
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    def cut(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _let(step, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / s).cast("int")), lambda b: body(F.slice(v, b * s + 1, s))))
 
+    return F.when(F.size(values) > 0, _let(values, cut))
 
-def best_entropy(s: Column) -> Column:
-    """Highest Shannon entropy, in bits, of the windows of a string at least as long as one."""
-    size = F.lit(float(WINDOW))
 
-    def count(c: Column, within: Column) -> Column:
-        return F.length(within) - F.length(F.replace(within, c, F.lit("")))
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``combine`` over an array of integers from 0 on."""
 
-    first = F.substring(s, 1, WINDOW)
-    total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(_cost(count(c, first))))
+    def scan(block: Column) -> Column:
+        return F.aggregate(F.slice(block, 2, F.size(block)), F.slice(block, 1, 1), lambda a, x: F.concat(a, F.array(combine(F.element_at(a, -1), x))))
 
-    def step(acc: Column, i: Column) -> Column:
-        leaves, enters, stay = s.substr(i, F.lit(1)), s.substr(i + WINDOW, F.lit(1)), s.substr(i + 1, F.lit(WINDOW - 1))
-        out, new = count(leaves, stay), count(enters, stay)
-        total = acc["total"] - _cost(out + 1) + _cost(out) - _cost(new) + _cost(new + 1)
-        return F.struct(total.alias("total"), F.least(acc["least"], total).alias("least"))
+    def carried(inner: Column) -> Column:
+        before = F.aggregate(inner, F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(combine(F.element_at(a, -1), F.element_at(r, -1)))))
+        return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda r, c: F.transform(r, lambda x: combine(c, x))))
 
-    moves = F.when(F.length(s) > WINDOW, F.sequence(F.lit(1), F.length(s) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(total.alias("total"), total.alias("least"))
-    return F.log2(size) - F.aggregate(moves, start, step, lambda acc: acc["least"]) / size
+    return F.coalesce(_let(_blocks(values, scan), carried), F.array().cast("array<int>"))
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
+
+
+def _spans(text: Column, pattern: str, hint: str, kind: str) -> Column:
+    """Matches of a pattern as (start, stop, kind, text), leftmost and not overlapping."""
+
+    def of(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+        stops = running(lengths, lambda a, b: a + b)
+        return F.zip_with(found, stops, lambda m, stop: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), m.alias("text")))
+
+    return F.when(F.rlike(text, F.lit(hint)), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(_none())
+
+
+def window_entropy(s: Column, hexadecimal: Column) -> Column:
+    """Of a string of key characters: ``best``, the highest entropy of its windows in bits, and ``spread``.
+
+    ``spread`` tells whether some window reaches the least entropy of its alphabet with every class spread.
+    """
+    words = _literal([_PLACE.get(i, (0, 0))[0] for i in range(128)], "int")
+    steps = _literal([1 << _PLACE.get(i, (0, 0))[1] for i in range(128)], "bigint")
+    shifts = _literal([_PLACE.get(i, (0, 0))[1] for i in range(128)], "int")
+    classes = _literal(_WORD_CLASS, "int")
+    gains = _literal([b - a for a, b in zip(_COST, _COST[1:], strict=False)], "bigint")
+    most = {k: round((math.log2(WINDOW) - v) * WINDOW * _UNIT) for k, v in MIN_ENTROPY.items()}
+    limit = F.when(hexadecimal, F.lit(most["hex"])).otherwise(F.lit(most["other"])).cast("bigint")
+    limits = F.when(hexadecimal, _literal(_class_limits(True), "bigint")).otherwise(_literal(_class_limits(False), "bigint"))
+
+    def move(code: Column, sign: int) -> Column:
+        word = F.element_at(words, code + 1)
+        return F.struct(word.alias("word"), F.element_at(classes, word + 1).alias("class"), F.element_at(shifts, code + 1).alias("shift"), (F.element_at(steps, code + 1) * sign).alias("step"), F.lit(sign).alias("sign"))
+
+    def moves(codes: Column) -> Column:
+        first = F.transform(F.slice(codes, 1, WINDOW), lambda c: move(c, 1))
+        rest = F.slice(codes, WINDOW + 1, F.size(codes))
+        return F.concat(first, F.flatten(F.zip_with(F.slice(codes, 1, F.size(rest)), rest, lambda out, new: F.array(move(out, -1), move(new, 1)))))
+
+    def seen(acc: Column, full: Column) -> tuple[Column, Column]:
+        """Least total and verdict after the window of ``acc``, where it is full."""
+        total = F.aggregate(acc["sums"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+        even = F.forall(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1)), lambda c: F.element_at(acc["sums"], c + 1) <= F.element_at(limits, c * (WINDOW + 1) + F.element_at(acc["sizes"], c + 1) + 1))
+        return F.when(full, F.least(acc["least"], total)).otherwise(acc["least"]), acc["spread"] | (full & (total <= limit) & even)
+
+    def step(acc: Column, e: Column) -> Column:
+        least, spread = seen(acc, e["sign"] < 0)
+        count = F.call_function("shiftright", F.element_at(acc["words"], e["word"] + 1), e["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1).cast("bigint"))
+        gain = F.element_at(gains, count.cast("int") + F.when(e["sign"] > 0, 1).otherwise(0)) * e["sign"]
+        return F.struct(
+            F.transform(acc["words"], lambda w, i: F.when(i == e["word"], w + e["step"]).otherwise(w)).alias("words"),
+            F.transform(acc["sums"], lambda x, i: F.when(i == e["class"], x + gain).otherwise(x)).alias("sums"),
+            F.transform(acc["sizes"], lambda x, i: F.when(i == e["class"], x + e["sign"]).otherwise(x)).alias("sizes"),
+            least.alias("least"), spread.alias("spread"),
+        )
+
+    def last(acc: Column) -> Column:
+        least, spread = seen(acc, F.lit(True))
+        return F.struct((F.lit(math.log2(WINDOW)) - least / F.lit(float(WINDOW * _UNIT))).alias("best"), spread.alias("spread"))
+
+    start = F.struct(
+        _literal([0] * len(_WORD_CLASS), "bigint").alias("words"), _literal([0] * len(CLASSES), "bigint").alias("sums"), _literal([0] * len(CLASSES), "int").alias("sizes"),
+        F.lit(2 * _COST[WINDOW]).cast("bigint").alias("least"), F.lit(False).alias("spread"),
+    )
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), F.ascii)
+    return F.aggregate(_let(codes, moves), start, step, last)
 
 
 def _is_secret(s: Column) -> Column:
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     for pattern in ALLOWED:
         mixed = mixed & ~s.rlike(pattern)
-    least = F.when(s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(MIN_ENTROPY["hex"])).otherwise(F.lit(MIN_ENTROPY["other"]))
-    return F.when(mixed, best_entropy(s) >= least).otherwise(F.lit(False))
+    return F.when(mixed, window_entropy(s, s.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"))["spread"]).otherwise(F.lit(False))
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_base`` and ``_more``: spans (start, stop, kind, text) of the fixed patterns, and of the entropy method.
+def secret_spans(text: Column) -> Column:
+    """``base`` and ``more``: spans (start, stop, kind, text) of the fixed patterns, and of the entropy method.
 
     A null or empty text has none. Candidates that a base span already covers are not added again.
     """
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.select("*", *[_spans("_t", p, HINTS[k], k).alias(f"_{k}") for k, p in PATTERNS.items()], _spans("_t", CANDIDATE, CANDIDATE_HINT, "entropy").alias("_e"))
-    long_value = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["text"], PATTERNS["assign"], 1)) >= LEAST["assign"])
-    long_key = F.filter("_access", lambda x: F.length(x["text"]) >= LEAST["access"])
-    d = d.select("*", F.concat(long_value, long_key, "_hex").alias("_base")).drop("_assign", "_access", "_hex")
-    covered = lambda x: F.exists("_base", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"]))
-    return d.select("*", F.filter("_e", lambda x: F.when(covered(x), F.lit(False)).otherwise(_is_secret(x["text"]))).alias("_more")).drop("_e", "_t")
+    text = F.coalesce(text, F.lit(""))
+    spans = {k: _spans(text, p, HINTS[k], k) for k, p in PATTERNS.items()}
+    long_value = F.filter(spans["assign"], lambda x: F.length(F.regexp_extract(x["text"], PATTERNS["assign"], 1)) >= LEAST["assign"])
+    long_key = F.filter(spans["access"], lambda x: F.length(x["text"]) >= LEAST["access"])
+    base = F.concat(long_value, long_key, spans["hex"])
+
+    def open_(base: Column, found: Column) -> Column:
+        """Candidates that reach beyond every base span that begins no later."""
+        given = F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("rank"), x["stop"].alias("stop"), F.lit("").alias("text")))
+        asked = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("rank"), x["stop"].alias("stop"), x["text"].alias("text")))
+
+        def beyond(rows: Column) -> Column:
+            reach = running(F.transform(rows, lambda x: F.when(x["rank"] == 0, x["stop"]).otherwise(F.lit(0))), F.greatest)
+            pairs = F.zip_with(rows, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r")))
+            return F.transform(F.filter(pairs, lambda p: (p["x"]["rank"] == 1) & (p["r"] < p["x"]["stop"])), lambda p: p["x"])
+
+        return F.when(F.size(found) > 0, _let(F.sort_array(F.concat(given, asked)), beyond)).otherwise(F.array().cast("array<struct<start:int,rank:int,stop:int,text:string>>"))
+
+    def both(base: Column) -> Column:
+        secret = F.filter(open_(base, _spans(text, CANDIDATE, CANDIDATE_HINT, "entropy")), lambda x: _is_secret(x["text"]))
+        more = F.transform(secret, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit("entropy").alias("kind"), x["text"].alias("text")))
+        return F.struct(base.alias("base"), more.alias("more"))
+
+    return _let(base, both)
+
+
+def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+    """The documents with a column ``into`` of ``secret_spans``; a column of that name is replaced."""
+    return docs.withColumn(into, secret_spans(F.col(text)))
 
 
 def _listed(spans: Column) -> Column:
@@ -120,12 +225,35 @@ def digest(docs: DataFrame) -> DataFrame:
 
     A null ``doc_id`` stays null, repeated rows repeat, other columns are ignored.
     """
-    d = find_secrets(docs.select("doc_id", "text"))
+    d = docs.select("doc_id", secret_spans(F.col("text")).alias("s")).select("doc_id", F.col("s.base").alias("base"), F.col("s.more").alias("more"))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return d.select("doc_id", *map(count, PATTERNS), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.concat("_base", "_more")).alias("spans"))
+    return d.select("doc_id", *map(count, PATTERNS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "more")).alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """A text with the spans masked, those that overlap as one."""
+
+    def gaps(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda x: x["stop"]), F.greatest)
+
+        def between(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1))
+            after = F.concat(F.transform(F.slice(rows, 2, F.size(rows)), lambda x: x["start"]), F.array(F.length(text) + 1))
+            starts = F.transform(F.filter(F.zip_with(rows, before, lambda x, b: F.struct(x["start"].alias("at"), b.alias("b"))), lambda p: p["at"] >= p["b"]), lambda p: p["at"])
+            stops = F.transform(F.filter(F.zip_with(reach, after, lambda r, a: F.struct(r.alias("at"), a.alias("a"))), lambda p: p["a"] >= p["at"]), lambda p: p["at"])
+            return F.zip_with(F.concat(F.array(F.lit(0)), stops), F.concat(starts, F.array(F.length(text))), lambda f, t: F.struct(f.alias("f"), t.alias("t")))
+
+        return _let(reach, between)
+
+    def pieces(block: Column) -> Column:
+        """Pieces are cut from a stretch of the text, as each cut walks from the start of what it is cut from."""
+        first, stretch = block[0]["f"], text.substr(block[0]["f"] + 1, F.element_at(block, -1)["t"] - block[0]["f"])
+        return _let(stretch, lambda part: F.transform(block, lambda p: part.substr(p["f"] - first + 1, p["t"] - p["f"])))
+
+    return F.array_join(F.flatten(_blocks(gaps(spans), pieces)), MASK)
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -134,18 +262,11 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     Spans that overlap are masked as one; a text without secrets, or null, stays as it is.
     """
     columns = docs.columns
-    d = find_secrets(docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]), f"_k{columns.index(text)}")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)])
     old = F.col(f"_k{columns.index(text)}")
-    spans = F.sort_array(F.transform(F.concat("_base", "_more"), lambda x: F.struct(x["start"], x["stop"])))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        kept = F.when(apart, F.concat(old.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["done"], kept).alias("done"), F.greatest(acc["at"], x["stop"]).alias("at"))
-
-    masked = F.aggregate("_s", start, step, lambda acc: F.concat(acc["done"], old.substr(acc["at"] + 1, F.length(old))))
-    d = d.withColumn("_s", spans).withColumn("_m", F.when(F.size("_s") > 0, masked).otherwise(old))
+    d = own.withColumn("_f", secret_spans(old))
+    d = d.withColumn("_s", F.sort_array(F.transform(F.concat("_f.base", "_f.more"), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))))
+    d = d.withColumn("_m", F.when(F.size("_s") > 0, masked(old, F.col("_s"))).otherwise(old))
     out = []
     for i, c in enumerate(columns):
         if c == text:

@@ -73,6 +73,41 @@ def secrets(text):
     return c["assign"], c["access"], c["hex"], hashlib.sha256(listed.encode()).hexdigest(), listed
 
 
+def entropies(s):
+    """Highest window entropy of a string, and whether a window passes as a whole and in each class."""
+    hexadecimal = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
+    best, passes = 0.0, False
+    for i in range(len(s) - 19):
+        window = s[i : i + 20]
+
+        def bits(x):
+            return -sum(k / len(x) * np.log2(k / len(x)) for k in Counter(x).values())
+
+        best = max(best, bits(window))
+        fine = bits(window) >= (2.9 if hexadecimal else 3.6) - 1e-9
+        for test, letters in ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26), (lambda c: c in "+/_-", 4)):
+            own = [c for c in window if test(c)]
+            letters = 6 if hexadecimal and letters == 26 else letters
+            fine &= len(own) < 6 or bits(own) >= 0.6 * np.log2(min(len(own), letters)) - 1e-9
+        passes |= fine
+    return best, passes
+
+
+ALLOWED = [r"(?i)example|sample|dummy|placeholder|xxxx", r"^/?(?:[A-Z]?[a-z]+(?:[_-][A-Z]?[a-z]+)*/)+[A-Za-z0-9_-]{0,19}$", r"^[a-z]+(?:[-_][a-z0-9]+)+$", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"]
+
+
+def all_spans(text):
+    """The spans of the fixed patterns and of the entropy method, listed."""
+    base = [(int(a), i, int(b), k) for i, k in enumerate(("assign", "access", "hex")) for x in secrets(text)[4].split(",") if x for n, a, b in [x.split(":")] if n == k]
+    out = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        s = m[0]
+        inside = any(a <= m.start() and m.end() <= b for a, _, b, _ in base)
+        if not inside and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(re.search(p, s) for p in ALLOWED) and entropies(s)[1]:
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
 def targets(sizes):
     """Source -> target."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
