@@ -78,3 +78,19 @@ def axis_angles(df: DataFrame, centre1: str, direction1: str, centre2: str, dire
     d = d.withColumn("_p", along(F.col("_near.pa"), one, d1)).withColumn("_q", along(F.col("_near.pb"), one, d2))
     angle = F.when(F.col("_near").isNotNull(), dihedral(F.col("_p"), F.col("_near.pa"), F.col("_near.pb"), F.col("_q")))
     return d.withColumn(name, angle).drop("_b", "_d", "_near", "_p", "_q")
+
+
+def three_axes_angle(df: DataFrame, axes: list[tuple[str, str]], name: str) -> DataFrame:
+    """Adds the signed angle between the planes of the first and second and of the second and third axis (F16).
+
+    ``axes`` are pairs of columns of centres and directions. The planes hold the shortest lines from the
+    second axis to the others; null where one of those is parallel to it.
+    """
+    one = F.lit(1.0)
+    (c1, d1), (c2, d2), (c3, d3) = axes
+    d = df
+    for k, (c, v) in enumerate(axes):
+        d = d.withColumn(f"_e{k}", along(F.col(c), one, F.col(v)))
+    d = d.withColumn("_ab", closest(F.col(c1), F.col("_e0"), F.col(c2), F.col("_e1"))).withColumn("_cd", closest(F.col(c2), F.col("_e1"), F.col(c3), F.col("_e2")))
+    angle = F.when(F.col("_ab").isNotNull() & F.col("_cd").isNotNull(), dihedral(F.col("_ab.pa"), F.col("_ab.pb"), F.col("_cd.pa"), F.col("_cd.pb")))
+    return d.withColumn(name, angle).drop("_e0", "_e1", "_e2", "_ab", "_cd")

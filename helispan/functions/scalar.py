@@ -129,3 +129,38 @@ def gradient(rank: Column, count: Column) -> Column:
 def palette(colours: list[str], number: Column) -> Column:
     """A colour of a repeating palette."""
     return F.element_at(F.array(*map(F.lit, colours)), (F.pmod(number, F.lit(len(colours))) + 1).cast("int"))
+
+
+#: The colours of groups, in their order.
+COLOURS = ["ff0000", "0000ff", "00ff00", "ffa500", "800080", "00ffff", "ffc0cb", "808000", "008080", "a52a2a"]
+
+
+def from_flat_index(sizes: list[int], number: Column) -> list[Column]:
+    """The place in an array of these sizes that has a row-major number: the inverse of ``flat_index``."""
+    out, left = [], number
+    for size in reversed(sizes[1:]):
+        out.append(F.pmod(left, F.lit(size)).cast("long"))
+        left = F.floor(left / size)
+    return [left.cast("long"), *reversed(out)]
+
+
+def from_packed_index(number: Column) -> Column:
+    """``i, j`` of a place in a packed upper triangle."""
+    j = F.floor((F.sqrt(8.0 * number + 1) - 1) / 2).cast("long")
+    return F.struct((number - (j * (j + 1) / 2).cast("long")).cast("long").alias("i"), j.alias("j"))
+
+
+def hex_to_rgb(colour: Column) -> Column:
+    """``r, g, b`` from 0 to 1 of a hex colour (F23); null if it is none."""
+    part = lambda k: F.conv(F.substring(colour, 2 * k + 1, 2), 16, 10).cast("int") / F.lit(255.0)
+    return F.when(colour.rlike("^[0-9a-fA-F]{6}$"), F.struct(part(0).alias("r"), part(1).alias("g"), part(2).alias("b")))
+
+
+def colour_list(names: Column) -> Column:
+    """Hex colours of a comma-separated list, in order, without what is none."""
+    return F.filter(F.transform(F.split(names, ","), lambda x: F.lower(F.trim(x))), lambda x: x.rlike("^[0-9a-f]{6}$"))
+
+
+def blank_to_null(x: Column) -> Column:
+    """A character, or null for a blank."""
+    return F.when(F.trim(x) != "", x)

@@ -1,8 +1,9 @@
-"""Alignment and matching of code matrices."""
+"""Alignment and matching of code matrices."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helispan.functions.scalar import MISMATCH
+from helispan.operators.pairs import against
 
 #: Gap of the two levels for codes and for angles.
 GAP_CODES, GAP_ANGLES = -1.0, -20.0
@@ -114,21 +116,28 @@ def _square(packed: list, codes: bool) -> np.ndarray:
     return out
 
 
-def search(database: DataFrame, query: list, key: str = "target_id", packed: str = "packed", typed: bool = False, gap: float | None = None) -> DataFrame:
-    """``key, score`` of a query's packed matrix with every matrix of a database.
+def search(database: DataFrame, queries: DataFrame, key: str = "target_id", packed: str = "packed", typed: bool = False, gap: float | None = None) -> DataFrame:
+    """``query_id, key, score`` of every query's packed matrix with every matrix of a database.
 
-    The query, one structure, goes to every task; the database is read once and not shuffled.
+    ``queries`` has query_id and packed, a stated set; they go to the tasks in blocks, and the database
+    is not shuffled.
     """
-    codes = bool(query) and isinstance(query[0], str)
-    kind = database.schema[key].dataType.simpleString()
-    target = _square(query, codes)
+    codes = "string" in database.schema[packed].dataType.simpleString()
+    kinds = queries.schema["query_id"].dataType.simpleString(), database.schema[key].dataType.simpleString()
+    asked = queries.select("query_id", F.col(packed).alias("_query"))
+    both = against(asked, database.select(key, packed), "query_id").select("query_id", key, "_query", packed)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [match_matrices(target, _square(m, codes), gap, typed) for m in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=[key, "score"])
+            targets: dict[object, np.ndarray] = {}
+            found = []
+            for name, query, matrix in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if name not in targets:
+                    targets[name] = _square(query, codes)
+                found.append(match_matrices(targets[name], _square(matrix, codes), gap, typed))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["query_id", key, "score"])
 
-    return database.select(key, packed).mapInArrow(rows, f"{key} {kind}, score double")
+    return both.mapInArrow(rows, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
 
 
 def objective_terms(a: DataFrame, b: DataFrame, key: str, score: Column) -> DataFrame:
@@ -144,3 +153,42 @@ def order_conflicts(pairs: DataFrame, key: str) -> DataFrame:
     x = pairs.select(key, F.col("i"), F.col("j"))
     y = pairs.select(key, F.col("i").alias("k"), F.col("j").alias("l"))
     return x.join(y, key).where("i < k and l < j")
+
+
+def match_constraints(matches: DataFrame, key: str, products: bool = True) -> DataFrame:
+    """``key, constraint, variable, coefficient, bound`` of the matching problem (M9), each a sum that is at most its bound.
+
+    ``matches`` has key, i, j: variable ``y_i_j`` says that i of one matrix is matched with j of the other.
+    A row and a column match once; a variable ``x_i_j_k_l`` of two matches that do not cross is at most
+    each of both, and, with ``products``, at least their sum less one; matches that cross exclude each other.
+    """
+    y = F.concat_ws("_", F.lit("y"), "i", "j")
+    one = matches.select(key, F.concat_ws("_", F.lit("row"), "i").alias("constraint"), y.alias("variable")).unionByName(matches.select(key, F.concat_ws("_", F.lit("column"), "j").alias("constraint"), y.alias("variable")))
+    parts = [one.select("*", F.lit(1).alias("coefficient"), F.lit(1).alias("bound"))]
+    a, b = matches.select(key, "i", "j"), matches.select(key, F.col("i").alias("k"), F.col("j").alias("l"))
+    two = a.join(b, key).where("i < k and j <> l")
+    ends = [F.concat_ws("_", F.lit("y"), "i", "j"), F.concat_ws("_", F.lit("y"), "k", "l")]
+    pair = F.concat_ws("_", F.lit("x"), "i", "j", "k", "l")
+
+    def rows(of: DataFrame, name: str, bound: int, terms: list[tuple[Column, int]]) -> DataFrame:
+        listed = F.array(*[F.struct(v.alias("variable"), F.lit(c).alias("coefficient")) for v, c in terms])
+        return of.select(key, F.concat_ws("_", F.lit(name), "i", "j", "k", "l").alias("constraint"), F.inline(listed), F.lit(bound).alias("bound")).select(key, "constraint", "variable", "coefficient", "bound")
+
+    straight = two.where("j < l")
+    parts += [rows(straight, "first", 0, [(pair, 1), (ends[0], -1)]), rows(straight, "second", 0, [(pair, 1), (ends[1], -1)])]
+    if products:
+        parts.append(rows(straight, "both", 1, [(ends[0], 1), (ends[1], 1), (pair, -1)]))
+    parts.append(rows(two.where("l < j"), "cross", 1, [(ends[0], 1), (ends[1], 1)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def quadratic_terms(a: DataFrame, b: DataFrame, key: str, score: Column) -> DataFrame:
+    """``key, p, q, value`` of the quadratic matching problem (M6): what it is worth to match i with j and k with l.
+
+    ``a`` has key, n, i, k, code, kind, kind_k and ``b`` key, m, j, l, code2, kind2, kind2_l; p = i m + j and
+    q = k m + l. Pairs of places in a different order, and matches of different kinds, are worth -999;
+    cells of one row or column are left out.
+    """
+    d = a.join(b, key).where("i <> k and j <> l")
+    bad = ((F.col("i") < F.col("k")) != (F.col("j") < F.col("l"))) | (F.col("kind") != F.col("kind2")) | (F.col("kind_k") != F.col("kind2_l"))
+    return d.select(key, (F.col("i") * F.col("m") + F.col("j")).alias("p"), (F.col("k") * F.col("m") + F.col("l")).alias("q"), F.when(bad, F.lit(-999.0)).otherwise(score.cast("double")).alias("value"))

@@ -5,14 +5,15 @@ Edges are rows ``by, src, dst``, each undirected edge once and without loops.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helispan.operators import runs
+from helispan.session import materialize
+
 
 def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
     """``by, node, degree``."""
@@ -88,35 +89,16 @@ def prefix_cuts(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     return d.where("seq < n and m > 0").select(*by, "seq", cut.alias("cut"), q.alias("modularity"), (cut / F.col("seq") + cut / (F.col("n") - F.col("seq"))).alias("ratio_cut"))
 
 
-def _curve(adjacent: np.ndarray) -> np.ndarray:
-    """Modularity of every cut of a chain, from its matrix of edges."""
-    n, m = len(adjacent), adjacent.sum() / 2
-    if n < 2 or not m:
-        return np.zeros(0)
-    degree = np.cumsum(adjacent.sum(axis=1))[:-1]
-    inner = np.array([adjacent[:k, :k].sum() for k in range(1, n)]) / 2
-    outer = np.array([adjacent[k:, k:].sum() for k in range(1, n)]) / 2
-    return (inner + outer) / m - (degree / (2 * m)) ** 2 - (1 - degree / (2 * m)) ** 2
-
-
-def _top_of_modularity(adjacent: np.ndarray, half: int) -> int | None:
-    """Nodes before the cut at the best local maximum above 0 of the smoothed curve."""
-    q = _curve(adjacent)
-    smooth = q.copy()
-    for i in range(half, len(q) - half):
-        smooth[i] = q[i - half : i + half + 1].mean()
-    tops = [i for i in range(1, len(q) - 1) if smooth[i] > smooth[i - 1] and smooth[i] > smooth[i + 1] and smooth[i] > 0]
-    return max(tops, key=lambda i: (smooth[i], -i)) + 1 if tops else None
+def _top_of_modularity(curve: DataFrame, by: list[str], half: int) -> DataFrame:
+    """``by, seq``: the cut at the best local maximum above 0 of the smoothed curve."""
+    smooth = runs.smoothed(curve.select(*by, "seq", "modularity"), by, "seq", "modularity", half)
+    return runs.best(runs.local_maxima(smooth, by, "seq", "smooth"), by, "seq", "smooth").select(*by, "seq")
 
 
-def _least_ratio(adjacent: np.ndarray, limit: float) -> int | None:
-    """Nodes before the first cut of least ratio, if that is below the limit and not after the first node."""
-    n = len(adjacent)
-    k = np.arange(1, n)
-    crossing = np.array([adjacent[:c, c:].sum() for c in k])
-    ratio = crossing / k + crossing / (n - k)
-    best = int(ratio.argmin()) if n > 1 else 0
-    return best + 1 if best and ratio[best] < limit else None
+def _least_ratio(curve: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """``by, seq``: the first cut of least ratio, if that is below the limit and not after the first node."""
+    least = curve.groupBy(*by).agg(F.min(F.struct("ratio_cut", "seq")).alias("_b"))
+    return least.select(*by, "_b.seq", "_b.ratio_cut").where((F.col("seq") > 1) & (F.col("ratio_cut") < limit)).select(*by, "seq")
 
 
 def chain_domains(nodes: DataFrame, edges: DataFrame, by: list[str], half: int = 3) -> DataFrame:
@@ -132,46 +114,24 @@ def ratio_cut_domains(nodes: DataFrame, edges: DataFrame, by: list[str], limit:
     return _divided(nodes, edges, by, partial(_least_ratio, limit=limit))
 
 
-def _divided(nodes: DataFrame, edges: DataFrame, by: list[str], best: Callable[[np.ndarray], int | None]) -> DataFrame:
-    """Domains of chains, cut where ``best`` says.
+def _divided(nodes: DataFrame, edges: DataFrame, by: list[str], best: Callable[..., DataFrame]) -> DataFrame:
+    """Domains of chains, cut where ``best`` says; all parts of all chains are cut at once, round by round.
 
-    A chain is a structure's segments in order, so one task holds a structure; its rows are bounded by
-    a molecule.
+    A part is named by its first place. Each round is written; parts without a cut take no part in later ones.
     """
-    key = F.struct(*by)
-    listed = nodes.select(key.alias("k"), "seq", "node", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(edges.select(key.alias("k"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("node"), "src", "dst"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select(*by).schema)
-
-    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = pdf[pdf.node.notna()].sort_values("seq")
-        ids = chain.node.astype("int64").tolist()
-        at = {v: i for i, v in enumerate(ids)}
-        adjacent = np.zeros((len(ids), len(ids)))
-        for a, b in pdf.loc[pdf.src.notna(), ["src", "dst"]].astype("int64").itertuples(index=False):
-            adjacent[at[a], at[b]] = adjacent[at[b], at[a]] = 1
-        todo, done = [(0, len(ids))], []
-        while todo:
-            lo, hi = todo.pop()
-            k = best(adjacent[lo:hi, lo:hi])
-            if k is None:
-                done.append((lo, hi))
-            else:
-                todo += [(lo, lo + k), (lo + k, hi)]
-        rows = [(ids[i], d) for d, (lo, hi) in enumerate(sorted(done)) for i in range(lo, hi)]
-        out = pd.DataFrame(rows, columns=["node", "domain"])
-        for name in by:
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
-
-    flat = listed.select("k.*", "seq", "node", "src", "dst")
-    return flat.groupBy(*by).applyInPandas(divide, f"{fields}, node long, domain int").select(*by, "node", "domain")
-
-
-def read_groups(lines: Iterator[str]) -> Iterator[tuple[int, str]]:
-    """Group numbers and members of a file with a ``GROUP`` line before each group."""
-    group = -1
-    for line in lines:
-        if line.startswith("GROUP"):
-            group += 1
-        elif line.strip():
-            yield group, line.strip()
+    keys = [*by, "lo"]
+    start = nodes.groupBy(*by).agg(F.min("seq").alias("lo"))
+    placed = materialize(nodes.select(*by, "node", "seq").join(start, by).withColumn("open", F.lit(True)), "nodes")
+    while True:
+        open_ = placed.where("open")
+        a = open_.select(*by, F.col("node").alias("src"), F.col("lo").alias("lo"))
+        b = open_.select(*by, F.col("node").alias("dst"), F.col("lo").alias("_lo2"))
+        inner = edges.select(*by, "src", "dst").join(a, [*by, "src"]).join(b, [*by, "dst"]).where("lo = _lo2").select(*keys, "src", "dst")
+        curve = prefix_cuts(open_.select(*keys, "node", (F.col("seq") - F.col("lo") + 1).alias("seq")), inner, keys)
+        cuts = materialize(best(curve, keys).select(*keys, (F.col("lo") + F.col("seq")).alias("_at")), "cuts")
+        if cuts.isEmpty():
+            break
+        d = placed.join(cuts, keys, "left")
+        placed = materialize(d.select(*by, "node", "seq", F.when(F.col("seq") >= F.col("_at"), F.col("_at")).otherwise(F.col("lo")).alias("lo"), F.col("_at").isNotNull().alias("open")), "nodes")
+    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("lo")) - 1
+    return placed.select(*by, "node", number.alias("domain"))

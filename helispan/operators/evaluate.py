@@ -35,40 +35,43 @@ def scores(raw: Column, negate: bool = False, log: bool = False) -> Column:
     return -value if negate else value
 
 
-def rank_curve(hits: DataFrame, key: str, score: str, label: str) -> DataFrame:
-    """One point for each hit, from the worst on: the true and false positives from it up.
+def rank_curve(hits: DataFrame, key: str, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One point for each hit, from the worst on: the true and false positives from it up (W3), for each ``by``.
 
     Ties count one by one in the order of ``key``. Rates are null where there is no such hit at all.
     """
-    before = running(hits.select(key, score, F.col(label).cast("long").alias("label")), [score, key], {"gold": F.col(label).cast("long"), "rest": 1 - F.col(label).cast("long")})
-    totals = hits.agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    d = before.join(F.broadcast(totals))
+    before = running(hits.select(*by, key, score, F.col(label).cast("long").alias("label")), [score, key], {"gold": F.col("label"), "rest": 1 - F.col("label")}, by)
+    totals = hits.groupBy(*by).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    d = before.join(totals, list(by)) if by else before.join(F.broadcast(totals))
     tp, fp = F.col("p") - F.col("gold"), F.col("q") - F.col("rest")
-    return d.select(key, score, "label", tp.alias("tp"), fp.alias("fp"), F.try_divide(tp, "p").alias("tpr"), F.try_divide(fp, "q").alias("fpr"))
+    return d.select(*by, key, score, "label", tp.alias("tp"), fp.alias("fp"), F.try_divide(tp, "p").alias("tpr"), F.try_divide(fp, "q").alias("fpr"))
 
 
-def area(hits: DataFrame, key: str, score: str, label: str) -> DataFrame:
-    """Area under the curve by trapezoids, one row.
+def area(hits: DataFrame, key: str, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the curve by trapezoids, one row for each ``by``.
 
     Between two points either the rate of true or that of false positives steps, so the area is the
     mean rate of true positives over the hits that are none: no second pass over neighbours is needed.
     """
-    curve = rank_curve(hits, key, score, label)
+    curve = rank_curve(hits, key, score, label, by)
     n, p, q = F.count("*"), F.sum("label"), F.sum(1 - F.col("label"))
     # The last hit has no step after it.
     steps = F.sum(F.when((F.col("label") == 0) & (F.col("tp") + F.col("fp") > 1), F.col("tpr"))) / q
-    return curve.agg(n.alias("n_hits"), p.alias("n_gold"), F.coalesce(steps, F.lit(0.0)).alias("auc"))
+    return curve.groupBy(*by).agg(n.alias("n_hits"), p.alias("n_gold"), F.coalesce(steps, F.lit(0.0)).alias("auc"))
 
 
-def top(hits: DataFrame, key: str, score: str, k: int) -> DataFrame:
-    """The best ``k`` hits."""
-    return hits.orderBy(F.desc(score), key).limit(k)
+def top(hits: DataFrame, key: str, score: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best ``k`` hits, of each ``by`` (T8); tasks drop what is not among their best before the shuffle."""
+    if not by:
+        return hits.orderBy(F.desc(score), key).limit(k)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key))
+    return hits.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def same_group(members: DataFrame, query: DataFrame, key: str, level: str) -> DataFrame:
-    """Members that share the query's group at a level, the query aside."""
+    """Members that share a query's group at a level, the query aside."""
     of = query.select(F.col(key).alias("query"), F.col(level).alias("_level"))
-    return members.join(F.broadcast(of), F.col(level) == F.col("_level")).where(F.col(key) != F.col("query")).select("query", key)
+    return members.join(of, F.col(level) == F.col("_level")).where(F.col(key) != F.col("query")).select("query", key)
 
 
 def last_value_before(df: DataFrame, by: list[str], order: list[str], when: Column, value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def triangular(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return sides(df, by, "a_").join(sides(df, by, "b_"), by).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
 
 
+#: Queries that go to every task at once.
+QUERIES = 20_000
+
+
+def against(queries: DataFrame, rows: DataFrame, key: str, block: int = QUERIES) -> DataFrame:
+    """Every row beside every one of a stated set of queries (J7), which go to the tasks in blocks of bounded size.
+
+    Rows are read once for each block and not shuffled; ``key`` tells queries apart.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    if blocks == 1:
+        return rows.join(F.broadcast(queries))
+    parts = [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(p)) for p in parts])
+
+
 def nearest(df: DataFrame, by: list[str], key: str, dist: Callable[[Column, Column], Column], value: str) -> DataFrame:
     """Each row's nearest other row of its structure, the one of the least key among equals (T4)."""
     pairs = sides(df, by, "a_").join(sides(df, by, "b_"), by).where(F.col(f"a_{key}") != F.col(f"b_{key}"))

@@ -61,8 +61,13 @@ def repaired_overlaps(segments_: DataFrame, by: list[str], lo: str, hi: str) ->
     """Segments in order with overlaps trimmed one after the other.
 
     Of two that overlap the longer gives up the residues, the earlier one if they are equal; each
-    step sees the trims before it. A group's segments are folded in one expression.
+    step sees the trims before it. No trim crosses a place that no segment spans, so a group is divided
+    there first, and each island of overlapping segments, however many a group has, is folded alone.
     """
+    w = Window.partitionBy(*by).orderBy(lo, hi)
+    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = segments_.withColumn("_new", F.when(F.col(lo) <= reach, 0).otherwise(1))
+    island = island.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = F.sort_array(F.collect_list(F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))))
     of = "array<struct<lo:bigint,hi:bigint>>"
 
@@ -79,7 +84,7 @@ def repaired_overlaps(segments_: DataFrame, by: list[str], lo: str, hi: str) ->
             .otherwise(F.concat(trimmed, F.array(x)))
         )
 
-    sorted_ = segments_.groupBy(*by).agg(rows.cast(of).alias("_s"))
+    sorted_ = island.groupBy(*by, "_island").agg(rows.cast(of).alias("_s"))
     empty = F.array().cast(of)
     return sorted_.select(*by, F.inline(F.aggregate("_s", empty, step)))
 

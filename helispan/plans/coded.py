@@ -9,17 +9,19 @@ from helispan.functions import geometry, scalar
 from helispan.operators import align, pairs
 from helispan.plans.bindings import bind, table
 
-_ANGLE_SQL = "a AS (SELECT vec_id, label, round(atan2(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 12) AS omega FROM embeddings)"
+#: A structure is sixteen vectors in a row; structures stay as small however many there are.
+SIZE = 16
+_ANGLE_SQL = "a AS (SELECT vec_id, vec_id // 16 AS structure, label, round(atan2(embedding[1]::DOUBLE, embedding[2]::DOUBLE), 12) AS omega FROM embeddings)"
 _CODE = """CASE WHEN omega > -pi()/4 AND omega <= pi()/4 THEN 'P' WHEN omega > pi()/4 AND omega <= 3*pi()/4 THEN 'R' WHEN omega > -3*pi()/4 AND omega <= -pi()/4 THEN 'L' ELSE 'O' END ||
 CASE WHEN omega > 0 AND omega <= pi()/2 THEN 'D' WHEN omega > pi()/2 THEN 'T' WHEN omega <= -pi()/2 THEN 'S' ELSE 'E' END"""
 _CODED_SQL = f"WITH {_ANGLE_SQL}, c AS (SELECT *, {_CODE} AS code FROM a)"
-_PAIRS_SQL = _CODED_SQL + ", p AS (SELECT x.label, x.vec_id AS i, y.vec_id AS j, x.omega AS o1, y.omega AS o2, x.code AS c1, y.code AS c2 FROM c x JOIN c y ON x.label = y.label AND x.vec_id < y.vec_id)"
+_PAIRS_SQL = _CODED_SQL + ", p AS (SELECT x.structure, x.vec_id AS i, y.vec_id AS j, x.omega AS o1, y.omega AS o2, x.code AS c1, y.code AS c2 FROM c x JOIN c y ON x.structure = y.structure AND x.vec_id < y.vec_id)"
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     omega = F.round(F.atan2(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")), 12)
-    return e.select("vec_id", "label", omega.alias("omega")).withColumn("code", scalar.angle_code(F.col("omega")))
+    return e.select("vec_id", F.floor(F.col("vec_id") / SIZE).alias("structure"), "label", omega.alias("omega")).withColumn("code", scalar.angle_code(F.col("omega")))
 
 
 @bind("angle_code", _CODED_SQL + "SELECT vec_id, code FROM c")
@@ -28,21 +30,21 @@ def angle_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.triangular(coded(spark, sf_dir), ["label"], "vec_id")
+    return pairs.triangular(coded(spark, sf_dir), ["structure"], "vec_id")
 
 
 @bind("code_score_matrix", _PAIRS_SQL + """
-SELECT label, i, j, CASE WHEN c1 = c2 THEN 2 WHEN c1[1] = c2[1] OR c1[2] = c2[2] THEN 1 ELSE -2 END AS score FROM p""")
+SELECT structure, i, j, CASE WHEN c1 = c2 THEN 2 WHEN c1[1] = c2[1] OR c1[2] = c2[2] THEN 1 ELSE -2 END AS score FROM p""")
 def code_score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded_pairs(spark, sf_dir).select("label", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), scalar.score_codes(F.col("a_code"), F.col("b_code")).alias("score"))
+    return _coded_pairs(spark, sf_dir).select("structure", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), scalar.score_codes(F.col("a_code"), F.col("b_code")).alias("score"))
 
 
 @bind("angle_score", _PAIRS_SQL + """
-SELECT label, i, j, round(pi()/4 - least(abs(o1 - o2), 2*pi() - abs(o1 - o2)), 9) AS radians,
+SELECT structure, i, j, round(pi()/4 - least(abs(o1 - o2), 2*pi() - abs(o1 - o2)), 9) AS radians,
        round(45 - least(abs(degrees(o1) - degrees(o2)), 360 - abs(degrees(o1) - degrees(o2))), 6) AS degrees FROM p""")
 def angle_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a_omega"), F.col("b_omega")
-    return _coded_pairs(spark, sf_dir).select("label", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), F.round(scalar.score_radians(a, b), 9).alias("radians"), F.round(scalar.score_degrees(a, b), 6).alias("degrees"))
+    return _coded_pairs(spark, sf_dir).select("structure", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), F.round(scalar.score_radians(a, b), 9).alias("radians"), F.round(scalar.score_degrees(a, b), 6).alias("degrees"))
 
 
 @bind("paired_codes", _PAIRS_SQL + """
@@ -58,12 +60,13 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind("packed_index", _CODED_SQL + """
-, n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM c)
-SELECT x.label, x.vec_id AS i, y.vec_id AS j, (x.seq + y.seq * (y.seq + 1) // 2)::BIGINT AS r FROM n x JOIN n y ON x.label = y.label AND x.seq <= y.seq""")
+, n AS (SELECT structure, vec_id, row_number() OVER (PARTITION BY structure ORDER BY vec_id) - 1 AS seq FROM c)
+SELECT x.structure, x.vec_id AS i, y.vec_id AS j, (x.seq + y.seq * (y.seq + 1) // 2)::BIGINT AS r FROM n x JOIN n y ON x.structure = y.structure AND x.seq <= y.seq""")
 def packed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _numbered(spark, sf_dir).select("label", "vec_id", "seq")
-    d = pairs.sides(n, ["label"], "a_").join(pairs.sides(n, ["label"], "b_"), "label").where("a_seq <= b_seq")
-    return d.select("label", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), scalar.packed_index(F.col("a_seq"), F.col("b_seq")).alias("r"))
+    w = Window.partitionBy("structure").orderBy("vec_id")
+    n = coded(spark, sf_dir).select("structure", "vec_id", (F.row_number().over(w) - 1).alias("seq"))
+    d = pairs.sides(n, ["structure"], "a_").join(pairs.sides(n, ["structure"], "b_"), "structure").where("a_seq <= b_seq")
+    return d.select("structure", F.col("a_vec_id").alias("i"), F.col("b_vec_id").alias("j"), scalar.packed_index(F.col("a_seq"), F.col("b_seq")).alias("r"))
 
 
 def packed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,42 +92,53 @@ def packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tableau_dp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-level alignment has no plain SQL; tests compare with worked examples."""
     d = packed_codes(spark, sf_dir)
-    query = d.orderBy("target_id").limit(1).first()["packed"]
-    return align.search(d, query)
+    return align.search(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
 
 
-@bind("nw_align")
+@bind("nw_align", """
+WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+ab AS (SELECT user_id, k // 24 AS stretch, coalesce(list(event_type ORDER BY k) FILTER (k % 24 < 12), []) AS a, coalesce(list(event_type ORDER BY k) FILTER (k % 24 >= 12), []) AS b FROM e GROUP BY 1, 2),
+r AS (SELECT user_id, stretch, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0.0::DOUBLE) AS h FROM ab
+  UNION ALL SELECT user_id, stretch, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(list_transform(range(0, j + 1),
+    lambda k: k + CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE greatest(h[k] + (a[i + 1] = b[k])::INT, h[k + 1] - 1) END)) - j) FROM r WHERE i < len(a))
+SELECT user_id, stretch, h[len(b) + 1] AS score FROM r WHERE i = len(a)""")
 def nw_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of each user's first events with the ones that follow; tests compare with a loop."""
+    """Each stretch of 24 events of a user: its first twelve aligned with its last twelve."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).where("k <= 24")
-    part = lambda lo, hi: F.transform(F.sort_array(F.collect_list(F.when(F.col("k").between(lo, hi), F.struct("k", "event_type")))), lambda x: x["event_type"])
-    d = e.groupBy("user_id").agg(part(1, 12).alias("a"), part(13, 24).alias("b"))
-    return d.select("user_id", align.align_score(F.col("a"), F.col("b")).alias("score"))
+    e = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w) - 1)
+    half = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("k", "event_type")))), lambda x: x["event_type"])
+    d = e.groupBy("user_id", F.floor(F.col("k") / 24).alias("stretch")).agg(half(F.col("k") % 24 < 12).alias("a"), half(F.col("k") % 24 >= 12).alias("b"))
+    return d.select("user_id", "stretch", align.align_score(F.col("a"), F.col("b")).alias("score"))
 
 
-@bind("ilp_objective", _CODED_SQL + """
-, n AS (SELECT label, code, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM c QUALIFY seq < 5),
-x AS (SELECT a.label, a.seq AS i, b.seq AS k, a.code AS code FROM n a JOIN n b ON a.label = b.label)
-SELECT p.label, p.i, q.i AS j, p.k, q.k AS l, -(CASE WHEN p.code = q.code THEN 2 WHEN p.code[1] = q.code[1] OR p.code[2] = q.code[2] THEN 1 ELSE -2 END) AS coefficient,
-       p.i * 125 + q.i * 25 + p.k * 5 + q.k AS variable FROM x p JOIN x q ON p.label = q.label""")
+def _blocks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """All vectors of a label in blocks of ``size``: a matrix each."""
+    return _numbered(spark, sf_dir).select((F.col("label") * 1000000 + F.floor(F.col("seq") / size)).alias("matrix"), (F.col("seq") % size).alias("seq"), "code")
+
+
+_BLOCKS_SQL = _CODED_SQL + ", o AS (SELECT label, code, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS q FROM c), n AS (SELECT label * 1000000 + q // {0} AS matrix, q % {0} AS seq, code FROM o)"
+
+
+@bind("ilp_objective", _BLOCKS_SQL.format(5) + """,
+x AS (SELECT a.matrix, a.seq AS i, b.seq AS k, a.code AS code FROM n a JOIN n b ON a.matrix = b.matrix)
+SELECT p.matrix, p.i, q.i AS j, p.k, q.k AS l, -(CASE WHEN p.code = q.code THEN 2 WHEN p.code[1] = q.code[1] OR p.code[2] = q.code[2] THEN 1 ELSE -2 END) AS coefficient,
+       p.i * 125 + q.i * 25 + p.k * 5 + q.k AS variable FROM x p JOIN x q ON p.matrix = q.matrix""")
 def ilp_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _numbered(spark, sf_dir).where("seq < 5").select("label", "seq", "code")
-    x = pairs.sides(n, ["label"], "a_").join(pairs.sides(n, ["label"], "b_"), "label")
-    a = x.select("label", F.col("a_seq").alias("i"), F.col("b_seq").alias("k"), F.col("a_code").alias("code"))
-    b = x.select("label", F.col("a_seq").alias("j"), F.col("b_seq").alias("l"), F.col("a_code").alias("code2"))
-    d = align.objective_terms(a, b, "label", scalar.score_codes(F.col("code"), F.col("code2")))
+    n = _blocks(spark, sf_dir, 5)
+    x = pairs.sides(n, ["matrix"], "a_").join(pairs.sides(n, ["matrix"], "b_"), "matrix")
+    a = x.select("matrix", F.col("a_seq").alias("i"), F.col("b_seq").alias("k"), F.col("a_code").alias("code"))
+    b = x.select("matrix", F.col("a_seq").alias("j"), F.col("b_seq").alias("l"), F.col("a_code").alias("code2"))
+    d = align.objective_terms(a, b, "matrix", scalar.score_codes(F.col("code"), F.col("code2")))
     return d.withColumn("variable", scalar.flat_index([5, 5, 5, 5], *[F.col(c) for c in "ijkl"]))
 
 
-@bind("ilp_order_conflicts", _CODED_SQL + """
-, n AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM c QUALIFY seq < 6),
-m AS (SELECT a.label, a.seq AS i, b.seq AS j FROM n a JOIN n b ON a.label = b.label)
-SELECT x.label, x.i, x.j, y.i AS k, y.j AS l FROM m x JOIN m y ON x.label = y.label AND x.i < y.i AND y.j < x.j""")
+@bind("ilp_order_conflicts", _BLOCKS_SQL.format(6) + """,
+m AS (SELECT a.matrix, a.seq AS i, b.seq AS j FROM n a JOIN n b ON a.matrix = b.matrix)
+SELECT x.matrix, x.i, x.j, y.i AS k, y.j AS l FROM m x JOIN m y ON x.matrix = y.matrix AND x.i < y.i AND y.j < x.j""")
 def ilp_order_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _numbered(spark, sf_dir).where("seq < 6").select("label", "seq")
-    m = pairs.sides(n, ["label"], "a_").join(pairs.sides(n, ["label"], "b_"), "label").select("label", F.col("a_seq").alias("i"), F.col("b_seq").alias("j"))
-    return align.order_conflicts(m, "label")
+    n = _blocks(spark, sf_dir, 6).select("matrix", "seq")
+    m = pairs.sides(n, ["matrix"], "a_").join(pairs.sides(n, ["matrix"], "b_"), "matrix").select("matrix", F.col("a_seq").alias("i"), F.col("b_seq").alias("j"))
+    return align.order_conflicts(m, "matrix")
 
 
 _GRADIENT_SQL = """

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from helispan.operators import community, domains, pairs
 from helispan.operators.graph import connected_components
 from helispan.plans.bindings import bind, table
+from helispan.session import materialize
 
-LIMIT = 1.1
+#: A structure is sixteen vectors in a row; structures stay as small however many there are.
+SIZE = 16
+LIMIT = 1.3
 _PAIRS_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-d AS (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2))), 9) AS dist FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id),
-edges AS (SELECT * FROM d WHERE dist < 1.1)
+WITH RECURSIVE v AS (SELECT vec_id, vec_id // 16 AS structure, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+d AS (SELECT a.structure, a.vec_id AS src, b.vec_id AS dst, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) ** 2))), 9) AS dist FROM v a JOIN v b ON a.structure = b.structure AND a.vec_id < b.vec_id),
+edges AS (SELECT * FROM d WHERE dist < 1.3)
 """
 _COMPONENTS_SQL = _PAIRS_SQL + """, both_ AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 reach AS (SELECT src AS node, src AS seen FROM both_ UNION SELECT r.node, b.dst FROM reach r JOIN both_ b ON r.seen = b.src),
 comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
 """
-_CHAIN_SQL = _PAIRS_SQL + """, nodes AS (SELECT label, vec_id AS node, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, vec_id % 4 AS grp FROM embeddings)
+_CHAIN_SQL = _PAIRS_SQL + """, nodes AS (SELECT structure, vec_id AS node, row_number() OVER (PARTITION BY structure ORDER BY vec_id) AS seq, vec_id % 4 AS grp FROM v)
 """
 
 
@@ -27,40 +30,44 @@ def distance(a, b):  # noqa: ANN001, ANN201
     return F.round(F.sqrt(pairs.squared_distance(a, b)), 9)
 
 
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / SIZE).alias("structure"), "vec_id", "embedding")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.within(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", distance, "embedding", LIMIT)
+    return pairs.within(structures(spark, sf_dir), ["structure"], "vec_id", distance, "embedding", LIMIT)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("node"), (F.col("vec_id") % 4).alias("group"))
+    return structures(spark, sf_dir).select("structure", F.col("vec_id").alias("node"), (F.col("vec_id") % 4).alias("group"))
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("node"), F.row_number().over(w).alias("seq"))
+    w = Window.partitionBy("structure").orderBy("vec_id")
+    return structures(spark, sf_dir).select("structure", F.col("vec_id").alias("node"), F.row_number().over(w).alias("seq"))
 
 
-@bind("threshold_edges", _PAIRS_SQL + "SELECT label, src, dst, dist FROM edges")
+@bind("threshold_edges", _PAIRS_SQL + "SELECT structure, src, dst, dist FROM edges")
 def threshold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir)
 
 
-@bind("nearest_neighbour", _PAIRS_SQL + """, s AS (SELECT label, src AS vec_id, dst AS nearest, dist FROM d UNION ALL SELECT label, dst, src, dist FROM d)
-SELECT label, vec_id, nearest, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nearest) AS k FROM s) WHERE k = 1""")
+@bind("nearest_neighbour", _PAIRS_SQL + """, s AS (SELECT structure, src AS vec_id, dst AS nearest, dist FROM d UNION ALL SELECT structure, dst, src, dist FROM d)
+SELECT structure, vec_id, nearest, dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nearest) AS k FROM s) WHERE k = 1""")
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.nearest(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", distance, "embedding")
+    return pairs.nearest(structures(spark, sf_dir), ["structure"], "vec_id", distance, "embedding")
 
 
-@bind("nearest_between_sets", _PAIRS_SQL + """, s AS (SELECT label, CASE WHEN src % 2 = 0 THEN src ELSE dst END AS src, CASE WHEN src % 2 = 0 THEN dst ELSE src END AS dst, dist FROM d WHERE src % 2 <> dst % 2)
-SELECT label, src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, src, dst) AS k FROM s) WHERE k = 1""")
+@bind("nearest_between_sets", _PAIRS_SQL + """, s AS (SELECT structure, CASE WHEN src % 2 = 0 THEN src ELSE dst END AS src, CASE WHEN src % 2 = 0 THEN dst ELSE src END AS dst, dist FROM d WHERE src % 2 <> dst % 2)
+SELECT structure, src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY dist, src, dst) AS k FROM s) WHERE k = 1""")
 def nearest_between_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.nearest_between(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", F.col("vec_id") % 2 == 0, distance, "embedding")
+    return pairs.nearest_between(structures(spark, sf_dir), ["structure"], "vec_id", F.col("vec_id") % 2 == 0, distance, "embedding")
 
 
-@bind("near_set", _PAIRS_SQL + """, s AS (SELECT label, src, dst, dist FROM edges UNION ALL SELECT label, dst, src, dist FROM edges)
-SELECT label, dst AS vec_id, min(dist) AS dist FROM s WHERE src % 5 = 0 AND dst % 5 <> 0 GROUP BY label, dst""")
+@bind("near_set", _PAIRS_SQL + """, s AS (SELECT structure, src, dst, dist FROM edges UNION ALL SELECT structure, dst, src, dist FROM edges)
+SELECT structure, dst AS vec_id, min(dist) AS dist FROM s WHERE src % 5 = 0 AND dst % 5 <> 0 GROUP BY structure, dst""")
 def near_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.near_set(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id", F.col("vec_id") % 5 == 0, distance, "embedding", LIMIT)
+    return pairs.near_set(structures(spark, sf_dir), ["structure"], "vec_id", F.col("vec_id") % 5 == 0, distance, "embedding", LIMIT)
 
 
 @bind("connected_components", _COMPONENTS_SQL + "SELECT node, component FROM comp")
@@ -72,60 +79,60 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT component, count(*) AS n_edges FROM edges JOIN comp ON src = node GROUP BY 1)
 SELECT component, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_edges, 0) - n_nodes + 1 AS n_cycles FROM n LEFT JOIN e USING (component)""")
 def cycle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
+    e = materialize(edges(spark, sf_dir), "edges")
     return community.cycles(e, connected_components(e))
 
 
-@bind("node_degree", _PAIRS_SQL + "SELECT label, node, count(*) AS degree FROM (SELECT label, src AS node FROM edges UNION ALL SELECT label, dst FROM edges) GROUP BY 1, 2")
+@bind("node_degree", _PAIRS_SQL + "SELECT structure, node, count(*) AS degree FROM (SELECT structure, src AS node FROM edges UNION ALL SELECT structure, dst FROM edges) GROUP BY 1, 2")
 def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.degrees(edges(spark, sf_dir), ["label"])
+    return community.degrees(edges(spark, sf_dir), ["structure"])
 
 
-@bind("degree_modularity", _CHAIN_SQL + """, g AS (SELECT e.label, a.grp AS g1, b.grp AS g2 FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
-m AS (SELECT label, count(*)::DOUBLE AS m FROM g GROUP BY 1),
-i AS (SELECT label, g1 AS grp, count(*) AS e FROM g WHERE g1 = g2 GROUP BY 1, 2),
-k AS (SELECT label, grp, count(*) AS d FROM (SELECT label, g1 AS grp FROM g UNION ALL SELECT label, g2 FROM g) GROUP BY 1, 2)
-SELECT label, round(sum(coalesce(e, 0) / m - (d / (2 * m)) ** 2), 9) AS modularity FROM k LEFT JOIN i USING (label, grp) JOIN m USING (label) GROUP BY label""")
+@bind("degree_modularity", _CHAIN_SQL + """, g AS (SELECT e.structure, a.grp AS g1, b.grp AS g2 FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
+m AS (SELECT structure, count(*)::DOUBLE AS m FROM g GROUP BY 1),
+i AS (SELECT structure, g1 AS grp, count(*) AS e FROM g WHERE g1 = g2 GROUP BY 1, 2),
+k AS (SELECT structure, grp, count(*) AS d FROM (SELECT structure, g1 AS grp FROM g UNION ALL SELECT structure, g2 FROM g) GROUP BY 1, 2)
+SELECT structure, round(sum(coalesce(e, 0) / m - (d / (2 * m)) ** 2), 9) AS modularity FROM k LEFT JOIN i USING (structure, grp) JOIN m USING (structure) GROUP BY structure""")
 def degree_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.modularity(edges(spark, sf_dir), groups(spark, sf_dir), ["label"]).withColumn("modularity", F.round("modularity", 9))
+    return community.modularity(edges(spark, sf_dir), groups(spark, sf_dir), ["structure"]).withColumn("modularity", F.round("modularity", 9))
 
 
-@bind("jackknife_modularity", _CHAIN_SQL + """, g AS (SELECT e.label, (a.grp = b.grp)::INT AS inside FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
-q AS (SELECT label, inside, count(*) OVER (PARTITION BY label)::DOUBLE AS m FROM g),
-l AS (SELECT label, m, -inside / m AS dq FROM q)
-SELECT label, round(sqrt((max(m) - 1) / max(m) * (sum(dq * dq) - sum(dq) * sum(dq) / max(m))), 9) AS stddev FROM l GROUP BY label""")
+@bind("jackknife_modularity", _CHAIN_SQL + """, g AS (SELECT e.structure, (a.grp = b.grp)::INT AS inside FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
+q AS (SELECT structure, inside, count(*) OVER (PARTITION BY structure)::DOUBLE AS m FROM g),
+l AS (SELECT structure, m, -inside / m AS dq FROM q)
+SELECT structure, round(sqrt((max(m) - 1) / max(m) * (sum(dq * dq) - sum(dq) * sum(dq) / max(m))), 9) AS stddev FROM l GROUP BY structure""")
 def jackknife_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.jackknife(edges(spark, sf_dir), groups(spark, sf_dir), ["label"]).withColumn("stddev", F.round("stddev", 9))
+    return community.jackknife(edges(spark, sf_dir), groups(spark, sf_dir), ["structure"]).withColumn("stddev", F.round("stddev", 9))
 
 
-@bind("ratio_cut", _CHAIN_SQL + """, g AS (SELECT e.label, a.grp AS g1, b.grp AS g2 FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.grp <> b.grp),
-k AS (SELECT label, grp, count(*) AS cut FROM (SELECT label, g1 AS grp FROM g UNION ALL SELECT label, g2 FROM g) GROUP BY 1, 2),
-s AS (SELECT label, grp, count(*) AS size FROM nodes GROUP BY 1, 2)
-SELECT label, round(sum(coalesce(cut, 0) / size::DOUBLE), 9) AS ratio_cut FROM s LEFT JOIN k USING (label, grp) GROUP BY label""")
+@bind("ratio_cut", _CHAIN_SQL + """, g AS (SELECT e.structure, a.grp AS g1, b.grp AS g2 FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.grp <> b.grp),
+k AS (SELECT structure, grp, count(*) AS cut FROM (SELECT structure, g1 AS grp FROM g UNION ALL SELECT structure, g2 FROM g) GROUP BY 1, 2),
+s AS (SELECT structure, grp, count(*) AS size FROM nodes GROUP BY 1, 2)
+SELECT structure, round(sum(coalesce(cut, 0) / size::DOUBLE), 9) AS ratio_cut FROM s LEFT JOIN k USING (structure, grp) GROUP BY structure""")
 def ratio_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.ratio_cut(edges(spark, sf_dir), groups(spark, sf_dir), ["label"]).withColumn("ratio_cut", F.round("ratio_cut", 9))
+    return community.ratio_cut(edges(spark, sf_dir), groups(spark, sf_dir), ["structure"]).withColumn("ratio_cut", F.round("ratio_cut", 9))
 
 
-@bind("prefix_cut_curve", _CHAIN_SQL + """, p AS (SELECT e.label, least(a.seq, b.seq) AS lo, greatest(a.seq, b.seq) AS hi FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
-m AS (SELECT label, count(*)::DOUBLE AS m FROM p GROUP BY 1), s AS (SELECT label, max(seq) AS n FROM nodes GROUP BY 1),
-c AS (SELECT n.label, n.seq, any_value(s.n) AS n, any_value(m.m) AS m, count_if(p.lo <= n.seq AND p.hi > n.seq) AS cut, count_if(p.lo <= n.seq) + count_if(p.hi <= n.seq) AS lft
-      FROM nodes n JOIN m USING (label) JOIN s USING (label) JOIN p USING (label) WHERE n.seq < s.n GROUP BY 1, 2)
-SELECT label, seq, cut, round((m - cut) / m - (lft / (2 * m)) ** 2 - ((2 * m - lft) / (2 * m)) ** 2, 9) AS modularity, round(cut / seq::DOUBLE + cut / (n - seq)::DOUBLE, 9) AS ratio_cut FROM c""")
+@bind("prefix_cut_curve", _CHAIN_SQL + """, p AS (SELECT e.structure, least(a.seq, b.seq) AS lo, greatest(a.seq, b.seq) AS hi FROM edges e JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst),
+m AS (SELECT structure, count(*)::DOUBLE AS m FROM p GROUP BY 1), s AS (SELECT structure, max(seq) AS n FROM nodes GROUP BY 1),
+c AS (SELECT n.structure, n.seq, any_value(s.n) AS n, any_value(m.m) AS m, count_if(p.lo <= n.seq AND p.hi > n.seq) AS cut, count_if(p.lo <= n.seq) + count_if(p.hi <= n.seq) AS lft
+      FROM nodes n JOIN m USING (structure) JOIN s USING (structure) JOIN p USING (structure) WHERE n.seq < s.n GROUP BY 1, 2)
+SELECT structure, seq, cut, round((m - cut) / m - (lft / (2 * m)) ** 2 - ((2 * m - lft) / (2 * m)) ** 2, 9) AS modularity, round(cut / seq::DOUBLE + cut / (n - seq)::DOUBLE, 9) AS ratio_cut FROM c""")
 def prefix_cut_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = community.prefix_cuts(chain(spark, sf_dir), edges(spark, sf_dir), ["label"])
+    d = community.prefix_cuts(chain(spark, sf_dir), edges(spark, sf_dir), ["structure"])
     return d.withColumns({"modularity": F.round("modularity", 9), "ratio_cut": F.round("ratio_cut", 9)})
 
 
 @bind("chain_domains")
 def chain_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated cutting has no plain SQL; tests compare with a small graph."""
-    return community.chain_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("label", "src", "dst"), ["label"])
+    return community.chain_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("structure", "src", "dst"), ["structure"])
 
 
 @bind("ratio_cut_domains")
 def ratio_cut_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated cutting has no plain SQL; tests compare with a small graph."""
-    return community.ratio_cut_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("label", "src", "dst"), ["label"])
+    return community.ratio_cut_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("structure", "src", "dst"), ["structure"])
 
 
 @bind("domain_overlap_counts", """

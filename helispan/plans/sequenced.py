@@ -113,8 +113,13 @@ def next_group_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.next_after(c, ["c_nationkey"], "c_mktsegment", "lo", "hi")
 
 
-@bind("overlap_repair")
+@bind("overlap_repair", """
+WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey, l_partkey AS lo, l_partkey + l_quantity::BIGINT AS hi FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY lo, hi) AS i, count(*) OVER (PARTITION BY l_suppkey) AS c FROM s),
+r AS (SELECT l_suppkey, i, c, NULL::BIGINT AS old_lo, NULL::BIGINT AS old_hi, lo, hi FROM n WHERE i = 1
+  UNION ALL SELECT n.l_suppkey, n.i, n.c, r.lo, CASE WHEN r.hi >= n.lo AND n.hi - n.lo <= r.hi - r.lo THEN n.lo - 1 ELSE r.hi END,
+    CASE WHEN r.hi >= n.lo AND n.hi - n.lo > r.hi - r.lo THEN r.hi + 1 ELSE n.lo END, n.hi FROM r JOIN n ON n.l_suppkey = r.l_suppkey AND n.i = r.i + 1)
+SELECT l_suppkey, old_lo AS lo, old_hi AS hi FROM r WHERE i > 1 UNION ALL SELECT l_suppkey, lo, hi FROM r WHERE i = c""")
 def overlap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential trims have no plain SQL; tests compare with a loop."""
     o = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("hi"))
     return runs.repaired_overlaps(o.distinct(), ["l_suppkey"], "lo", "hi")

@@ -1,4 +1,4 @@
-"""Text outputs as rows of lines, written by Spark's text writer."""
+"""Text outputs as rows of lines, written by Spark's text writer."""
 
 from __future__ import annotations
 
@@ -47,10 +47,35 @@ def dot_text(edges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def svg_elements(shapes: DataFrame) -> Column:
-    """An SVG element of columns kind (rect, ellipse, line or text), x, y, width, height, fill and label."""
+    """An SVG element of columns kind (rect, ellipse, line or text), x, y, width, height, fill and label.
+
+    A line goes from its place by its width and height; labels are escaped.
+    """
     rect = F.format_string('<rect x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="#%s"/>', "x", "y", "width", "height", "fill")
     ellipse = F.format_string('<ellipse cx="%.2f" cy="%.2f" rx="%.2f" ry="%.2f" fill="#%s"/>', "x", "y", F.col("width") / 2, F.col("height") / 2, "fill")
-    return F.when(F.col("kind") == "ellipse", ellipse).when(F.col("kind") == "text", F.format_string('<text x="%.2f" y="%.2f">%s</text>', "x", "y", "label")).otherwise(rect)
+    line = F.format_string('<line x1="%.2f" y1="%.2f" x2="%.2f" y2="%.2f" stroke="#%s"/>', "x", "y", F.col("x") + F.col("width"), F.col("y") + F.col("height"), "fill")
+    return F.when(F.col("kind") == "ellipse", ellipse).when(F.col("kind") == "line", line).when(F.col("kind") == "text", F.format_string('<text x="%.2f" y="%.2f">%s</text>', "x", "y", escaped(F.col("label")))).otherwise(rect)
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def svg_connectors(connectors: DataFrame) -> Column:
+    """An SVG connector of columns src, dst, src_port and dst_port."""
+    return F.format_string('<path class="connector" data-src="%s" data-src-port="%s" data-dst="%s" data-dst-port="%s"/>', F.col("src").cast("string"), "src_port", F.col("dst").cast("string"), "dst_port")
+
+
+def svg_clusters(members: DataFrame, by: list[str], name: str, fill: str) -> DataFrame:
+    """``by, name, element``: an SVG group that lists a cluster's members in order."""
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), " ")
+    return members.groupBy(*by, name, fill).agg(listed.alias("_m")).select(*by, name, F.format_string('<g class="cluster" data-name="%s" data-members="%s" fill="#%s"/>', F.col(name).cast("string"), "_m", fill).alias("element"))
+
+
+def svg_constraints(places: DataFrame, by: list[str]) -> DataFrame:
+    """``by, place, element``: an alignment constraint for the strands of each column, and its distance to the next."""
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), " ")
+    return places.groupBy(*by, "place").agg(listed.alias("_m")).select(*by, "place", F.format_string('<constraint type="alignment" guide="%d" members="%s"/>', F.col("place").cast("long"), "_m").alias("element"))
 
 
 def svg_documents(shapes: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -63,11 +88,56 @@ def svg_documents(shapes: DataFrame, by: list[str], order: str) -> DataFrame:
     return d.groupBy(*by).agg(F.concat(box, body, F.lit("\n</svg>")).alias("text"))
 
 
-def problem_lines(terms: DataFrame) -> DataFrame:
+def problem_lines(terms: DataFrame, key: str = "matrix") -> DataFrame:
     """The objective of a 0-1 problem for each key, terms in order of their variables."""
     term = F.format_string("%+d x%d", F.col("coefficient").cast("long"), F.col("variable").cast("long"))
     rows = F.sort_array(F.collect_list(F.struct(F.col("variable").alias("v"), term.alias("t"))))
-    return terms.where("coefficient <> 0").groupBy("label").agg(F.concat(F.lit("min: "), F.array_join(F.transform(rows, lambda x: x["t"]), " "), F.lit(";")).alias("line"))
+    return terms.where("coefficient <> 0").groupBy(key).agg(F.concat(F.lit("min: "), F.array_join(F.transform(rows, lambda x: x["t"]), " "), F.lit(";")).alias("line"))
+
+
+def constraint_lines(constraints: DataFrame, key: str = "matrix") -> DataFrame:
+    """A line for each constraint, from rows key, constraint, variable, coefficient, bound (K17, M9): the sum is at most the bound."""
+    term = F.format_string("%+d %s", F.col("coefficient").cast("long"), "variable")
+    rows = F.sort_array(F.collect_list(F.struct(F.col("variable").alias("v"), term.alias("t"))))
+    each = constraints.groupBy(key, "constraint", "bound").agg(F.array_join(F.transform(rows, lambda x: x["t"]), " ").alias("_t"))
+    return each.select(key, "constraint", F.concat("_t", F.lit(" <= "), F.col("bound").cast("string"), F.lit(";")).alias("line"))
+
+
+def lp_text(objective: DataFrame, constraints: DataFrame, variables: DataFrame, key: str = "matrix") -> DataFrame:
+    """``key, text``: the whole problem in the second format, all variables declared binary."""
+    goal = objective.select(key, F.regexp_replace(F.regexp_replace("line", "^min: ", ""), ";$", "").alias("goal"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("constraint", "line"))), lambda x: F.regexp_replace(x["line"], ";$", "")), "\n")
+    rows = constraints.groupBy(key).agg(body.alias("body"))
+    names = variables.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("variable")), " ").alias("names"))
+    return goal.join(rows, key).join(names, key).select(key, F.concat(F.lit("Minimize\n"), "goal", F.lit("\nSubject To\n"), "body", F.lit("\nBinary\n"), "names", F.lit("\nEnd")).alias("text"))
+
+
+def degree_cell(value: Column, own: Column) -> Column:
+    """A cell of the old format (K3): degrees, and -999.0 on the diagonal and for no number."""
+    return F.format_string("%7.1f", F.when(own | value.isNull() | F.isnan(value), F.lit(-999.0)).otherwise(F.degrees(value)))
+
+
+def segment_info(segments: DataFrame, by: list[str]) -> DataFrame:
+    """``by, text``: number of segments and a line for each with kind, chain and ends."""
+    line = F.format_string("%s %s %s %s", F.when(F.col("kind") == "strand", "E").otherwise("H"), "chain", F.col("lo").cast("string"), F.col("hi").cast("string"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("chain", "lo", line.alias("t")))), lambda x: x["t"])
+    return segments.groupBy(*by).agg(F.concat(F.count("*").cast("string"), F.lit("\n"), F.array_join(rows, "\n")).alias("text"))
+
+
+def selection_script(segments: DataFrame, by: list[str]) -> DataFrame:
+    """``by, text``: selections of segments for a molecule viewer's script, coloured by kind."""
+    name = F.format_string("%s_%d", F.col("kind"), F.col("seg").cast("long"))
+    line = F.format_string("select %s, chain %s and resi %d-%d\ncolor %s, %s", name, "chain", F.col("lo").cast("long"), F.col("hi").cast("long"), F.when(F.col("kind") == "strand", "yellow").otherwise("red"), name)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("seg", line.alias("t")))), lambda x: x["t"])
+    return segments.groupBy(*by).agg(F.array_join(rows, "\n").alias("text"))
+
+
+def plot_script(axes: DataFrame, by: list[str]) -> DataFrame:
+    """``by, text``: a plotting script that draws each segment's axis (K14), from centre and direction."""
+    point = lambda k: F.format_string("[%.3f %.3f]", F.col(f"centre.{k}"), F.col(f"centre.{k}") + F.col(f"direction.{k}"))
+    line = F.format_string("plot3(%s,%s,%s)", point("x"), point("y"), point("z"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("seg", line.alias("t")))), lambda x: x["t"])
+    return axes.where("centre is not null").groupBy(*by).agg(F.concat(F.lit("hold on\n"), F.array_join(rows, "\n")).alias("text"))
 
 
 def index_html(names: DataFrame, by: list[str], name: str) -> DataFrame:

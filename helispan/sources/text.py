@@ -1,4 +1,4 @@
-"""Text files as rows, and the parsers built on them.
+"""Text files as rows, and the parsers built on them.
 
 A structure's file is small and is read whole, so that a line's number is its place in the file and
 parsing needs no order between tasks. Every parser takes ``path, n, line`` rows, keyed by ``path``.
@@ -88,7 +88,7 @@ def read_dssp_residues(rows: DataFrame) -> DataFrame:
     d = rows.join(head, "path").where((F.col("n") > F.col("_head")) & (F.substring("line", 14, 1) != "!") & cut(0, 5).try_cast("int").isNotNull())
     bond = lambda at: F.struct(F.split(cut(at, at + 11), ",")[0].try_cast("int").alias("offset"), F.split(cut(at, at + 11), ",")[1].try_cast("double").alias("energy"))
     return d.select(
-        "path", cut(0, 5).cast("int").alias("ordinal"), cut(5, 11).alias("res"), chain_id(F.substring("line", 12, 1)).alias("chain"),
+        "path", cut(0, 5).try_cast("int").alias("ordinal"), cut(5, 11).alias("res"), chain_id(F.substring("line", 12, 1)).alias("chain"),
         F.substring("line", 14, 1).alias("aa"), F.substring("line", 17, 1).alias("code"), F.substring("line", 24, 1).alias("label1"), F.substring("line", 25, 1).alias("label2"),
         cut(25, 29).try_cast("int").alias("partner1"), cut(29, 33).try_cast("int").alias("partner2"), F.array(*map(bond, (39, 50, 61, 72))).alias("bonds"),
     )
@@ -137,6 +137,66 @@ def read_stride(rows: DataFrame) -> DataFrame:
     return d.where("kind is not null")
 
 
+def read_stride_bonds(rows: DataFrame) -> DataFrame:
+    """Hydrogen bonds of the donor lines of a STRIDE file (S3): path, chain1, res1, chain2, res2, dist (from N to O)."""
+    d = rows.where(F.col("line").startswith("DNR"))
+    return d.select("path", chain_id(F.substring("line", 10, 1)).alias("chain1"), cut(11, 15).alias("res1"), chain_id(F.substring("line", 30, 1)).alias("chain2"), cut(31, 35).alias("res2"), cut(41, 45).try_cast("double").alias("dist"))
+
+
+def read_stride_bridges(rows: DataFrame) -> DataFrame:
+    """Bridges of the FA1 and FA2 lines of a STRIDE file (S3): path, chain1, res1, chain2, res2, bdir; two for each line.
+
+    Lines that name neither direction are left out.
+    """
+    f = F.split(F.trim("line"), r"\s+")
+    d = rows.where(F.col("line").rlike("^FA[12] ")).select("path", f.alias("f")).where(F.get("f", F.lit(1)).isin("Par", "AntiPar") & (F.size("f") > 8))
+    bdir = F.when(F.col("f")[1] == "Par", "P").otherwise("N")
+    end = lambda chain, res, chain2, res2: F.struct(chain_id(F.col("f")[chain]).alias("chain1"), F.col("f")[res].alias("res1"), chain_id(F.col("f")[chain2]).alias("chain2"), F.col("f")[res2].alias("res2"), bdir.alias("bdir"))
+    return d.select("path", F.inline(F.array(end(3, 5, 4, 6), end(4, 7, 3, 8))))
+
+
+def read_atoms(rows: DataFrame, name: str = "CA") -> DataFrame:
+    """Central atoms of a coordinate file: path, chain, res, residue, x, y, z; of alternatives the first."""
+    d = rows.where(F.col("line").startswith("ATOM") & (F.trim(F.substring("line", 13, 4)) == name) & F.substring("line", 17, 1).isin(" ", "A"))
+    return d.select("path", chain_id(F.substring("line", 22, 1)).alias("chain"), cut(22, 27).alias("res"), cut(17, 20).alias("residue"), *[cut(30 + 8 * k, 38 + 8 * k).try_cast("double").alias(c) for k, c in enumerate("xyz")])
+
+
+def read_header(rows: DataFrame) -> DataFrame:
+    """``path, method, resolution`` of a coordinate file's header (S22); null where it says nothing."""
+    method = F.min_by(F.when(F.col("line").startswith("EXPDTA"), F.trim(F.substring("line", 11, 70))), F.when(F.col("line").startswith("EXPDTA"), F.col("n")))
+    found = F.regexp_extract("line", r"^REMARK   2 RESOLUTION\.\s+(\d+\.?\d*)\s+ANGSTROM", 1)
+    return rows.groupBy("path").agg(method.alias("method"), F.min(F.when(found != "", found.try_cast("double"))).alias("resolution"))
+
+
+def read_code_matrix(rows: DataFrame) -> DataFrame:
+    """``path, i, j, code`` of a matrix of codes after a line with its order (S19); ``--`` is null, and a row j holds its cells i <= j.
+
+    Files whose number of rows is not their order are left out.
+    """
+    order = F.regexp_extract("line", r"^\s*(\d+)\s*$", 1).try_cast("int")
+    head = rows.where(order.isNotNull()).groupBy("path").agg(F.min(F.struct("n", order.alias("order"))).alias("h")).select("path", F.col("h.n").alias("_n"), F.col("h.order").alias("_order"))
+    d = rows.join(head, "path").where((F.col("n") > F.col("_n")) & (F.trim("line") != ""))
+    whole = d.groupBy("path").agg(F.count("*").alias("c"), F.max("_order").alias("o")).where("c = o").select("path")
+    w = Window.partitionBy("path").orderBy("n")
+    d = d.join(whole, "path", "left_semi").withColumn("j", F.row_number().over(w) - 1)
+    cells = F.transform(F.sequence(F.lit(0), F.col("j")), lambda k: F.trim(F.substr(F.col("line"), k * 4 + 1, F.lit(4))))
+    return d.select("path", "j", F.posexplode(cells).alias("i", "code")).select("path", "i", "j", F.when(F.col("code") != "--", F.col("code")).alias("code"))
+
+
+def read_groups(rows: DataFrame) -> DataFrame:
+    """``path, cluster, member`` of a file with a ``GROUP`` line before each group."""
+    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("cluster", F.sum(F.when(F.col("line").startswith("GROUP"), 1).otherwise(0)).over(w) - 1)
+    return d.where((F.trim("line") != "") & ~F.col("line").startswith("GROUP") & (F.col("cluster") >= 0)).select("path", F.col("cluster").cast("int").alias("cluster"), F.trim("line").alias("member"))
+
+
+def read_cluster_lines(rows: DataFrame) -> DataFrame:
+    """``path, cluster, member`` of a file with a cluster on each line (S20); blank lines are none."""
+    w = Window.partitionBy("path").orderBy("n")
+    d = rows.where(F.trim("line") != "").withColumn("cluster", F.row_number().over(w) - 1)
+    return d.select("path", "cluster", F.explode(F.split(F.trim("line"), r"\s+")).alias("member"))
+
+
 def fill_down(rows: DataFrame, pattern: str, name: str) -> DataFrame:
     """Adds the group captured by the latest line that matches."""
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)

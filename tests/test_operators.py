@@ -103,6 +103,18 @@ def test_chain_domains(spark):
     assert {r.node: r.domain for r in d.collect()} == {n: n // 12 for n in range(24)}
 
 
+def test_queries_in_blocks(spark):
+    queries, rows = spark.range(7).withColumnRenamed("id", "q"), spark.range(20)
+    assert {tuple(sorted(r.asDict().items())) for r in pairs.against(queries, rows, "q", block=2).collect()} == {(("id", i), ("q", q)) for i in range(20) for q in range(7)}
+
+
+def test_running_totals_by_key(spark):
+    d = spark.createDataFrame([(k, float(i % 5), i) for k in (1, 2, 3) for i in range(40)], "k int, s double, i int").repartition(5)
+    for r in evaluate.rank_curve(d.withColumn("y", F.col("i") % 2), "i", "s", "y", ("k",)).collect():
+        later = [i for i in range(40) if (i % 5, i) >= (r.s, r.i)]
+        assert (r.tp, r.fp) == (sum(i % 2 for i in later), sum(1 - i % 2 for i in later))
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(n, n + 1) for n in range(1000, 1100)] + [(7777, 7777)]
@@ -133,7 +145,8 @@ def test_alignment(spark):
 def test_matrix_search(spark):
     a, b = ["e ", "OT", "xa"], ["e ", "OT", "e ", "LE", "RT", "xa"]
     db = spark.createDataFrame([(1, a), (2, b)], "target_id int, packed array<string>")
-    score = lambda q, typed: {r.target_id: r.score for r in align.search(db, q, typed=typed).collect()}
+    asked = lambda q: spark.createDataFrame([(0, q)], "query_id int, packed array<string>")
+    score = lambda q, typed: {r.target_id: r.score for r in align.search(db, asked(q), typed=typed).collect()}
     assert score(a, False) == {1: 8, 2: 6} and score(b, False)[2] == 18 and score(b, True) == {1: 2, 2: 12}
 
 
