@@ -113,7 +113,7 @@ def test_nodes_and_axes_without_atoms(spark):
     segments = spark.createDataFrame([("x", "A", "alpha", 1, 5), ("x", "A", "strand", 9, 12), ("x", "B", "pi", 1, 9)], "path string, chain string, kind string, lo long, hi long")
     atoms = spark.createDataFrame([("x", "A", i, float(i), 0.0, 0.0) for i in range(1, 6)], "path string, chain string, ord long, x double, y double, z double")
     row = build.database(segments, atoms, ["path"], "chain").first()
-    assert row.types == "HE" and row.codes[1] == "??" and row.dists[1] is None
+    assert row.types == "HE" and row.codes[1] == "PE" and row.omegas[1] is None and row.dists[1] is None
     assert build.nodes(segments, ["path"], "chain", with_pi=True).count() == 3
 
 
