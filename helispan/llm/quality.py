@@ -2,14 +2,13 @@
 
 A document's histogram of character classes and its histogram of common words are compared with
 those of its language by Jensen-Shannon distance (base 2, 0 to 1). The references are the mean
-histograms of all documents of a language that are long enough; documents of other or no languages
-share one reference. Short documents are too noisy to judge, so a minimum length guards both tests.
+histograms of the language's documents that pass the base rules and are long enough; a language needs
+so many of them to be judged by, so that no document is compared with little more than itself.
+Short documents are too noisy to judge, so a minimum length guards both tests.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +34,10 @@ MAX_REPEATED_PERCENT = 30
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.27
 MAX_WORD_DISTANCE = 0.42
-OTHER = "other"
+#: Documents that a language's reference is made of, at least; without, its documents pass the two tests.
+MIN_REFERENCE = 20
+#: References up to so many languages are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
 
 def _shifted(hashes: str, by: int) -> Column:
@@ -85,10 +87,6 @@ def _share(counts: str, total: str) -> Column:
     return F.transform(counts, lambda x: F.when(F.col(total) > 0, x / F.col(total)).otherwise(F.lit(0.0)))
 
 
-def _language(lang: Column) -> Column:
-    return F.when(lang.isin(*COMMON), lang).otherwise(F.lit(OTHER))
-
-
 def quality_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The base counts of each text and its two histograms, beside the columns ``keep``."""
     d = _histograms(docs, keep)
@@ -111,54 +109,53 @@ def quality_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def language_references(features: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms by language over all long enough documents; at most one row for each language of COMMON and one more."""
+def _failed() -> Column:
+    """The base rules."""
+    return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
+def language_references(features: DataFrame, lang: str = "lang") -> DataFrame:
+    """``lang, p, q``: mean histograms of each language (null is one) with documents enough that pass the base rules."""
     sizes = {"_c": len(CLASSES) + 1, "_v": len(VOCABULARY) + 1}
     means = [F.avg(F.element_at(c, i + 1)).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    rows = features.where(F.col("n_words") >= MIN_WORDS).groupBy(_language(F.col(lang)).alias("_lang")).agg(*means).collect()
-    return {r["_lang"]: tuple([round(r[f"{c}{i}"], 9) for i in range(n)] for c, n in sizes.items()) for r in rows}
+    fit = features.where((F.col("n_words") >= MIN_WORDS) & ~_failed())
+    rows = fit.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), *means).where(F.col("n") >= MIN_REFERENCE)
+    return rows.select("lang", *[F.array(*[F.round(f"{c}{i}", 9) for i in range(n)]).alias(name) for (c, n), name in zip(sizes.items(), "pq", strict=True)])
 
 
 def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms whose bins sum to 1."""
+    """Jensen-Shannon distance of two histograms whose bins sum to 1; null without the second."""
 
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
 
     each = F.zip_with(p, q, lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
-
-
-def _verdict(features: DataFrame, references: dict, lang: str) -> DataFrame:
-    """Adds class_distance, word_distance (null for short texts), base_failed and kept."""
+    return F.when(q.isNotNull(), F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
 
-    def of(k: int) -> Column:
-        arrays = {name: F.array(*map(F.lit, r[k])) for name, r in references.items()}
-        if not arrays:
-            return F.lit(None).cast("array<double>")
-        return reduce(lambda c, n: c.when(_language(F.col(lang)) == n, arrays[n]), arrays, F.when(F.lit(False), F.lit(None)))
 
+def _verdict(features: DataFrame, lang: str) -> DataFrame:
+    """Adds class_distance, word_distance (null for short texts and without a reference), base_failed and kept."""
+    found = materialize(language_references(features, lang), "references").select(F.col("lang").alias("_lang"), F.col("p").alias("_p"), F.col("q").alias("_q"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     long_enough = F.col("n_words") >= MIN_WORDS
-    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    d = features.withColumn("_p", of(0)).withColumn("_q", of(1))
+    d = features.join(found, features[lang].eqNullSafe(found["_lang"]), "left")
     d = d.withColumn("class_distance", F.when(long_enough, _distance(F.col("_c"), F.col("_p"))))
     d = d.withColumn("word_distance", F.when(long_enough, _distance(F.col("_v"), F.col("_q"))))
     odd = F.coalesce((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE), F.lit(False))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd).drop("_p", "_q", "_c", "_v")
+    return d.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & ~odd).drop("_p", "_q", "_c", "_v", "_lang")
 
 
 def assess(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """One row per document: its counts, its two distances, ``base_failed`` and ``kept``.
 
-    A null or empty text has no words and fails the base rules; a null ``lang`` is compared with the
-    reference of other languages; repeated rows give repeated results; an empty table gives none.
-    The features are written once, so that the texts are read once.
+    A null or empty text has no words and fails the base rules; a null ``lang``, or none at all, is a
+    language of its own; repeated rows give repeated results; an empty table gives none. The features
+    are written once, so that the texts are read once.
     """
-    keep = [c for c in dict.fromkeys((doc_id, lang))]
     if lang not in docs.columns:
         docs = docs.withColumn(lang, F.lit(None).cast("string"))
-    features = materialize(quality_features(docs, keep), "quality")
-    return _verdict(features, language_references(features, lang), lang).drop(lang)
+    features = materialize(quality_features(docs, list(dict.fromkeys((doc_id, lang)))), "quality")
+    return _verdict(features, lang).drop(lang)
 
 
 def filter_documents(docs: DataFrame, lang: str = "lang") -> DataFrame:
@@ -170,7 +167,7 @@ def filter_documents(docs: DataFrame, lang: str = "lang") -> DataFrame:
     columns = docs.columns
     own = [f"_k{i}" for i in range(len(columns))]
     d = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(columns, own, strict=True)], F.col("text").alias("text"))
-    lang_of = own[columns.index(lang)]
-    features = materialize(quality_features(d, own), "quality")
-    kept = _verdict(features, language_references(features, lang_of), lang_of).where("kept")
+    d = d.withColumn("_language", F.col(own[columns.index(lang)]).cast("string") if lang in columns else F.lit(None).cast("string"))
+    features = materialize(quality_features(d, [*own, "_language"]), "quality")
+    kept = _verdict(features, "_language").where("kept")
     return kept.select(*[F.col(a).alias(c) for a, c in zip(own, columns, strict=True)])

@@ -25,9 +25,8 @@ def quality_sql() -> str:
     """Counts, distances and verdicts; the distances decide and are not returned."""
     classes, common = _histogram()
     window = quality.WINDOW
-    langs = ", ".join(f"'{x}'" for x in quality.COMMON)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
 win AS (SELECT k, i, array_to_string(w[i:i + {window - 1}], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
 rep AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1),
 cov AS (SELECT k, sum(least({window}, coalesce(j - i, {window})))::BIGINT AS n FROM rep GROUP BY k),
@@ -35,11 +34,12 @@ f AS (SELECT d.k, doc_id, lang, len(w)::BIGINT AS n_words, list_sum(list_transfo
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, {classes} AS c0, {common} AS v0,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(cov.n, 0) AS n_repeat_words, length(t) AS n FROM d LEFT JOIN cov USING (k)),
 h AS (SELECT *, list_transform(c0, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0 END) AS c,
-      list_transform(list_append(v0, n_words - list_sum(v0)), lambda x: CASE WHEN n_words > 0 THEN x / n_words ELSE 0 END) AS v, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM f),
-rc AS (SELECT lang, list(m ORDER BY i) AS p FROM (SELECT lang, i, round(avg(x), 9) AS m FROM (SELECT lang, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM h WHERE n_words >= {quality.MIN_WORDS}) GROUP BY 1, 2) GROUP BY 1),
-rv AS (SELECT lang, list(m ORDER BY i) AS q FROM (SELECT lang, i, round(avg(x), 9) AS m FROM (SELECT lang, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM h WHERE n_words >= {quality.MIN_WORDS}) GROUP BY 1, 2) GROUP BY 1),
-j AS (SELECT h.*, {_distance("c", "p")} AS dc, {_distance("v", "q")} AS dv FROM h LEFT JOIN rc USING (lang) LEFT JOIN rv USING (lang)),
-b AS (SELECT *, n_words < {quality.MIN_BASE_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM j)
+      list_transform(list_append(v0, n_words - list_sum(v0)), lambda x: CASE WHEN n_words > 0 THEN x / n_words ELSE 0 END) AS v, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+      n_words < {quality.MIN_BASE_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM f),
+fit AS (SELECT * FROM h WHERE n_words >= {quality.MIN_WORDS} AND NOT base_failed QUALIFY count(*) OVER (PARTITION BY lang) >= {quality.MIN_REFERENCE}),
+rc AS (SELECT lang, list(m ORDER BY i) AS p FROM (SELECT lang, i, round(avg(x), 9) AS m FROM (SELECT lang, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM fit) GROUP BY 1, 2) GROUP BY 1),
+rv AS (SELECT lang, list(m ORDER BY i) AS q FROM (SELECT lang, i, round(avg(x), 9) AS m FROM (SELECT lang, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM fit) GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT h.*, {_distance("c", "p")} AS dc, {_distance("v", "q")} AS dv FROM h LEFT JOIN rc ON h.lang IS NOT DISTINCT FROM rc.lang LEFT JOIN rv ON h.lang IS NOT DISTINCT FROM rv.lang)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(n_words >= {quality.MIN_WORDS} AND (dc > {quality.MAX_CLASS_DISTANCE} OR dv > {quality.MAX_WORD_DISTANCE}), false) AS kept FROM b
 """
