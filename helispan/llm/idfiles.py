@@ -104,6 +104,28 @@ def expand(data: bytes) -> np.ndarray:
     return v.reshape(-1)[:n]
 
 
+def expand_block(data: bytes, number: int) -> np.ndarray:
+    """The ids of one block of a chunk, found by the index and read alone."""
+    _, n, blocks, n_words, n_odd = _HEAD.unpack_from(data)
+    at = _HEAD.size
+    least_at, width_at, word_at, odd_at = at, at + 4 * blocks, at + 5 * blocks, at + 9 * blocks + 4
+    words_at = at + 13 * blocks + 8
+    place_at = words_at + 4 * n_words
+
+    def read(kind: str, place: int, count: int = 1) -> np.ndarray:
+        return np.frombuffer(data, dtype=kind, count=count, offset=place)
+
+    width = int(read("u1", width_at + number)[0])
+    v = np.full(BLOCK, read("<u4", least_at + 4 * number)[0], dtype=np.uint32)
+    if width:
+        packed = read("<u4", words_at + 4 * int(read("<u4", word_at + 4 * number)[0]), width * BLOCK // 32)
+        bits = np.unpackbits(packed.view(np.uint8), bitorder="little").reshape(BLOCK, width)
+        v += bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    first, end = read("<u4", odd_at + 4 * number, 2).tolist()
+    v[read("u1", place_at + first, end - first)] = read("<u4", place_at + n_odd + 4 * first, end - first)
+    return v[: min(BLOCK, n - number * BLOCK)]
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, kind: str = "word", end_id: int = END_ID) -> None:
     """Encode all documents and write their ids below ``path`` in ascending order of ``doc_id``.
 
@@ -136,7 +158,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, kind: str =
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 16).alias("begins"), F.monotonically_increasing_id().alias("row"))
+    # Ranges within one id: by the beginning of its texts, which agrees with their order, and for equal ones by row.
+    ordered = keyed.repartitionByRange("doc_id", "begins", "row").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     made = ordered.mapInArrow(chunks, "part long, chunk long, start long, n long, doc_ids array<long>, lengths array<long>, payload binary")
     made.write.option("compression", "none").parquet(path)
 
