@@ -58,10 +58,14 @@ def _documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, text`` of at most MAX_LABELLED labelled documents that are not held out."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_LABELLED).dropDuplicates(["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("toxic", "text")
+    """``toxic, text`` of at most MAX_LABELLED labelled documents that are not held out, one row each.
+
+    A document with both labels is toxic; of several texts under one id the least is taken.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def _candidates(sample: DataFrame) -> np.ndarray:
