@@ -45,27 +45,30 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
 
     def best(self, chunk: str) -> int:
-        """Pieces of the best path through a chunk."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in chunk]
-        for last, found in self.automaton.iter(chunk):
-            ends[last].append(found)
-        scores, counts = [0.0], [0]
-        for last, (char, found) in enumerate(zip(chunk, ends, strict=True)):
+        """Pieces of the best path through a chunk; as many scores are kept as the longest piece has characters."""
+        kept = self.longest + 1
+        scores, counts = [0.0] * kept, [0] * kept
+        matches = self.automaton.iter(chunk)
+        match = next(matches, None)
+        for last, char in enumerate(chunk):
             best, count = None, 0
-            for length, score in found:  # the longest first
-                s = scores[last + 1 - length] + score
+            while match is not None and match[0] == last:  # the longest first
+                length, score = match[1]
+                at = (last + 1 - length) % kept
+                s = scores[at] + score
                 if best is None or s > best:
-                    best, count = s, counts[last + 1 - length] + 1
+                    best, count = s, counts[at] + 1
+                match = next(matches, None)
             if char not in self.single:
-                s = scores[last] + self.unknown
+                s = scores[last % kept] + self.unknown
                 if best is None or s > best:
-                    best, count = s, counts[last] + len(char.encode())
-            scores.append(best)
-            counts.append(count)
-        return counts[-1]
+                    best, count = s, counts[last % kept] + len(char.encode())
+            scores[(last + 1) % kept], counts[(last + 1) % kept] = best, count
+        return counts[len(chunk) % kept]
 
     def __missing__(self, part: str) -> int:
         found = self.old.get(part)
