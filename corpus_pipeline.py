@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from helispan.llm import jaccard, mixing, packing, quality, secrets
-from helispan.session import materialize
+from helispan.session import finished
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,17 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the tokenizer of the last stage; tests compare the stages with brute force.
+#: SQL cannot express the tokenizer of the last stage; tests compare ``run`` with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; each result is written and read again, and goes when the next one is written."""
+
+    def upto(k: int) -> DataFrame:
+        if k < 0:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        name, stage = STAGES[k]
+        return finished(spark, lambda: stage(spark, upto(k - 1), sf_dir), name)
+
+    return STAGES[-1][1](spark, upto(len(STAGES) - 2), sf_dir)
