@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -292,6 +293,32 @@ def test_blocks_round_trip():
     assert (idfiles.expand(idfiles.compress(x)) == x).all()
 
 
+def test_one_block_alone():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 300, 1000).astype(np.uint32)
+    x[rng.integers(0, 1000, 40)] = 1 << 30
+    data = idfiles.compress(x)
+    for i in range(8):
+        assert (idfiles.expand_block(data, i) == x[i * 128 : (i + 1) * 128]).all()
+
+
+def test_id_files_of_one_id(spark):
+    """Many texts under one id are dealt to several tasks and keep their order."""
+    d = spark.createDataFrame([(5, f"{i % 90:03d} word") for i in range(600)] + [(4, "x"), (6, None)], "doc_id long, text string").repartition(6)
+    path = shared_path(spark, "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        idfiles.write_ids(d, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = idfiles.read_ids(spark, path)
+    assert files.select("part").distinct().count() > 1
+    encode = Tokenizer.from_file(tokens.WORD_BPE)
+    texts = ["x", *sorted(f"{i % 90:03d} word" for i in range(600)), ""]
+    starts = np.cumsum([0, *(len(encode.encode(t, add_special_tokens=False).ids) + 1 for t in texts)])[:-1]
+    assert sorted(r.start for r in idfiles.digest(files).collect()) == starts.tolist()
+
+
 def test_id_files(docs, rows, monkeypatch):
     encode = Tokenizer.from_file(tokens.WORD_BPE)
     wanted, at = [], 0
@@ -302,6 +329,33 @@ def test_id_files(docs, rows, monkeypatch):
     assert _sorted(map(tuple, idfiles.round_trip(docs).collect())) == _sorted(wanted)
 
 
+def test_count_of_a_long_chunk():
+    """A text of half a million characters without a blank, in memory that does not grow with it."""
+    pieces = counting.vocabulary(counting.PIECES)
+    counter = counting.Counter(pieces)
+    whole = Tokenizer(models.Unigram(pieces, 0, True))
+    chunk = "thequickbrownfoxé" * 30_000
+    tracemalloc.start()
+    assert counter(chunk) == len(whole.encode(counting.MARK + chunk).ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+
+
+def test_quality_needs_a_reference(spark):
+    """A language of few documents, or none, is not judged by itself; junk that fails the base rules is no reference."""
+    rng = random.Random(3)
+    words = "the of and to a in is it that for on with was as are be this by from or".split()
+    prose = [" ".join(rng.choice([*words, "house", "river", "letters", "morning"]) for _ in range(80)) + "." for _ in range(30)]
+    junk = [" ".join("#%$" + str(rng.randint(0, 9999)) for _ in range(80)) for _ in range(3)]
+    rows = [(i, t, "en") for i, t in enumerate(prose + junk)] + [(100, junk[0], "xx"), (101, "spam " * 200, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.assess(d).collect()}
+    assert [i for i, r in got.items() if not r.kept and i < 100] == [30, 31, 32]
+    assert got[100].kept and got[100].word_distance is None and got[101].base_failed
+    assert quality.filter_documents(d.drop("lang")).count() == sum(r.kept for r in quality.assess(d.drop("lang")).collect())
+
+
 def test_counts_equal_tokenizer(docs, rows):
     pieces = counting.vocabulary(counting.PIECES)
     whole = Tokenizer(models.Unigram(pieces, 0, True))
@@ -366,6 +420,64 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.classify(d, y.limit(0)).collect())
 
 
+def test_label_model_against_rows():
+    """The fit over counts of vote combinations against one over single rows, step by step."""
+    rng = np.random.default_rng(4)
+    voters, events = toxicity.VOTERS, toxicity.VOTERS + 1
+    y = (rng.random(60) < 0.3).astype(float)
+
+    def vote(label):
+        v = np.zeros(voters, bool)
+        if rng.random() < (0.8 if label else 0.1):
+            v[rng.integers(0, toxicity.LEXICON_VOTERS)] = True
+        v[toxicity.LEXICON_VOTERS :] = rng.random(toxicity.PATTERNS) < (0.3 if label else 0.1)
+        return v
+
+    votes = np.array([vote(c) for c in y])
+    rows = np.array([vote(rng.random() < 0.2) for _ in range(200)])
+    combos, counts = np.unique(rows @ toxicity._BITS, return_counts=True)
+    got = toxicity.fit_label_model(combos, counts.astype(float), votes, y)
+
+    def event(v):
+        return [float(x) for x in v] + [float(not v[: toxicity.LEXICON_VOTERS].any())]
+
+    labelled, x = [event(v) for v in votes], [event(v) for v in rows]
+    size = [float((y == c).sum()) for c in (0, 1)]
+    fire = [[(sum(l[j] for l, c in zip(labelled, y) if c == k) + 0.05) / (size[k] + 0.1) for j in range(events)] for k in (0, 1)]
+    prior, shared = size[1] / sum(size), np.zeros((events, events))
+
+    def posterior(v):
+        z = np.log(prior / (1 - prior))
+        for j in range(events):
+            z += v[j] / (1 + sum(v[i] * shared[i, j] for i in range(events))) * np.log(np.clip(fire[1][j], 1e-6, 1) / np.clip(fire[0][j], 1e-6, 1))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    for _ in range(toxicity.ROUNDS):
+        p = [posterior(v) for v in x]
+        shared = np.zeros((events, events))
+        for k in (0, 1):
+            weight = [q if k else 1 - q for q in p]
+            for j in range(events):
+                fire[k][j] = (sum(w * v[j] for w, v in zip(weight, x)) + sum(l[j] for l, c in zip(labelled, y) if c == k) + 0.05) / (sum(weight) + size[k] + 0.1)
+            off = [[v[j] - fire[k][j] for j in range(events)] for v in x]
+            cover = np.array([[sum(w * o[i] * o[j] for w, o in zip(weight, off)) for j in range(events)] for i in range(events)])
+            spread = np.sqrt(np.maximum(np.diag(cover), 1e-9))
+            shared = np.maximum(shared, cover / np.outer(spread, spread))
+        np.fill_diagonal(shared, 0)
+        prior = (sum(p) + size[1]) / (len(p) + sum(size))
+    for combo in combos:
+        assert abs(got[combo] - posterior(event(combo & toxicity._BITS > 0))) < 1e-6
+
+
+def test_toxicity_sample(spark):
+    """Repeated labels and documents: one row for each id, toxic where labels differ, the least text."""
+    d = spark.createDataFrame([(0, "b"), (0, "a"), (0, "a"), (1, None), (4, "x"), (None, "y")], "doc_id long, text string")
+    y = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (1, 0), (1, 0), (None, 1), (4, 3)], "doc_id long, toxic int")
+    ids = [i for i in (0, 1) if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = sorted((r.toxic, r.text) for r in toxicity._sample(d, y).collect())
+    assert got == sorted([(1, "a"), (0, "")][i] for i in ids)
+
+
 PAGE = """<body><div class="cookie-notice"><p>We use cookies on this site to make it better.</p></div><header><h1>Site</h1><a href=x>Home</a></header>
 <main><article><header><h2>A &lt;title&gt;</h2></header><p>First  para,\n long enough.<p>Second &amp; para<br>line<ul><li>item one<li>item two</ul>
 <aside><p>Related stuff you may like.</p></aside><section class="comments"><h3>Comments</h3><p>Great article, thanks a lot for writing all of this long text!</p></section>
