@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
 WORD_BPE = tokenizer_path("word_bpe_49k.json")
 #: Chunks that a worker keeps at least; it keeps up to twice as many.
-CACHE = 100_000
+CACHE = 400_000
 LONGEST_KEPT = 48
 #: Unicode's White_Space, which the tokenizers' own patterns mean by white space.
 _SPACE = "\t-\r \x85\xa0  -     　"
