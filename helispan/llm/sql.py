@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helispan.llm import jaccard, quality, vectors
+from helispan.llm import jaccard, quality, vectors, warc
 
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -83,4 +83,16 @@ FROM d LEFT JOIN n USING (k) LEFT JOIN m ON d.k = m.node LEFT JOIN q ON d.k = q.
 """
 
 
-ORACLES = {"op4_jaccard_join": jaccard_sql(), "op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql()}
+def warc_sql() -> str:
+    """Types of records by equal payloads, sizes and digests."""
+    digits = " || ".join(f"to_base(('0x' || substr(sha1(h), {k}, 10))::BIGINT, 32, 8)" for k in (1, 11, 21, 31))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, CASE WHEN strlen(h) >= {warc.MIN_REVISIT} THEN max(page_id) OVER (PARTITION BY h) END AS head FROM p),
+r AS (SELECT *, coalesce(page_id IS DISTINCT FROM head AND head IS NOT NULL, false) AS again FROM f)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, translate({digits}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN head END AS refers_to FROM r
+"""
+
+
+ORACLES = {"op4_jaccard_join": jaccard_sql(), "op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql(), "op11_warc": warc_sql()}
