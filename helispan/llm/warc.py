@@ -211,10 +211,10 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, whole`` for each archive: whether its chain comes to the end of the file."""
+    """``path, length, whole`` for each archive that is not empty: whether its chain comes to the end of the file."""
     ends = entries(spark, path).withColumn("whole", F.lit(True))
     files = files_of(spark, path)
-    return files.join(ends, (files["path"] == ends["path"]) & (files["length"] == ends["at"]), "left").select(files["path"], "length", F.coalesce("whole", F.col("length") == 0).alias("whole"))
+    return files.join(ends, (files["path"] == ends["path"]) & (files["length"] == ends["at"]), "left").select(files["path"], "length", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def _http(block: bytes) -> tuple[int | None, bytes]:
