@@ -111,6 +111,17 @@ def hashed_words(off: np.ndarray, raw: np.ndarray, table: np.ndarray = WORDS, pr
     return h, np.searchsorted(start, off)
 
 
+def word_spans(off: np.ndarray, raw: np.ndarray, table: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all words of some rows, and the number of the first word of each row (and the total)."""
+    inside = np.append(table[raw] != 0, False)
+    cut = np.zeros(len(raw) + 1, dtype=bool)
+    cut[off] = True
+    before = np.concatenate([[False], inside[:-1]])
+    start = np.flatnonzero(inside & (~before | cut))
+    end = np.flatnonzero(before & (~inside | cut))
+    return start, end, np.searchsorted(start, off)
+
+
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each row's ``k``-word shingles.
 
