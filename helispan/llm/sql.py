@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helispan.llm import jaccard, quality, vectors, warc
+from helispan.llm import jaccard, phrases, quality, vectors, warc
 
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -95,4 +95,25 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, translate({digits}, '0123456
 """
 
 
-ORACLES = {"op4_jaccard_join": jaccard_sql(), "op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql(), "op11_warc": warc_sql()}
+def phrases_sql() -> str:
+    """Counts of all phrases by language, the lowest-scoring cut of each candidate, and the first of each language."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH p AS (SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), s AS (SELECT lang, w, i, unnest(range(1, {phrases.DEPTH + 1})) AS k FROM g),
+f AS (SELECT lang, k, w[i:i + k - 1] AS words, count(*) AS f FROM s WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= {phrases.MIN_COUNT}),
+starts AS (SELECT lang, words, k, f, unnest(range(1, k)) AS i FROM c), spans AS (SELECT *, unnest(range(2, k)) AS m FROM starts),
+held AS (SELECT lang, words[i:i + m - 1] AS words, max(f) AS longer FROM spans WHERE i + m - 1 <= k GROUP BY ALL),
+cuts AS (SELECT lang, words, k, f, unnest(range(1, k)) AS cut FROM c),
+scored AS (SELECT x.lang, x.words, x.f AS a, x.cut, a.f AS l, b.f AS r, ({phrases.SCALE}::HUGEINT * x.f) // (a.f + b.f) AS score FROM cuts x
+           JOIN f a ON a.lang = x.lang AND a.words = x.words[1:x.cut] JOIN f b ON b.lang = x.lang AND b.words = x.words[x.cut + 1:x.k]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+kept AS (SELECT b.*, array_to_string(b.words, ' ') AS phrase FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.words = b.words WHERE coalesce(100 * h.longer < {phrases.WITHIN} * b.a, true))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+ORACLES = {"op4_jaccard_join": jaccard_sql(), "op8_embedding_dedup": vectors_sql(), "op9_quality_rules": quality_sql(), "op11_warc": warc_sql(), "op13_collocations": phrases_sql()}
