@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lengths below this count as none.
 EPS = 1e-8
+#: Distances below this part of the points' own sizes are rounding.
+ROUNDING = 1e-14
 _AXES = ("x", "y", "z")
 
 
@@ -47,7 +49,10 @@ def project(a: Column, b: Column, p: Column) -> Column:
 
 
 def closest(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
-    """``pa, pb, mua, mub``: where the lines p1 p2 and p3 p4 come closest (F13); null for parallel or empty lines."""
+    """``pa, pb, mua, mub``: where the lines p1 p2 and p3 p4 come closest (F13); null for parallel or empty lines.
+
+    The bounds are those of the format's own rule, on squared lengths as they are: directions are of about unit length.
+    """
     a, b, c = sub(p2, p1), sub(p4, p3), sub(p1, p3)
     aa, bb, ab = dot(a, a), dot(b, b), dot(a, b)
     det = aa * bb - ab * ab
@@ -58,12 +63,16 @@ def closest(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
 
 
 def dihedral(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Signed angle about b c between the planes a b c and b c d, in (-pi, pi]."""
+    """Signed angle about b c between the planes a b c and b c d, in (-pi, pi].
+
+    Null where three points are on a line, that is where a normal is nothing beside the lengths that it comes
+    from, and where b and c are one point up to rounding. A short line from b to c is fine.
+    """
     v1, v2, v3 = sub(b, a), sub(c, b), sub(d, c)
     n1, n2 = cross(v1, v2), cross(v2, v3)
-    size = norm(n1) * norm(n2)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(n1, n2) / size)))
-    return F.when(size > EPS, F.when(dot(n1, v3) < 0, -angle).otherwise(angle))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(n1, n2) / (norm(n1) * norm(n2)))))
+    plane = (norm(n1) > EPS * norm(v1) * norm(v2)) & (norm(n2) > EPS * norm(v2) * norm(v3)) & (norm(v2) > ROUNDING * (norm(b) + norm(c)))
+    return F.when(plane, F.when(dot(n1, v3) < 0, -angle).otherwise(angle))
 
 
 def axis_angles(df: DataFrame, centre1: str, direction1: str, centre2: str, direction2: str, name: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,10 @@ from helispan.operators.pairs import against
 
 #: Gap of the two levels for codes and for angles.
 GAP_CODES, GAP_ANGLES = -1.0, -20.0
+#: Codes of segment types, which stand on diagonals.
+DIAGONAL_CODES = ["e ", "xa", "xi", "xg"]
+#: Cells of the score tables that a task holds at once.
+BUNDLE = 1 << 21
 
 
 def align_score(a: Column, b: Column, match: float = 1.0, mismatch: float = 0.0, gap: float = -1.0) -> Column:
@@ -66,78 +71,141 @@ def alignment_strings(a: str, b: str, path: list[tuple[int | None, int | None]])
     return tuple("".join(s[x[side]] if x[side] is not None else fill(k) for k, x in enumerate(path)) for side, s in enumerate((a, b)))  # type: ignore[return-value]
 
 
-def _code_scores(a: np.ndarray, b: np.ndarray, typed: bool) -> np.ndarray:
-    """Scores of all places of one matrix of codes with all of another: (i, k, j, l)."""
-    x, y = a[:, :, None, None], b[None, None, :, :]
-    first = np.char.ljust(a, 2).astype("U2").view("U1").reshape(*a.shape, 2)
-    other = np.char.ljust(b, 2).astype("U2").view("U1").reshape(*b.shape, 2)
-    same = [first[..., k][:, :, None, None] == other[..., k][None, None, :, :] for k in (0, 1)]
-    plain = np.where(same[0] & same[1], 2.0, np.where(same[0] | same[1], 1.0, -2.0))
+def code_table(codes: list[str], typed: bool) -> np.ndarray:
+    """Scores of each two of some codes; with ``typed``, segment types (the codes on diagonals) only match themselves."""
+    first, other = np.array([c.ljust(2)[0] for c in codes]), np.array([c.ljust(2)[1] for c in codes])
+    same = (first[:, None] == first).astype(int) + (other[:, None] == other)
+    plain = np.array([-2.0, 1.0, 2.0])[same]
     if not typed:
         return plain
-    diagonal = np.isin(a, ["e ", "xa", "xi", "xg"])[:, :, None, None] | np.isin(b, ["e ", "xa", "xi", "xg"])[None, None, :, :]
-    return np.where(diagonal, np.where(x == y, 0.0, MISMATCH), plain)
+    diagonal = np.isin(codes, DIAGONAL_CODES)
+    return np.where(diagonal[:, None] | diagonal, np.where(same == 2, 0.0, MISMATCH), plain)
 
 
 def _angle_scores(a: np.ndarray, b: np.ndarray, typed: bool) -> np.ndarray:
     """Scores of angles in degrees; types are on the diagonals, which are carried apart from angles."""
-    d = np.abs(np.degrees(a)[:, :, None, None] - np.degrees(b)[None, None, :, :])
+    x, y = a[:, :, :, None, None], b[:, None, None, :, :]
+    d = np.abs(np.degrees(x) - np.degrees(y))
     plain = 45.0 - np.minimum(d, 360.0 - d)
     if not typed:
         return plain
-    da, db = np.eye(len(a), dtype=bool)[:, :, None, None], np.eye(len(b), dtype=bool)[None, None, :, :]
-    return np.where(da | db, np.where(da & db & (a[:, :, None, None] == b[None, None, :, :]), 0.0, MISMATCH), plain)
+    da, db = np.eye(a.shape[1], dtype=bool)[:, :, None, None], np.eye(b.shape[1], dtype=bool)
+    return np.where(da | db, np.where(da & db & (x == y), 0.0, MISMATCH), plain)
 
 
-def match_matrices(a: np.ndarray, b: np.ndarray, gap: float | None = None, typed: bool = False) -> float:
-    """Two-level alignment of two square matrices (M4): rows aligned pairwise give scores to align segments by.
+def place_scores(a: np.ndarray, b: np.ndarray, codes: list[str] | None, typed: bool) -> np.ndarray:
+    """Scores (pair, i, k, j, l) of all places of the first matrices with all of the second ones.
 
-    The tables of all pairs of rows are filled together, a cell at a time.
+    ``a`` and ``b`` hold a matrix for each pair, of angles or, where ``codes`` are given, of their numbers.
     """
-    codes = a.dtype.kind == "U"
-    gap = (GAP_CODES if codes else GAP_ANGLES) if gap is None else gap
+    if codes is None:
+        return _angle_scores(a, b, typed)
+    return code_table(codes, typed)[a[:, :, :, None, None], b[:, None, None, :, :]]
+
+
+def aligned(score: np.ndarray, gap: float) -> np.ndarray:
+    """Scores of alignments (M1) for any number of tables at once; the last two axes are the two sequences."""
+    n, m = score.shape[-2:]
+    above = [np.zeros(score.shape[:-2])] * (m + 1)
+    for i in range(n):
+        row = [above[0]]
+        for j in range(m):
+            row.append(np.maximum(above[j] + score[..., i, j], np.maximum(above[j + 1], row[j]) + gap))
+        above = row
+    return above[m]
+
+
+def match_places(scores: np.ndarray, gap: float) -> np.ndarray:
+    """Two-level alignments (M4) of pairs of matrices: rows aligned pairwise give scores to align segments by."""
+    return aligned(aligned(scores.transpose(0, 1, 3, 2, 4), gap), gap)
+
+
+def match_matrices(a: np.ndarray, b: np.ndarray, gap: float | None = None, typed: bool = False) -> float:
+    """Two-level alignment of two square matrices, of codes or of angles (M4)."""
+    names = sorted({*a.ravel().tolist(), *b.ravel().tolist()}) if a.dtype.kind == "U" else None
+    gap = (GAP_ANGLES if names is None else GAP_CODES) if gap is None else gap
     if not len(a) or not len(b):
         return 0.0
-    scores = (_code_scores if codes else _angle_scores)(a, b, typed)
-    above = np.zeros((len(b) + 1, len(a), len(b)))
-    for k in range(len(a)):
-        row = np.zeros_like(above)
-        for j in range(len(b)):
-            row[j + 1] = np.maximum(above[j] + scores[:, k, :, j], np.maximum(above[j + 1], row[j]) + gap)
-        above = row
-    return align(above[-1], gap)[0]
+    one, two = (x if names is None else np.searchsorted(names, x) for x in (a, b))
+    return float(match_places(place_scores(one[None], two[None], names, typed), gap)[0])
+
+
+def order_of(size: int) -> int:
+    """Rows of the square matrix whose triangle, packed, has so many places."""
+    return (math.isqrt(8 * size + 1) - 1) // 2
 
 
-def _square(packed: list, codes: bool) -> np.ndarray:
-    n = int((np.sqrt(8 * len(packed) + 1) - 1) / 2)
-    out = np.empty((n, n), dtype="U2" if codes else float)
+def _squares(values: np.ndarray, n: int) -> np.ndarray:
+    """Symmetric matrices from rows of packed triangles."""
+    out = np.empty((len(values), n, n), values.dtype)
     j, i = np.tril_indices(n)
-    out[i, j] = out[j, i] = np.array(packed, dtype=out.dtype)
+    out[:, i, j] = out[:, j, i] = values
     return out
 
 
-def search(database: DataFrame, queries: DataFrame, key: str = "target_id", packed: str = "packed", typed: bool = False, gap: float | None = None) -> DataFrame:
-    """``query_id, key, score`` of every query's packed matrix with every matrix of a database.
+def _grouped(one: pa.ListArray, two: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None]]:
+    """Rows whose matrices have equal orders, in bundles of bounded size, with both matrices and the codes they number.
+
+    Cells are taken out of the batch once; a null matrix is an empty one.
+    """
+    values, sizes, begins = [], [], []
+    for column in (one, two):
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        begins.append(offsets[:-1])
+        sizes.append(np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets)))
+        values.append(column.values)
+    names = None
+    if pa.types.is_string(values[0].type) or pa.types.is_large_string(values[0].type):
+        found = pa.concat_arrays([v.cast(pa.string()) for v in values]).dictionary_encode()
+        names, flat = found.dictionary.to_pylist(), found.indices.to_numpy()
+        values = [flat[: len(values[0])], flat[len(values[0]) :]]
+    else:
+        values = [v.cast(pa.float64()).to_numpy(zero_copy_only=False) for v in values]
+    shape = np.stack(sizes, axis=1)
+    for x, y in np.unique(shape, axis=0).tolist():
+        rows = np.flatnonzero((shape[:, 0] == x) & (shape[:, 1] == y))
+        n, m = order_of(x), order_of(y)
+        step = max(1, BUNDLE // max(1, (n * m) ** 2))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            matrices = [_squares(v[b[some][:, None] + np.arange(k)], order) for v, b, k, order in zip(values, begins, (x, y), (n, m), strict=True)]
+            yield some, *matrices, names
+
+
+def pairwise(database: DataFrame, queries: DataFrame, key: str, packed: str, compute: Callable[..., list[list]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """``query_id, key`` and the fields that ``compute`` finds, for every query's packed matrix with every matrix of a database.
 
     ``queries`` has query_id and packed, a stated set; they go to the tasks in blocks, and the database
-    is not shuffled.
+    is not shuffled. ``compute`` gets the matrices of many pairs of equal orders and the codes they number (none for
+    angles), and returns a list of values for each field (name, SQL type, Arrow type). A null matrix is an empty one.
     """
-    codes = "string" in database.schema[packed].dataType.simpleString()
     kinds = queries.schema["query_id"].dataType.simpleString(), database.schema[key].dataType.simpleString()
     asked = queries.select("query_id", F.col(packed).alias("_query"))
     both = against(asked, database.select(key, packed), "query_id").select("query_id", key, "_query", packed)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            targets: dict[object, np.ndarray] = {}
-            found = []
-            for name, query, matrix in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if name not in targets:
-                    targets[name] = _square(query, codes)
-                found.append(match_matrices(targets[name], _square(matrix, codes), gap, typed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["query_id", key, "score"])
-
-    return both.mapInArrow(rows, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+            out: list[list] = [[None] * batch.num_rows for _ in fields]
+            for some, a, b, names in _grouped(batch.column(2), batch.column(3)):
+                for column, found in zip(out, compute(a, b, names), strict=True):
+                    for k, value in zip(some.tolist(), found, strict=True):
+                        column[k] = value
+            values = [pa.array(c, t) for c, (_, _, t) in zip(out, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], names=["query_id", key, *[f[0] for f in fields]])
+
+    return both.mapInArrow(rows, ", ".join([f"query_id {kinds[0]}", f"{key} {kinds[1]}", *[f"{name} {kind}" for name, kind, _ in fields]]))
+
+
+def search(database: DataFrame, queries: DataFrame, key: str = "target_id", packed: str = "packed", typed: bool = False, gap: float | None = None) -> DataFrame:
+    """``query_id, key, score`` of every query's packed matrix with every matrix of a database by two-level alignment."""
+
+    def compute(a: np.ndarray, b: np.ndarray, names: list[str] | None) -> list[list]:
+        if not a.shape[1] or not b.shape[1]:
+            return [[0.0] * len(a)]
+        own = (GAP_ANGLES if names is None else GAP_CODES) if gap is None else gap
+        return [match_places(place_scores(a, b, names, typed), own).tolist()]
+
+    return pairwise(database, queries, key, packed, compute, [("score", "double", pa.float64())])
 
 
 def objective_terms(a: DataFrame, b: DataFrame, key: str, score: Column) -> DataFrame:

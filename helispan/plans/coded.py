@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helispan.functions import geometry, scalar
-from helispan.operators import align, pairs
+from helispan.operators import align, matching, pairs, ranks
 from helispan.plans.bindings import bind, table
 
 #: A structure is sixteen vectors in a row; structures stay as small however many there are.
@@ -55,8 +55,8 @@ def paired_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return coded(spark, sf_dir).withColumn("seq", F.row_number().over(w) - 1)
+    """Vectors numbered within their label, by ranges, as a label may hold any number of them."""
+    return ranks.running(coded(spark, sf_dir), ["vec_id"], {"seq": F.lit(1)}, by=("label",))
 
 
 @bind("packed_index", _CODED_SQL + """
@@ -70,8 +70,13 @@ def packed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packed matrix for each eight vectors of a label: codes of the pairs' angles, segment types on the diagonal."""
+    """A packed matrix for each eight vectors of a label."""
     n = _numbered(spark, sf_dir).where("seq is not null").select((F.col("label") * 1000000 + F.floor(F.col("seq") / 8)).alias("target_id"), (F.col("seq") % 8).alias("seq"), "omega")
+    return _packed(n)
+
+
+def _packed(n: DataFrame) -> DataFrame:
+    """Packed matrices: codes of the angles between two vectors, segment types on the diagonal."""
     d = pairs.sides(n, ["target_id"], "a_").join(pairs.sides(n, ["target_id"], "b_"), "target_id").where("a_seq <= b_seq")
     angle = F.col("a_omega") - F.col("b_omega")
     turned = angle - F.lit(2 * 3.141592653589793) * F.round(angle / F.lit(2 * 3.141592653589793))
@@ -95,6 +100,39 @@ def tableau_dp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.search(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
 
 
+@bind("qp_search")
+def qp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A local search has no SQL; tests hold it against all matchings of small matrices."""
+    d = packed_codes(spark, sf_dir)
+    found = matching.search_relaxed(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
+    return found.select("query_id", "target_id", "objective")
+
+
+_SCORE = "CASE WHEN {0} = {1} THEN 2 WHEN {0}[1] = {1}[1] OR {0}[2] = {1}[2] THEN 1 ELSE -2 END"
+
+
+@bind("exact_matching", _CODED_SQL.replace("WITH a", "WITH RECURSIVE a") + """,
+n AS (SELECT vec_id // 5 AS block, vec_id % 5 AS seq, omega FROM c),
+d AS (SELECT x.block, x.seq AS i, y.seq AS j, x.omega AS o1, least(x.seq, y.seq) = x.seq AS upper_,
+      CASE WHEN x.seq <= y.seq THEN x.omega - y.omega ELSE y.omega - x.omega END AS angle FROM n x JOIN n y ON x.block = y.block),
+m AS (SELECT block, i, j, o1, angle - 2*pi() * round(angle / (2*pi())) AS omega FROM d),
+b AS (SELECT block, list(CASE WHEN i = j THEN CASE WHEN o1 > 0 THEN 'e ' ELSE 'xa' END ELSE """ + _CODE + """ END ORDER BY i, j) AS codes, count(DISTINCT i) AS n FROM m GROUP BY block),
+r AS (SELECT q.block AS query_id, t.block AS target_id, q.codes AS a, t.codes AS b, q.n AS m, t.n AS n, 0::BIGINT AS k, []::BIGINT[] AS c, -1::BIGINT AS last, 0::BIGINT AS v
+      FROM b q JOIN b t ON q.block % 100 = 0
+  UNION ALL SELECT query_id, target_id, a, b, m, n, k + 1, list_append(c, l), CASE WHEN l < n THEN l ELSE last END, v + CASE WHEN l < n THEN """ + _SCORE.format("a[k * m + k + 1]", "b[l * n + l + 1]")
+      + """ + 2 * coalesce(list_sum(list_transform(range(0, k), lambda i: CASE WHEN c[i + 1] < n THEN """ + _SCORE.format("a[i * m + k + 1]", "b[c[i + 1] * n + l + 1]") + """ ELSE 0 END)), 0) ELSE 0 END
+      FROM r, (SELECT unnest(range(0, 6)) AS l) WHERE k < m AND (l = n OR (l < n AND l > last))),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, target_id ORDER BY v DESC, c) AS place FROM r WHERE k = m)
+SELECT query_id, target_id, -v AS objective, array_to_string(list_filter(list_transform(range(0, m), lambda i: CASE WHEN c[i + 1] < n THEN i || ':' || c[i + 1] END), lambda x: x IS NOT NULL), ',') AS matches FROM f WHERE place = 1""")
+def exact_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five vectors in a row make a matrix; each whose number is divisible by 100 is matched with all."""
+    n = coded(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).alias("target_id"), (F.col("vec_id") % 5).alias("seq"), "omega")
+    d = _packed(n)
+    found = matching.search_exact(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
+    listed = F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["i"], x["j"])), ",")
+    return found.select("query_id", "target_id", F.col("objective").cast("long").alias("objective"), listed.alias("matches"))
+
+
 @bind("nw_align", """
 WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
 ab AS (SELECT user_id, k // 24 AS stretch, coalesce(list(event_type ORDER BY k) FILTER (k % 24 < 12), []) AS a, coalesce(list(event_type ORDER BY k) FILTER (k % 24 >= 12), []) AS b FROM e GROUP BY 1, 2),

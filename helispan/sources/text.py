@@ -283,5 +283,5 @@ def read_ddomain(rows: DataFrame) -> DataFrame:
 
 def read_true_variables(rows: DataFrame) -> DataFrame:
     """``path, variable`` of the true y variables in a solver's answer."""
-    d = rows.where(F.col("line").startswith("v ")).select("path", F.explode(F.split(F.trim(F.substring("line", 3, 1 << 20)), r"\s+")).alias("v"))
+    d = rows.where(F.col("line").startswith("v ")).select("path", F.explode(F.split(F.trim(F.expr("substr(line, 3)")), r"\s+")).alias("v"))
     return d.where(F.col("v").rlike(r"^y\d+$")).select("path", F.substring("v", 2, 20).cast("long").alias("variable"))
