@@ -60,8 +60,8 @@ def test_geometry(spark):
     assert abs(abs(r.d) - math.pi / 2) < 1e-12 and r.none is None and tuple(r.p) == (5, 0, 0)
     # A short line between the closest points has an angle all the same; three points on a line, or one point twice, have none.
     near = [geometry.dihedral(v(1, 0, 0), v(0, 0, 0), v(0, 0, h), v(0, 1, h)).alias(f"n{k}") for k, h in enumerate((1e-4, 1e-9, 0.0))]
-    r = spark.range(1).select(*near, geometry.dihedral(v(0, 0, -1), v(0, 0, 0), v(0, 0, 1), v(0, 1, 1)).alias("line")).first()
-    assert abs(abs(r.n0) - math.pi / 2) < 1e-9 and abs(abs(r.n1) - math.pi / 2) < 1e-6 and r.n2 is None and r.line is None
+    n = spark.range(1).select(*near, geometry.dihedral(v(0, 0, -1), v(0, 0, 0), v(0, 0, 1), v(0, 1, 1)).alias("line")).first()
+    assert abs(abs(n.n0) - math.pi / 2) < 1e-9 and abs(abs(n.n1) - math.pi / 2) < 1e-6 and n.n2 is None and n.line is None
     assert tuple(r.c.pa) == (3, 0, 0) and tuple(r.c.pb) == (3, 0, 2)
 
 
