@@ -40,7 +40,7 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 
 SHARD = 1 << 20
-RANGE_PATHS = 1 << 21
+RANGE_PATHS = 1 << 20
 #: A border is offered for so many paths; of all that are offered about MAX_BORDERS are looked at.
 SAMPLE = 1 << 16
 MAX_BORDERS = 1 << 21
@@ -103,7 +103,7 @@ def numbered(length: np.ndarray, letters: np.ndarray) -> tuple[pa.LargeBinaryArr
     np.cumsum(length, out=offsets[1:])
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
     order = pc.sort_indices(found.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     return found.dictionary.take(pa.array(order)), place[found.indices.to_numpy()]
 
@@ -121,10 +121,12 @@ def merge(blobs: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarr
     """Words, paths and counts of the trie that holds all paths of some packed ones."""
     same, size, length, counts, letters = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
     words, number = numbered(length, letters)
+    del length, letters
     column = np.arange(DEPTH + 1)
-    paths = np.full((len(same), DEPTH + 1), -1, np.int64)
+    paths = np.full((len(same), DEPTH + 1), -1, np.int32)
     paths[(column >= same[:, None]) & (column < size[:, None])] = number
-    row = np.arange(len(same))
+    del number
+    row = np.arange(len(same), dtype=np.int32)
     for c in column:
         paths[:, c] = paths[np.maximum.accumulate(np.where(same <= c, row, 0)), c]
     return (words, *_added(paths, counts.astype(np.int64)))
@@ -165,7 +167,7 @@ class _Shard:
         stop = np.repeat(cuts[1:], np.diff(cuts))
         for a in range(0, n, SHARD):
             place = np.arange(a, min(a + SHARD, n))
-            paths = np.full((len(place), DEPTH + 1), -1, np.int64)
+            paths = np.full((len(place), DEPTH + 1), -1, np.int32)
             paths[:, 0] = language[place]
             for d in range(DEPTH):
                 at = place + d
@@ -220,7 +222,7 @@ def cut(words: pa.LargeBinaryArray, paths: np.ndarray, borders: list[bytes]) ->
     rows = np.full((len(borders), DEPTH + 1), -1, np.int64)
     for row, part in zip(rows, parts, strict=True):
         row[: len(part)] = [code[w] for w in part]
-    own = np.append(number[len(asked) :], -1)[paths]
+    own = np.append(number[len(asked) :], np.int32(-1))[paths]
     key = path_keys(np.concatenate([own, rows]))
     return np.searchsorted(key[: len(paths)], key[len(paths) :])
 
@@ -264,7 +266,9 @@ def frequent_nodes(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of in runs(batches, 0):
-            for depth, language, phrase, total in walk(*merge(of.column(1).to_pylist()), least):
+            blobs = of.column(1).to_pylist()
+            del of
+            for depth, language, phrase, total in walk(*merge(blobs), least):
                 columns = [language.cast(pa.binary()).view(pa.string()), pa.array(np.full(len(total), depth, np.int32)), phrase.cast(pa.binary()).view(pa.string()), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "depth", "phrase", "f"])
 
