@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], weight: str, total:
         return df.join(F.broadcast(table.drop(weight)), keys, "left")
     hot = table.where(F.col(weight) > HOT * total).select(*keys, F.struct(*values).alias("_hot"))
     found = df.join(F.broadcast(hot), keys, "left")
-    alone = F.col("_hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys])
+    alone = reduce(or_, [F.col(k).isNull() for k in keys], F.col("_hot").isNotNull())
     spread = found.withColumn("_salt", F.when(alone, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD))).otherwise(0))
     cold = table.select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_cold"))
     both = spread.join(cold, [*keys, "_salt"], "left")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from helispan.llm.arrow import bound_batches, bundles, runs
 from helispan.llm.links import SCHEMA, Links
+from helispan.llm.lookup import lookup
 from helispan.operators.graph import connected_components
 from helispan.session import finished, materialize
 
@@ -220,31 +221,43 @@ def _links(placed: DataFrame, cosine: float) -> DataFrame:
 
 
 def _classes(keyed: DataFrame, cosine: float) -> DataFrame:
-    """``key, component, n`` of the vectors that have copies or links."""
-    distinct = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    distinct = materialize(distinct.withColumn("width", (F.octet_length("key") / 8).cast("int")), "distinct")
+    """``key, component_id, n`` of the vectors that have copies or links; component_id is the least id in the component, null if it has none.
+
+    Vectors are told apart by numbers of their own, not by ids, which may be null or repeated.
+    """
+    distinct = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    numbered = distinct.withColumn("width", (F.octet_length("key") / 8).cast("int")).withColumn("vec_id", F.monotonically_increasing_id())
+    distinct = materialize(numbered, "distinct")
     pivots = _pivots(distinct)
     homes = materialize(_homes(distinct, pivots), "homes")
     placed = materialize(_placed(homes, pivots, _bounds(homes, pivots), cosine), "placed")
     links = materialize(_links(placed, cosine), "links")
-    joined = connected_components(links).select(F.col("node").alias("vid"), "component")
-    counts = links.groupBy(F.col("src").alias("vid")).agg(F.sum("links").alias("links"))
-    known = distinct.withColumnRenamed("vec_id", "vid").join(joined, "vid", "left").join(counts, "vid", "left").where("copies > 1 or component is not null")
-    return known.select("key", F.coalesce("component", "vid").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    joined = connected_components(links).select(F.col("node").alias("vec_id"), "component")
+    counts = links.groupBy(F.col("src").alias("vec_id")).agg(F.sum("links").alias("links"))
+    known = distinct.join(joined, "vec_id", "left").join(counts, "vec_id", "left").where("copies > 1 or component is not null")
+    known = materialize(known.select("key", "least", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n")), "known")
+    tops = materialize(known.where("component is not null").groupBy("component").agg(F.min("least").alias("top"), F.count("*").alias("rows")), "tops")
+    found = lookup(known, tops, ["component"], "rows", known.count())
+    return found.select("key", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("top")).alias("component_id"), "n")
 
 
 def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
-    vectors link only with those of as many dimensions. Copies link with each other. A repeated row
-    counts as another vector, but needs an id of its own to be told apart; other columns are ignored.
+    vectors link only with those of as many dimensions. Copies link with each other. Each row is a vector, whatever
+    its id: rows without an id link and connect others, but their component is named by the least id in it, null if
+    there is none, and they are not kept; rows with one id have links of their own. Other columns are ignored.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    keyed = materialize(_valid(vectors), "vectors")
-    known = finished(spark, lambda: _classes(keyed, cosine), "known")
-    # Copies share a key; beyond the bound, the join is one whose hot partitions Spark splits.
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    out = keyed.join(known, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+    def build() -> DataFrame:
+        keyed = materialize(_valid(vectors), "vectors")
+        known = finished(spark, lambda: _classes(keyed, cosine), "known")
+        # Copies share a key; beyond the bound, the join is one whose hot partitions Spark splits.
+        known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+        out = keyed.join(known, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+    return finished(spark, build, "joined")
