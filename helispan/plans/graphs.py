@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helispan.operators import community, domains, pairs
+from helispan.operators import clusters, community, domains, pairs
 from helispan.operators.graph import connected_components
 from helispan.plans.bindings import bind, table
 from helispan.session import materialize
@@ -135,6 +135,44 @@ def ratio_cut_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.ratio_cut_domains(chain(spark, sf_dir), edges(spark, sf_dir).select("structure", "src", "dst"), ["structure"])
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structures(spark, sf_dir).select("structure", F.col("vec_id").alias("node"))
+
+
+@bind("greedy_communities", _PAIRS_SQL + """, g AS (SELECT structure, list({'a': src % 16, 'b': dst % 16}) AS e, count(*) AS m FROM edges GROUP BY 1),
+s AS (SELECT DISTINCT v.structure, coalesce(g.e, []) AS e, coalesce(m, 0) AS m FROM v LEFT JOIN g ON g.structure = v.structure),
+k AS (SELECT *, list_transform(range(0, 16), lambda n: len(list_filter(e, lambda x: x.a = n OR x.b = n))) AS deg FROM s),
+r AS (SELECT structure, e, m, deg, range(0, 16) AS lab, 0 AS step FROM k
+  UNION ALL SELECT structure, e, m, deg, list_transform(lab, lambda x: CASE WHEN x = best.b THEN best.a ELSE x END), step + 1 FROM (
+    SELECT *, list_sort(list_transform(p, lambda q: {'w': -(2 * m * len(list_filter(e, lambda x: least(lab[x.a + 1], lab[x.b + 1]) = q.a AND greatest(lab[x.a + 1], lab[x.b + 1]) = q.b))
+      - list_sum(list_transform(range(0, 16), lambda n: CASE WHEN lab[n + 1] = q.a THEN deg[n + 1] ELSE 0 END)) * list_sum(list_transform(range(0, 16), lambda n: CASE WHEN lab[n + 1] = q.b THEN deg[n + 1] ELSE 0 END))), 'a': q.a, 'b': q.b}))[1] AS best
+    FROM (SELECT *, list_distinct(list_filter(list_transform(e, lambda x: {'a': least(lab[x.a + 1], lab[x.b + 1]), 'b': greatest(lab[x.a + 1], lab[x.b + 1])}), lambda q: q.a <> q.b)) AS p FROM r)) WHERE best.w < 0),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY structure ORDER BY step DESC) = 1)
+SELECT v.structure, vec_id AS node, dense_rank() OVER (PARTITION BY v.structure ORDER BY lab[vec_id % 16 + 1]) - 1 AS domain FROM f JOIN v ON v.structure = f.structure""")
+def greedy_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.greedy_communities(nodes(spark, sf_dir), edges(spark, sf_dir), ["structure"])
+
+
+_SCALED = "list_transform(range(0, 256), lambda c: CASE WHEN {0}[c + 1] = 0 THEN 0 ELSE {0}[c + 1] / list_sum(list_transform(range(0, 16), lambda k: {0}[k * 16 + c % 16 + 1])) END)"
+
+
+@bind("markov_clusters", _PAIRS_SQL + """, g AS (SELECT structure, list((src % 16) * 16 + dst % 16) || list((dst % 16) * 16 + src % 16) AS e FROM edges GROUP BY 1),
+s AS (SELECT DISTINCT v.structure, coalesce(g.e, []) AS e FROM v LEFT JOIN g ON g.structure = v.structure),
+a AS (SELECT structure, list_transform(range(0, 256), lambda c: CASE WHEN c // 16 = c % 16 OR list_contains(e, c) THEN 1.0::DOUBLE ELSE 0 END) AS w FROM s),
+r AS (SELECT structure, list_transform(""" + _SCALED.format("w") + """, lambda x: round(x, 12)) AS m, true AS moving, 0 AS step FROM a
+  UNION ALL SELECT structure, n, list_max(list_transform(range(1, 257), lambda c: CASE WHEN n[c] > 0 THEN abs(n[c] - m[c]) ELSE 0 END)) > 1e-9, step + 1 FROM (
+    SELECT structure, m, step, list_transform(""" + _SCALED.format("u") + """, lambda x: round(x, 12)) AS n FROM (
+      SELECT structure, m, step, list_transform(t, lambda x: CASE WHEN x < 1e-5 THEN 0 ELSE x END) AS u FROM (
+        SELECT structure, m, step, """ + _SCALED.format("q") + """ AS t FROM (
+          SELECT structure, m, step, list_transform(range(0, 256), lambda c: list_sum(list_transform(range(0, 16), lambda k: m[(c // 16) * 16 + k + 1] * m[k * 16 + c % 16 + 1])) ** 2) AS q FROM r WHERE moving))))),
+f AS (SELECT structure, m FROM r QUALIFY row_number() OVER (PARTITION BY structure ORDER BY step DESC) = 1),
+l AS (SELECT structure, m, range(0, 16) AS lab, 0 AS step FROM f
+  UNION ALL SELECT structure, m, list_transform(range(0, 16), lambda i: list_min(list_transform(range(0, 16), lambda j: CASE WHEN i = j OR m[i * 16 + j + 1] > 0 OR m[j * 16 + i + 1] > 0 THEN lab[j + 1] ELSE 16 END))), step + 1 FROM l WHERE step < 15)
+SELECT v.structure, vec_id AS node, dense_rank() OVER (PARTITION BY v.structure ORDER BY lab[vec_id % 16 + 1]) - 1 AS domain FROM l JOIN v ON v.structure = l.structure WHERE step = 15""")
+def markov_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.markov_clusters(nodes(spark, sf_dir), edges(spark, sf_dir), ["structure"])
+
+
 @bind("domain_overlap_counts", """
 SELECT o_orderstatus, floor(o_orderkey / 7000)::BIGINT AS found, floor(o_custkey / 400)::BIGINT AS reference, count(*) AS shared FROM orders GROUP BY 1, 2, 3""")
 def domain_overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
