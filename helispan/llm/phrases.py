@@ -2,9 +2,9 @@
 
 Every place of a word gives a path: the language, then the word and up to three words after it within
 its piece. A shard is about SHARD words; its trie is the sorted distinct paths with counts, and
-the count of an inner node is that of the paths below it. Tries are written front-coded: a path holds
-only the words by which it differs from the path before. From paths at even distances in all tries,
-borders of prefix ranges of about RANGE_PATHS paths are taken; each trie is cut at them, and a task merges
+the count of an inner node is that of the paths below it. Tries are cut at the borders of prefix ranges and
+sent front-coded: a path holds only the words by which it differs from the path before. The borders, which only decide
+how even ranges of about RANGE_WORDS places are, come from a bounded sample of the documents. A task merges
 the sorted pieces of a range. It walks the merged trie and emits the nodes that are frequent, and those on
 the paths at the edges of the range, which may go on in the next; their counts are added up after.
 
@@ -39,11 +39,15 @@ TOP = 2000
 SCALE = 2_000_000
 UNKNOWN = "und"
 
-SHARD = 1 << 20
-RANGE_PATHS = 1 << 20
-#: A border is offered for so many paths; of all that are offered about MAX_BORDERS are looked at.
-SAMPLE = 1 << 16
-MAX_BORDERS = 1 << 21
+SHARD = 1 << 19
+RANGE_WORDS = 1 << 19
+#: Tasks that the ranges are dealt to at most.
+MERGE_TASKS = 10_000
+#: Documents whose paths offer borders: one of so many, but within these bounds, and one path of so many of a trie.
+SAMPLE_PART, SAMPLE_LEAST, SAMPLE_MOST = 500, 20_000, 2_000_000
+STRIDE = 256
+#: Pieces in a batch.
+PIECES = 64
 #: Bytes of a word that a border keeps; borders need not be words.
 BORDER_BYTES = 32
 #: Parts in which a language's phrases are ranked before the best of all parts are.
@@ -175,51 +179,42 @@ class _Shard:
             yield (words, *_added(paths, np.ones(len(place), np.int64)))
 
 
-def _tries(docs: DataFrame) -> DataFrame:
-    """``paths, blob, offered``: the tries of all shards, and paths at even distances in each."""
-    bound_batches(docs.sparkSession)
+def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]]:
+    """The tries of all shards of a task's rows of text and language."""
+    shard = _Shard()
+    for batch in batches:
+        languages = batch.column(1).to_pylist()
+        for at, off, raw in slices(batch.column(0)):
+            shard.add(off, raw, languages[at : at + len(off) - 1])
+            if shard.size >= SHARD:
+                yield from shard.tries()
+    if shard.size:
+        yield from shard.tries()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            for words, paths, counts in shard.tries():
-                offered = [b" ".join(words[i].as_py()[:BORDER_BYTES] for i in p if i >= 0) for p in paths[SAMPLE // 2 :: SAMPLE].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([len(paths)], pa.int64()), pa.array([pack(words, paths, counts)], pa.binary()), pa.array([offered], pa.list_(pa.binary()))], names=["paths", "blob", "offered"])
-
-        for batch in batches:
-            languages = batch.column(1).to_pylist()
-            for at, off, raw in slices(batch.column(0)):
-                shard.add(off, raw, languages[at : at + len(off) - 1])
-                if shard.size >= SHARD:
-                    yield from closed()
-        if shard.size:
-            yield from closed()
 
-    own = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    return own.mapInArrow(rows, "paths long, blob binary, offered array<binary>")
+def _borders(docs: DataFrame) -> list[tuple[bytes, ...]]:
+    """Words of the borders between prefix ranges, at most some millions of short texts, whatever the input."""
+    n = docs.count()
+    share = min(1.0, max(SAMPLE_LEAST, min(SAMPLE_MOST, n // SAMPLE_PART)) / max(n, 1))
 
+    def offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, paths, counts in _sharded(batches):
+            offered = [b" ".join(words[i].as_py()[:BORDER_BYTES] for i in p if i >= 0) for p in paths[min(STRIDE, len(paths)) // 2 :: STRIDE].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())], pa.int64()), pa.array([offered], pa.list_(pa.binary()))], names=["words", "offered"])
 
-def _borders(tries: DataFrame) -> list[bytes]:
-    """Borders of the prefix ranges, at most MAX_BORDERS short texts, whatever the input."""
-    offered = tries.select(F.explode("offered").alias("border"))
-    paths, n = tries.agg(F.sum("paths"), F.sum(F.size("offered"))).first()
-    ranges = -(-(paths or 0) // RANGE_PATHS)
-    if ranges < 2:
-        return []
-    some = offered.sample(min(1.0, MAX_BORDERS / 2 / n), seed=1) if n > MAX_BORDERS // 2 else offered
-    found = sorted({tuple(bytes(r["border"]).split(b" ")) for r in some.collect()})
-    return [b" ".join(found[len(found) * k // ranges]) for k in range(1, min(ranges, len(found)))]
+    some = (docs.sample(share, seed=1) if share < 1 else docs).mapInArrow(offers, "words long, offered array<binary>").collect()
+    ranges = int(-(-sum(r["words"] for r in some) / share // RANGE_WORDS))
+    found = sorted({tuple(bytes(b).split(b" ")[: DEPTH + 1]) for r in some for b in r["offered"]})
+    return [found[len(found) * k // ranges] for k in range(1, ranges)] if len(found) > ranges else found
 
 
-def cut(words: pa.LargeBinaryArray, paths: np.ndarray, borders: list[bytes]) -> np.ndarray:
-    """How many of the sorted paths come before each of the borders."""
-    parts = [b.split(b" ")[: DEPTH + 1] for b in borders]
+def cut(words: pa.LargeBinaryArray, paths: np.ndarray, parts: list[tuple[bytes, ...]]) -> np.ndarray:
+    """How many of the sorted paths come before each of some borders, given by their words."""
     asked = sorted({w for p in parts for w in p})
     # Numbers twice as large leave room for words that the trie lacks.
     both, number = numbered(np.array([len(w) for w in [*asked, *words.to_pylist()]]), np.frombuffer(b"".join([*asked, *words.to_pylist()]), np.uint8))
     code = dict(zip(asked, number[: len(asked)].tolist(), strict=True))
-    rows = np.full((len(borders), DEPTH + 1), -1, np.int64)
+    rows = np.full((len(parts), DEPTH + 1), -1, np.int64)
     for row, part in zip(rows, parts, strict=True):
         row[: len(part)] = [code[w] for w in part]
     own = np.append(number[len(asked) :], np.int32(-1))[paths]
@@ -227,19 +222,20 @@ def cut(words: pa.LargeBinaryArray, paths: np.ndarray, borders: list[bytes]) ->
     return np.searchsorted(key[: len(paths)], key[len(paths) :])
 
 
-def _pieces(tries: DataFrame, borders: list[bytes]) -> DataFrame:
+def _pieces(docs: DataFrame, borders: list[tuple[bytes, ...]]) -> DataFrame:
     """``range, blob``: the pieces of all tries between the borders."""
-    shared = tries.sparkSession.sparkContext.broadcast(borders)
+    shared = docs.sparkSession.sparkContext.broadcast(borders)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                words, paths, counts = merge([blob.as_py()])
-                ends = [0, *cut(words, paths, shared.value).tolist(), len(paths)] if shared.value else [0, len(paths)]
-                some = [(k, pack(words, paths[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["range", "blob"])
+        for words, paths, counts in _sharded(batches):
+            ends = [0, *(cut(words, paths, shared.value).tolist() if shared.value else []), len(paths)]
+            some = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+            for at in range(0, len(some), PIECES):
+                own = some[at : at + PIECES]
+                packed = [pack(words, paths[a:b], counts[a:b]) for _, a, b in own]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in own], pa.int32()), pa.array(packed, pa.binary())], names=["range", "blob"])
 
-    return tries.select("blob").mapInArrow(rows, "range int, blob binary")
+    return docs.mapInArrow(rows, "range int, blob binary")
 
 
 def walk(words: pa.LargeBinaryArray, paths: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
@@ -261,8 +257,10 @@ def walk(words: pa.LargeBinaryArray, paths: np.ndarray, counts: np.ndarray, leas
 
 def frequent_nodes(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """``lang, depth, phrase, f``: phrases of 1 to 4 words that occur ``least`` times or more, and each language's words at depth 0."""
-    tries = materialize(_tries(docs), "tries")
-    pieces = _pieces(tries, _borders(tries)).repartition("range").sortWithinPartitions("range")
+    bound_batches(docs.sparkSession)
+    own = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
+    borders = _borders(own)
+    pieces = _pieces(own, borders).repartition(min(len(borders) + 1, MERGE_TASKS), "range").sortWithinPartitions("range")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of in runs(batches, 0):

@@ -71,7 +71,7 @@ def rows():
 @pytest.mark.parametrize(("least", "top", "small"), [(30, 2000, False), (3, 2000, True), (5, 7, True)])
 def test_brute(spark, rows, monkeypatch, least, top, small):
     if small:
-        for name, value in (("SHARD", 500), ("RANGE_PATHS", 300), ("SAMPLE", 40), ("RANK_PARTS", 3)):
+        for name, value in (("SHARD", 500), ("RANGE_WORDS", 300), ("STRIDE", 7), ("SAMPLE_LEAST", 50), ("PIECES", 3), ("RANK_PARTS", 3)):
             monkeypatch.setattr(phrases, name, value)
         monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
     wanted = _plain(rows, least, top)
@@ -119,7 +119,7 @@ def test_tries():
     assert _listed(*merged) == total and list(_listed(*merged)) == sorted(total)
     borders = [b"a", b"a b", b"a b zz", b"aa", b"bb \xff a b a", b"zzz", b"\xff\xff"]
     before = [sum(p < tuple(b.split(b" ")) for p in total) for b in borders]
-    assert phrases.cut(merged[0], merged[1], borders).tolist() == before
+    assert phrases.cut(merged[0], merged[1], [tuple(b.split(b" ")) for b in borders]).tolist() == before
 
 
 def test_keys_of_wide_columns():
