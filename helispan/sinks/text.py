@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +90,44 @@ def svg_documents(shapes: DataFrame, by: list[str], order: str) -> DataFrame:
     return d.groupBy(*by).agg(F.concat(box, body, F.lit("\n</svg>")).alias("text"))
 
 
+def svg_drawing(shapes: DataFrame, clusters: DataFrame, connectors: DataFrame, constraints: DataFrame, by: list[str]) -> DataFrame:
+    """``by, text``: an SVG document of a whole drawing, its elements numbered through, whose references are those numbers.
+
+    ``shapes`` has id, kind, x, y (centre), width, height, fill and label; ``clusters`` cluster, id (of members) and fill; ``connectors``
+    src, dst, x1, y1, x2, y2, src_port, dst_port and colour; ``constraints`` guide, axis and id (of the shapes aligned). Elements come in this order,
+    each kind by its own names. A member or end that is no shape of the drawing is left out, as is what then refers to nothing.
+    """
+    number = Window.partitionBy(*by).orderBy("id")
+    n_shapes = Window.partitionBy(*by)
+    s = shapes.withColumn("_n", F.row_number().over(number)).withColumn("_all", F.count("*").over(n_shapes))
+    numbers = s.select(*by, "id", "_n")
+
+    def members(rows: DataFrame, name: list[str]) -> DataFrame:
+        listed = F.array_join(F.transform(F.sort_array(F.collect_set("_n")), lambda x: x.cast("string")), " ")
+        return rows.join(numbers, [*by, "id"]).groupBy(*by, *name).agg(listed.alias("_m"))
+
+    ends = [numbers.select(*by, F.col("id").alias(e), F.col("_n").alias(f"_{e}")) for e in ("src", "dst")]
+    joined = connectors.join(ends[0], [*by, "src"]).join(ends[1], [*by, "dst"])
+    box = [F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2]
+    rect = F.format_string('<rect id="%d" class="%s" x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="#%s"><title>%s</title></rect>', "_n", "kind", *box, "width", "height", "fill", escaped(F.coalesce("label", F.lit(""))))
+    parts = [
+        s.select(*by, F.lit(0).alias("_k"), F.struct(F.col("_n").cast("string").alias("a"), F.lit("").alias("b")).alias("_o"), F.col("_n").alias("_first"), rect.alias("_text")),
+        members(clusters, ["cluster", "fill"]).select(*by, F.lit(1), F.struct(F.col("cluster").cast("string"), F.lit("")), F.lit(None), F.format_string('<g id="%%d" class="cluster" data-members="%s" fill="#%s"><title>%s</title></g>', "_m", "fill", F.replace(escaped(F.col("cluster").cast("string")), F.lit("%"), F.lit("%%")))),
+        joined.select(*by, F.lit(2), F.struct(F.lpad(F.col("_src").cast("string"), 12, "0"), F.lpad(F.col("_dst").cast("string"), 12, "0")), F.lit(None), F.format_string('<path id="%%d" class="connector" d="M %.2f %.2f L %.2f %.2f" data-src="%d" data-src-port="%s" data-dst="%d" data-dst-port="%s" stroke="#%s"/>', "x1", "y1", "x2", "y2", "_src", "src_port", "_dst", "dst_port", "colour")),
+        members(constraints, ["guide", "axis"]).select(*by, F.lit(3), F.struct(F.lpad(F.col("guide").cast("string"), 12, "0"), F.col("axis")), F.lit(None), F.format_string('<constraint id="%%d" type="alignment" axis="%s" members="%s"/>', "axis", "_m")),
+    ]
+    rows = reduce(DataFrame.union, parts)
+    # Shapes keep the numbers that the others refer to; all others follow.
+    order = Window.partitionBy(*by).orderBy("_k", F.col("_first").asc_nulls_last(), "_o", "_text")
+    rows = rows.withColumn("_id", F.row_number().over(order))
+    text = F.when(F.col("_k") == 0, F.col("_text")).otherwise(F.expr("format_string(_text, _id)"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_id", text.alias("t")))), lambda x: x["t"]), "\n")
+    bodies = rows.groupBy(*by).agg(body.alias("_body"))
+    left, top, right, bottom = F.min(box[0]), F.min(box[1]), F.max(F.col("x") + F.col("width") / 2), F.max(F.col("y") + F.col("height") / 2)
+    view = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="%.2f %.2f %.2f %.2f">\n', left, top, right - left, bottom - top)
+    return shapes.groupBy(*by).agg(view.alias("_view")).join(bodies, by).select(*by, F.concat("_view", "_body", F.lit("\n</svg>")).alias("text"))
+
+
 def problem_lines(terms: DataFrame, key: str = "matrix") -> DataFrame:
     """The objective of a 0-1 problem for each key, terms in order of their variables."""
     term = F.format_string("%+d x%d", F.col("coefficient").cast("long"), F.col("variable").cast("long"))
