@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,6 +41,8 @@ _ASIDE = set(
     header footer copyright legal comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations trending newsletter subscribe signup login
     search tags complementary contentinfo toc""".split()
 )
+#: those of them whose parts hold links and fields, so that a text of full sentences speaks against them,
+_CONTROLS = set("menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar share sharing signup login search tags toc".split())
 #: words that go with them and name a part of any kind,
 _PARTS = set(
     """area bar block body bottom box btn button buttons card cards center col column container content end feed fixed form global group head inner inline item items large left line link links list
@@ -62,12 +65,15 @@ CLEAR = 4.0
 PRIOR, STEPS, SAMPLE = 20.0, 8, 500
 #: Capacity between neighbours, and more of it for each share of common ancestors; between blocks of one parent.
 SMOOTH, NEAR, SIBLINGS = 0.4, 0.8, 0.4
+#: Characters and sentence ends of a block of prose at least, and its share of links at most.
+PROSE = (100, 2, 0.2)
+_SENTENCE = re.compile(r"[.!?…][\"'”»)]*(?=\s|$)")
 APART_TAGS = set("nav aside footer form menu dialog".split())
 _LISTS = {"ul", "ol", "dl", "table", "select", "menu"}
 
 
 def _name_flags(names: str) -> tuple[int, int, int]:
-    """Whether a part's names call it aside, hold such a word among others, and call it the main part.
+    """Whether a part's names call it aside (1 if by controls only, else 2), hold such a word among others, and call it the main part.
 
     A name is aside if besides such a word it has only words for parts of any kind.
     """
@@ -76,13 +82,17 @@ def _name_flags(names: str) -> tuple[int, int, int]:
         words = [w.lower() for w in _WORD.findall(name)]
         found = [i for i, w in enumerate(words) if w in _ASIDE and not (i and words[i - 1] in _WITHOUT)]
         if found and all(w in _ASIDE or w in _PARTS for w in words):
-            aside = 1
+            aside = max(aside, 1 if all(words[i] in _CONTROLS for i in found) else 2)
         elif found:
             word = 1
         main |= any(w in _MAIN for w in words) and not found
     return aside, word, int(main)
 
 
+#: Ends of comments, and of marked sections, of any kind.
+_COMMENT_END, _SECTION_END = re.compile(r"-->|--\s*>|--!>"), re.compile(r"\]\s*>")
+
+
 class _Element:
     """An open or closed element that is a block or has a flag: what its blocks need to know of its ancestors."""
 
@@ -94,7 +104,8 @@ class _Element:
         aside, word, main, hidden = flags
         own = tag in APART_TAGS or (tag == "header" and not inside)
         heading = tag in ("header", "hgroup") and inside
-        self.apart, self.aside, self.word = (((getattr(above, k) if above else 0) or v) for k, v in (("apart", own), ("aside", aside and not heading), ("word", word and not heading)))
+        self.apart, self.word = (((getattr(above, k) if above else 0) or v) for k, v in (("apart", own), ("word", word and not heading)))
+        self.aside = max(above.aside if above else 0, 0 if heading else aside)
         self.hidden = hidden or (above.hidden if above else 0)
         self.inside = inside or tag in ("article", "main")
         self.main = (main and not self.inside) or (above.main if above else 0)
@@ -113,6 +124,30 @@ class _Blocks(HTMLParser):
         self.bounds: list[int] = []
         self.unseen = self.links = 0
         self.fresh = True
+        #: The text whose last matches are held, and these.
+        self.looked: str | None = None
+        self.last: dict[re.Pattern, int] = {}
+
+    def _ends(self, pattern: re.Pattern) -> int:
+        """Where the last match of a pattern in the text to parse begins, looked for once."""
+        if self.looked is not self.rawdata:
+            self.looked, self.last = self.rawdata, {}
+        if pattern not in self.last:
+            self.last[pattern] = max((m.start() for m in pattern.finditer(self.rawdata)), default=-1)
+        return self.last[pattern]
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        # Without an end beyond, each unclosed comment would be searched to the end of the page.
+        return super().parse_comment(i, report) if self._ends(_COMMENT_END) > i else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        if self._ends(_SECTION_END) <= i:
+            return -1
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            # A section of no known kind ends at the next bracket, as a comment that is none.
+            return self.rawdata.find(">", i) + 1 or -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SPACES:
@@ -186,8 +221,12 @@ _PAGE = _Element(None, "", (0, 0, 0, 0))
 def blocks_of(html: str) -> list[tuple[str, int, _Element]]:
     """Text, characters in links and element of each block that has text."""
     parser = _Blocks()
-    parser.feed(html)
+    # Beyond the last bracket nothing is a tag: what begins there would be searched to the end of the page each time.
+    end = html.rfind(">") + 1
+    parser.feed(html[:end])
     parser.close()
+    if not parser.cdata_elem:
+        parser.handle_data(unescape(html[end:]))
     out = []
     for texts, linked, element in parser.blocks:
         text = " ".join("".join(texts).split())
@@ -212,12 +251,13 @@ def text_features(block: tuple[str, int, _Element]) -> tuple[float, ...]:
     )
 
 
-def mark(element: _Element, has_article: bool) -> float:
-    """Log-odds of content by an element's marks."""
+def mark(element: _Element, has_article: bool, is_prose: bool = False) -> float:
+    """Log-odds of content by an element's marks; where prose stands, names of controls only count as a word among others."""
     m = MARKS
     s = m["article"] if element.inside else m["outside"] * has_article
     s += m["main_name"] * element.main + m["apart"] * element.apart + m["hidden"] * bool(element.hidden)
-    return s + (m["aside"] if element.aside else m["aside_word"] * element.word)
+    named = element.aside == 2 or (element.aside and not is_prose)
+    return s + (m["aside"] if named else m["aside_word"] * bool(element.word or element.aside))
 
 
 def marked_blocks(html: str | None) -> Counter:
@@ -255,7 +295,13 @@ def fit_text(found: list[tuple[int, tuple[float, ...], int]]) -> tuple[float, ..
 def content_cost(block: tuple[str, int, _Element], has_article: bool, weights: tuple[float, ...]) -> float:
     """How much better it is to call a block content than boilerplate, in log-odds."""
     said = sum(a * b for a, b in zip(weights, text_features(block), strict=True))
-    return max(-CLEAR, min(CLEAR, said)) + mark(block[2], has_article)
+    return max(-CLEAR, min(CLEAR, said)) + mark(block[2], has_article, prose(block))
+
+
+def prose(block: tuple[str, int, _Element]) -> bool:
+    """Whether a block is a text of some full sentences with few links."""
+    text, linked, _ = block
+    return len(text) >= PROSE[0] and len(_SENTENCE.findall(text)) >= PROSE[1] and linked < PROSE[2] * len(text)
 
 
 def edges_of(elements: list[_Element]) -> list[tuple[int, int, float]]:
@@ -361,7 +407,7 @@ def train(pages: DataFrame) -> tuple[float, ...]:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in found], pa.list_(pa.float64())), pa.array(list(found.values()), pa.int64())], names=["kind", "n"])
 
     share = max(1, pages.count() // SAMPLE)
-    taken = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(share)) == 0).select("html")
+    taken = pages.where(F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(share)) == 0).select("html")
     # Features are flags and shares in steps, so kinds of blocks are few, whatever the input.
     kinds = taken.mapInArrow(rows, "kind array<double>, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
     return fit_text(sorted((int(r["kind"][0]), tuple(r["kind"][1:]), r["n"]) for r in kinds))

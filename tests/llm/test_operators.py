@@ -6,6 +6,7 @@ import random
 import time
 import tracemalloc
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -532,9 +533,41 @@ def test_html_labelling_is_of_least_cost():
     assert changed > 10
 
 
+def test_html_malformed_pages():
+    """Blocks are those of the plain parser, whatever is unclosed; sections of no known kind do not stop it."""
+
+    def plain(page):
+        parser = html._Blocks()
+        parser.parse_comment = lambda i, report=True: HTMLParser.parse_comment(parser, i, report)
+        parser.parse_marked_section = lambda i, report=True: HTMLParser.parse_marked_section(parser, i, report)
+        parser.feed(page)
+        parser.close()
+        texts = [" ".join("".join(t).split()) for t, _, _ in parser.blocks]
+        return [t for t in texts if t]
+
+    rng = random.Random(12)
+    parts = ["<p>", "</p>", "<p a=", "<p a='x", '<b c="', "<!--", "-->", "-- >", "<!", "<!doctype html>", "<![CDATA[", "]]>", "<![if x]>", "<?php", ">", "</", "</div", "<div>", "word ", " & &amp; &lt", "<", "a < b", "<br/>", "<script>", "</script>", "<i class=x>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert [b[0] for b in html.blocks_of(page)] == plain(page), page
+    assert html.blocks_of("<p>a<![odd[ x ]]>b</p>")
+
+
+def test_html_names_of_controls():
+    """A text of full sentences is not dropped for the name of a search box; links and one-liners in it are."""
+    text = "The search for the lost ship went on for years. No one found it, and then the maps were burnt. It lies there still."
+    assert text in html.main_text(f'<div class="search"><p>{text}</p></div>')
+    assert html.main_text(f'<div class="comments"><p>{text}</p></div>') == ""
+    assert html.main_text('<div class="search"><p>Find pages</p></div><p>' + text + "</p>") == text
+
+
 def test_html_long_pages():
-    """Unclosed elements by the hundred thousand, deep and flat, end within seconds."""
+    """Unclosed elements, comments, sections and attributes by the hundred thousand, deep and flat, end within seconds."""
     began = time.perf_counter()
+    for part in ("<!--", "<p a=", "<![CDATA[", "<?", "<!", "</", "<p a='", "<b ", "<!-- >", "<![if ", "<a b=\"'", "&#", "<script></"):
+        page_began = time.perf_counter()
+        html.main_text(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - page_began < 10, part
     for page in ("<div>a " * 100_000, "<b><p>x" * 50_000, "<li>" + "<div>" * 50_000 + "<li></li>" * 50_000, "<span>" * 50_000 + "</i>" * 50_000, "<ul><li>" + "<div><li></li>y" * 50_000):
         html.main_text(page)
     assert time.perf_counter() - began < 60
