@@ -6,8 +6,9 @@ A drawing is a structure's boxes: rows ``by, id, x, y, width, height`` with the
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,27 +102,40 @@ def overlap_counts(placed: DataFrame, lines: DataFrame, by: list[str]) -> DataFr
     return every.withColumn("overlaps", F.col("boxes") + F.col("crossings") + F.col("covered"))
 
 
+def _by_drawing(rows: DataFrame, by: list[str], make: Callable[[list[dict]], list[dict]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """``by`` and the fields of the rows that ``make`` returns for the rows of each drawing; drawings go to Python many at once."""
+    listed = rows.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in by])).alias("_rows"))
+    kind = pa.list_(pa.struct([(name, t) for name, _, t in fields]))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.array([make(own) for own in batch.column(len(by)).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], out], names=[*by, "_made"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    inner = ", ".join(f"{name}: {t}" for name, t, _ in fields)
+    return listed.mapInArrow(made, ", ".join([*kinds, f"_made array<struct<{inner}>>"])).select(*by, F.inline("_made"))
+
+
 def crossing_colours(lines: DataFrame, crossings: DataFrame, by: list[str], colours: list[str] = LINE_COLOURS) -> DataFrame:
     """``by, id, rank, colour``: each line the first colour that no crossing line of a lesser id has.
 
-    Ranks tell crossing lines apart always; colours do as long as there are as many as ranks. Lines of one drawing are taken by one task.
+    Ranks tell crossing lines apart always; colours do as long as there are as many as ranks. Lines of one drawing are taken together.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*by).schema)
-
-    def paint(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    def paint(own: list[dict]) -> list[dict]:
         before: dict[int, list[int]] = {}
-        pairs = own[own.a.notna()]
-        for a, b in zip(pairs.a.astype(int).tolist(), pairs.id.tolist(), strict=True):
-            before.setdefault(b, []).append(a)
+        for r in own:
+            if r["a"] is not None:
+                before.setdefault(r["id"], []).append(r["a"])
         rank: dict[int, int] = {}
-        for i in sorted(own[own.a.isna()].id.tolist()):
+        for i in sorted(r["id"] for r in own if r["a"] is None):
             used = {rank[a] for a in before.get(i, [])}
             rank[i] = next(k for k in range(len(used) + 1) if k not in used)
-        return pd.DataFrame([(*key, i, k, colours[k % len(colours)]) for i, k in rank.items()], columns=[*by, "id", "rank", "colour"])
+        return [{"id": i, "rank": k, "colour": colours[k % len(colours)]} for i, k in rank.items()]
 
     rows = lines.select(*by, F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("a"))
     rows = rows.unionByName(crossings.select(*by, F.col("b").cast("long").alias("id"), F.col("a").cast("long").alias("a")))
-    return rows.groupBy(*by).applyInPandas(paint, f"{fields}, id long, rank long, colour string")
+    return _by_drawing(rows, by, paint, [("id", "long", pa.int64()), ("rank", "long", pa.int64()), ("colour", "string", pa.string())])
 
 
 def line_colour(scheme: str, chain: Column, inter_domain: Column, colours: list[str] | None = None) -> Column:
@@ -234,22 +248,18 @@ class _Room:
 def place_boxes(elements: DataFrame, pairs: DataFrame, by: list[str], gap: float = layout.GAP) -> DataFrame:
     """``by, id, step, reference, position, x, y``: centres of boxes, no two nearer than a gap.
 
-    ``elements`` has id, kind, width and height; ``pairs`` has, in both directions, ref, test, dist and position. The largest sheet
+    ``elements`` has id, kind, width and height; ``pairs`` has, in both directions, ref, test, dist and position, rows with nulls are ignored. The largest sheet
     is the seed at 0, 0, or the largest box; then comes the element nearest to any placed one, off a heap, beside it. Where
     another box is in the way, the same is tried beside that one, once, then the free sides of the reference; at last the
     element goes on in its direction until there is room. Of equals the least id comes first. Elements that no pair connects with
     placed ones follow to the right of all.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in elements.select(*by).schema)
-
-    def place(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        near, own = both[both.ref.notna()], both[both.ref.isna()]
-        near = near.assign(ref=near.ref.astype("int64"))
-        own = own.assign(rest=own.kind != "sheet", size=own.width * own.height).sort_values(["rest", "size", "id"], ascending=[True, False, True])
-        size = {i: (w, h) for i, w, h in zip(own.id.tolist(), own.width.tolist(), own.height.tolist(), strict=True)}
+    def place(both: list[dict]) -> list[dict]:
+        own = sorted((r for r in both if r["ref"] is None), key=lambda r: (r["kind"] != "sheet", -r["width"] * r["height"], r["id"]))
+        size = {r["id"]: (r["width"], r["height"]) for r in own}
         towards: dict[tuple[int, int], str] = {}
         of: dict[int, list[tuple[float, int, int, str]]] = {}
-        for r, t, d, p in sorted(zip(near.ref.tolist(), near.id.tolist(), near.dist.tolist(), near.position.tolist(), strict=True), key=lambda x: (x[2], x[0], x[1])):
+        for d, r, t, p in sorted(((r["dist"], r["ref"], r["id"], r["position"]) for r in both if None not in (r["ref"], r["dist"], r["position"])), key=lambda x: x[:3]):
             if r in size and t in size and r != t and (r, t) not in towards:
                 towards[r, t] = p
                 of.setdefault(r, []).append((d, r, t, p))
@@ -257,7 +267,7 @@ def place_boxes(elements: DataFrame, pairs: DataFrame, by: list[str], gap: float
 
         def put(node: int, at: tuple[float, float], origin: int | None, position: str | None) -> None:
             room.boxes[node] = (*at, *size[node])
-            rows.append((*key, node, len(rows), origin, position, *at))
+            rows.append({"id": node, "step": len(rows), "reference": origin, "position": position, "x": at[0], "y": at[1]})
             for x in of.get(node, []):
                 heapq.heappush(heap, x)
 
@@ -277,7 +287,7 @@ def place_boxes(elements: DataFrame, pairs: DataFrame, by: list[str], gap: float
                     return at, origin, other
             return room.beyond(*room.beside(origin, position, *size[node]), *size[node], position), origin, position
 
-        for node in own.id.tolist():
+        for node in size:
             if node in room.boxes:
                 continue
             if not room.boxes:
@@ -290,12 +300,13 @@ def place_boxes(elements: DataFrame, pairs: DataFrame, by: list[str], gap: float
                 if test not in room.boxes:
                     at, origin, position = search(origin, test, position)
                     put(test, at, origin, position)
-        return pd.DataFrame(rows, columns=[*by, "id", "step", "reference", "position", "x", "y"]).astype({"reference": "Int64"})
+        return rows
 
     none = {c: F.lit(None).cast(t).alias(c) for c, t in (("ref", "long"), ("dist", "double"), ("position", "string"), ("kind", "string"), ("width", "double"), ("height", "double"))}
     rows = elements.select(*by, F.col("id").cast("long").alias("id"), "kind", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), *[none[c] for c in ("ref", "dist", "position")])
     rows = rows.unionByName(pairs.select(*by, F.col("test").cast("long").alias("id"), *[none[c] for c in ("kind", "width", "height")], F.col("ref").cast("long").alias("ref"), F.col("dist").cast("double").alias("dist"), "position"))
-    return rows.groupBy(*by).applyInPandas(place, f"{fields}, id long, step long, reference long, position string, x double, y double")
+    fields = [("id", "long", pa.int64()), ("step", "long", pa.int64()), ("reference", "long", pa.int64()), ("position", "string", pa.string()), ("x", "double", pa.float64()), ("y", "double", pa.float64())]
+    return _by_drawing(rows, by, place, fields)
 
 
 def place_domains(placed: DataFrame, pairs: DataFrame, by: list[str], domain: str = "domain", gap: float = layout.DOMAIN_GAP) -> DataFrame:

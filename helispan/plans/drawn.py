@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helispan.functions import geometry, scalar
-from helispan.operators import align, build, layout, pairs, strands
+from helispan.operators import align, build, drawing, layout, pairs, strands
 from helispan.plans.bindings import bind, table
+from helispan.sinks import text as sinks
 
 _K = "WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
 
@@ -356,3 +357,131 @@ def match_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each four lines of an order, matched with themselves."""
     d = _sheet(spark, sf_dir).select((F.col("l_orderkey") * 10 + F.floor((F.col("node") - 1) / 4)).alias("matrix"), ((F.col("node") - 1) % 4).alias("i"))
     return align.match_constraints(d.join(d.withColumnRenamed("i", "j"), "matrix"), "matrix")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as boxes of a drawing."""
+    d = _sheet(spark, sf_dir)
+    x, y = (F.col("node") * 37 % 200).cast("double"), (F.col("l_suppkey") % 7) * 45.0
+    return d.select("l_orderkey", F.col("node").alias("id"), x.alias("x"), y.alias("y"), (F.col("hi") * 4.0 + 10.0).alias("width"), F.lit(60.0).alias("height"), "hi", "l_suppkey")
+
+
+_BOXES_SQL = _SHEET + ", b AS (SELECT l_orderkey, node AS id, (node * 37 % 200)::DOUBLE AS x, (l_suppkey % 7) * 45.0::DOUBLE AS y, hi * 4.0::DOUBLE + 10 AS w, 60.0::DOUBLE AS h, hi, l_suppkey FROM s)"
+_OVERLAPS_SQL = _BOXES_SQL + """, o AS (SELECT p.l_orderkey, p.id AS a, q.id AS b FROM b p JOIN b q ON p.l_orderkey = q.l_orderkey AND p.id < q.id
+  WHERE least(p.x + p.w / 2, q.x + q.w / 2) - greatest(p.x - p.w / 2, q.x - q.w / 2) > 1e-6 AND least(p.y + 30, q.y + 30) - greatest(p.y - 30, q.y - 30) > 1e-6)"""
+
+
+def _turns_sql(a: str, b: str) -> str:
+    """The ends of line b are not both on one side of line a."""
+    points = [f"{a}.x1 {a}.y1", f"{a}.x2 {a}.y2", f"{b}.x1 {b}.y1", f"{b}.x2 {b}.y2"]
+    (ax, ay), (bx, by), *ends = [p.split() for p in points]
+    signs = [f"sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))" for cx, cy in ends]
+    return f"{signs[0]} * {signs[1]} <= 0"
+
+
+_LINES_SQL = _OVERLAPS_SQL + ", l AS (SELECT p.l_orderkey, p.id, p.id AS src, q.id AS dst, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM b p JOIN b q ON p.l_orderkey = q.l_orderkey AND q.id = p.id + 1)"
+_CROSSINGS_SQL = _LINES_SQL + f""", c AS (SELECT p.l_orderkey, p.id AS a, q.id AS b FROM l p JOIN l q ON p.l_orderkey = q.l_orderkey AND p.id < q.id AND p.src NOT IN (q.src, q.dst) AND p.dst NOT IN (q.src, q.dst)
+  WHERE greatest(least(p.x1, p.x2), least(q.x1, q.x2)) <= least(greatest(p.x1, p.x2), greatest(q.x1, q.x2)) AND greatest(least(p.y1, p.y2), least(q.y1, q.y2)) <= least(greatest(p.y1, p.y2), greatest(q.y1, q.y2))
+    AND {_turns_sql("p", "q")} AND {_turns_sql("q", "p")})"""
+
+
+def _drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line from the middle of each box to that of the next."""
+    w = Window.partitionBy("l_orderkey").orderBy("id")
+    d = _boxes(spark, sf_dir).select("l_orderkey", "id", F.col("id").alias("src"), F.lead("id").over(w).alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
+    return d.where("dst is not null")
+
+
+@bind("box_overlaps", _OVERLAPS_SQL + " SELECT * FROM o")
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing.box_overlaps(_boxes(spark, sf_dir), ["l_orderkey"])
+
+
+@bind("line_crossings", _CROSSINGS_SQL + " SELECT * FROM c")
+def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing.line_crossings(_drawn_lines(spark, sf_dir), ["l_orderkey"])
+
+
+_INSIDE = "CASE WHEN l.{0}2 = l.{0}1 THEN CASE WHEN l.{0}1 > {1} AND l.{0}1 < {2} THEN {3} ELSE {4} END ELSE {5}(({1} - l.{0}1) / (l.{0}2 - l.{0}1), ({2} - l.{0}1) / (l.{0}2 - l.{0}1)) END"
+
+
+def _share_sql(first: bool) -> str:
+    parts = [_INSIDE.format(k, f"(b.{k} - b.{s} / 2 + 1e-6)", f"(b.{k} + b.{s} / 2 - 1e-6)", *(("0", "2", "least") if first else ("1", "-1", "greatest"))) for k, s in (("x", "w"), ("y", "h"))]
+    return ("greatest(0, " if first else "least(1, ") + ", ".join(parts) + ")"
+
+
+@bind("overlap_counts", _CROSSINGS_SQL + f""", t AS (SELECT l.l_orderkey, l.id AS line, b.id AS box FROM l JOIN b ON l.l_orderkey = b.l_orderkey AND b.id NOT IN (l.src, l.dst) WHERE {_share_sql(True)} < {_share_sql(False)}),
+n AS (SELECT l_orderkey, 1 AS o, 0 AS c, 0 AS t FROM o UNION ALL SELECT l_orderkey, 0, 1, 0 FROM c UNION ALL SELECT l_orderkey, 0, 0, 1 FROM t UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 0 FROM b)
+SELECT l_orderkey, sum(o)::BIGINT AS boxes, sum(c)::BIGINT AS crossings, sum(t)::BIGINT AS covered, sum(o + c + t)::BIGINT AS overlaps FROM n GROUP BY 1""")
+def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing.overlap_counts(_boxes(spark, sf_dir), _drawn_lines(spark, sf_dir), ["l_orderkey"])
+
+
+@bind("crossing_colours", _CROSSINGS_SQL.replace("WITH s", "WITH RECURSIVE s", 1) + """, m AS (SELECT l_orderkey, max(id) AS n FROM l GROUP BY 1),
+k AS (SELECT l.l_orderkey, l.id, coalesce(list(c.a) FILTER (c.a IS NOT NULL), []) AS before FROM l LEFT JOIN c ON c.l_orderkey = l.l_orderkey AND c.b = l.id GROUP BY 1, 2),
+r AS (SELECT l_orderkey, 0::BIGINT AS id, []::BIGINT[] AS ranks FROM m
+  UNION ALL SELECT r.l_orderkey, k.id, list_append(ranks, list_min(list_filter(range(0, 20), lambda x: NOT list_contains(list_transform(before, lambda a: ranks[a]), x)))) FROM r JOIN k ON k.l_orderkey = r.l_orderkey AND k.id = r.id + 1)
+SELECT l_orderkey, id, ranks[id] AS rank, (""" + _COLOURS + """)[(ranks[id] % 10 + 1)::INT] AS colour FROM r WHERE id > 0""")
+def crossing_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _drawn_lines(spark, sf_dir)
+    return drawing.crossing_colours(lines, drawing.line_crossings(lines, ["l_orderkey"]), ["l_orderkey"])
+
+
+@bind("aligned_connectors", _BOXES_SQL + """,
+n AS (SELECT l_orderkey, id, (['strand', 'alpha', 'terminus'])[((id + hi) % 3 + 1)::INT] AS kind, x, y, hi % 2 = 0 AS rev, l_suppkey % 5 = 0 AS side, l_suppkey % 3 = 0 AS between_, id = max(id) OVER (PARTITION BY l_orderkey) AS last_ FROM b),
+p AS (SELECT *, lag(id) OVER w AS pid, lag(kind) OVER w AS pkind, lag(rev) OVER w AS prev_, lag(side) OVER w AS pside, CASE WHEN side THEN lag(x) OVER w < x ELSE lag(y) OVER w < y END AS after_ FROM n WINDOW w AS (PARTITION BY l_orderkey ORDER BY id)),
+q AS (SELECT *, kind = 'alpha' AND NOT between_ AND NOT last_ AND coalesce(after_, false) AS near FROM p),
+e AS (SELECT *, CASE WHEN pid IS NULL THEN NULL WHEN kind = 'terminus' THEN 'DEFAULT' WHEN CASE WHEN kind = 'strand' OR between_ OR last_ THEN rev ELSE near END THEN CASE WHEN side THEN 'LEFT' ELSE 'TOP' END ELSE CASE WHEN side THEN 'RIGHT' ELSE 'BOTTOM' END END AS enters FROM q),
+f AS (SELECT *, lag(enters) OVER (PARTITION BY l_orderkey ORDER BY id) AS came FROM e)
+SELECT l_orderkey, pid AS src, id AS dst, CASE WHEN kind <> 'terminus' AND pkind = 'terminus' THEN 'DEFAULT' WHEN near OR CASE WHEN came IS NULL THEN pkind = 'strand' AND prev_ ELSE came IN ('TOP', 'LEFT') END
+  THEN CASE WHEN pside THEN 'RIGHT' ELSE 'BOTTOM' END ELSE CASE WHEN pside THEN 'LEFT' ELSE 'TOP' END END AS src_port, enters AS dst_port FROM f WHERE pid IS NOT NULL""")
+def aligned_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["strand", "alpha", "terminus"])), ((F.col("id") + F.col("hi")) % 3 + 1).cast("int"))
+    last = F.col("id") == F.max("id").over(Window.partitionBy("l_orderkey"))
+    d = _boxes(spark, sf_dir).withColumns({"kind": kind, "reversed": F.col("hi") % 2 == 0, "sideways": F.col("l_suppkey") % 5 == 0, "between": F.col("l_suppkey") % 3 == 0, "last": last})
+    return drawing.aligned_connectors(d, ["l_orderkey"], "id")
+
+
+@bind("axis_rooms", _BOXES_SQL + """,
+h AS (SELECT l_orderkey, id, (['ABOVE', 'BELOW', 'LEFT', 'RIGHT'])[(l_suppkey % 4 + 1)::INT] AS side, hi % 3 AS col, 30.0::DOUBLE AS w, hi * 10.0::DOUBLE AS h FROM b),
+r AS (SELECT *, side IN ('ABOVE', 'BELOW') AS up FROM h),
+d AS (SELECT *, 55 + coalesce(sum(CASE WHEN up THEN h ELSE w END + 55) OVER (PARTITION BY l_orderkey, side, CASE WHEN up THEN col END ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN up THEN h ELSE w END / 2 AS far FROM r)
+SELECT l_orderkey, id, (CASE WHEN up THEN 20 + col * 55 WHEN side = 'LEFT' THEN 0 - far ELSE 150 + far END)::DOUBLE AS x, (CASE side WHEN 'ABOVE' THEN -10 - far WHEN 'BELOW' THEN 90 + far ELSE 40 END)::DOUBLE AS y FROM d""")
+def axis_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as helices about a sheet of three columns."""
+    side = F.element_at(F.array(*map(F.lit, ["ABOVE", "BELOW", "LEFT", "RIGHT"])), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    d = _boxes(spark, sf_dir)
+    helices = d.select("l_orderkey", "id", F.lit("A").alias("sheet"), side.alias("side"), (F.col("hi") % 3).alias("column"), F.col("id").alias("order"), F.lit(30.0).alias("width"), (F.col("hi") * 10.0).alias("height"))
+    ends = {"left": 0.0, "right": 150.0, "top": -10.0, "bottom": 90.0, "left_column": 20.0}
+    sheets = d.select("l_orderkey").distinct().select("l_orderkey", F.lit("A").alias("sheet"), *[F.lit(v).alias(k) for k, v in ends.items()])
+    return drawing.axis_rooms(helices, sheets, ["l_orderkey"]).select("l_orderkey", "id", "x", "y")
+
+
+@bind("placed_boxes")
+def placed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order placed beside each other, near ones first; the search for room has no SQL, tests hold it against its rules."""
+    d = _boxes(spark, sf_dir)
+    elements = d.select("l_orderkey", "id", F.when(F.col("hi") > 40, "sheet").otherwise("alpha").alias("kind"), "width", "height")
+    two = pairs.sides(d, ["l_orderkey"], "a_").join(pairs.sides(d, ["l_orderkey"], "b_"), "l_orderkey").where("a_id <> b_id")
+    position = F.element_at(F.array(*map(F.lit, ["ABOVE", "BELOW", "LEFT", "RIGHT"])), ((F.col("a_hi") + F.col("b_hi")) % 4 + 1).cast("int"))
+    near = two.select("l_orderkey", F.col("a_id").alias("ref"), F.col("b_id").alias("test"), F.abs(F.col("a_l_suppkey") - F.col("b_l_suppkey")).cast("double").alias("dist"), position.alias("position"))
+    return drawing.place_boxes(elements, near, ["l_orderkey"])
+
+
+@bind("drawing_documents", _CROSSINGS_SQL + """,
+e AS (SELECT l_orderkey, 0 AS k, id AS i, printf('<rect id="%d" class="strand" x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="ffff00"><title>s&lt;%d</title></rect>', id, x - w / 2, y - h / 2, w, h, id) AS t, count(*) OVER (PARTITION BY l_orderkey) AS n FROM b
+  UNION ALL SELECT l_orderkey, 1, 0, printf('<g id="%d" class="cluster" data-members="%s" fill="eeeeee"><title>sheet 5%%</title></g>', count(*) + 1, string_agg(id::VARCHAR, ' ' ORDER BY id)), count(*) FROM b GROUP BY 1
+  UNION ALL SELECT l.l_orderkey, 2, l.id, printf('<path id="%d" class="connector" d="M %.2f %.2f L %.2f %.2f" data-src="%d" data-src-port="DEFAULT" data-dst="%d" data-dst-port="DEFAULT" stroke="000000"/>', m.n + 1 + l.id, x1, y1, x2, y2, src, dst), m.n FROM l JOIN (SELECT l_orderkey, count(*) AS n FROM b GROUP BY 1) m USING (l_orderkey)
+  UNION ALL SELECT l_orderkey, 3, 0, printf('<constraint id="%d" type="alignment" axis="x" members="%s"/>', 2 * count(*) + 1, string_agg(id::VARCHAR, ' ' ORDER BY id)), count(*) FROM b GROUP BY 1),
+v AS (SELECT l_orderkey, printf('<svg xmlns="http://www.w3.org/2000/svg" viewBox="%.2f %.2f %.2f %.2f">', min(x - w / 2), min(y - h / 2), max(x + w / 2) - min(x - w / 2), max(y + h / 2) - min(y - h / 2)) AS head FROM b GROUP BY 1)
+SELECT e.l_orderkey, md5(any_value(head) || chr(10) || string_agg(replace(t, 'fill="', 'fill="#'), chr(10) ORDER BY k, i) || chr(10) || '</svg>') AS digest FROM e JOIN v USING (l_orderkey) GROUP BY 1""".replace('stroke="000000"', 'stroke="#000000"'))
+def drawing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's drawing: its boxes, one sheet of them, lines between, and a guide that they are aligned to."""
+    d, lines = _boxes(spark, sf_dir), _drawn_lines(spark, sf_dir)
+    shapes = d.select("l_orderkey", "id", F.lit("strand").alias("kind"), "x", "y", "width", "height", F.lit("ffff00").alias("fill"), F.concat(F.lit("s<"), F.col("id").cast("string")).alias("label"))
+    clusters = d.select("l_orderkey", F.lit("sheet 5%").alias("cluster"), "id", F.lit("eeeeee").alias("fill"))
+    default = F.lit("DEFAULT")
+    connectors = lines.select("l_orderkey", "src", "dst", "x1", "y1", "x2", "y2", default.alias("src_port"), default.alias("dst_port"), F.lit("000000").alias("colour"))
+    guides = d.select("l_orderkey", F.lit(0).alias("guide"), F.lit("x").alias("axis"), "id")
+    documents = sinks.svg_drawing(shapes, clusters, connectors, guides, ["l_orderkey"])
+    return documents.select("l_orderkey", F.md5("text").alias("digest"))
