@@ -160,7 +160,7 @@ def pdomains_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = F.when(k % 11 == 0, "DALI").when(k % 2 == 0, "PDP").otherwise("pdp")
     four = F.array(F.concat(F.lit("Chain: x"), "path"), F.concat(F.lit("Method: "), method), F.concat(F.lit("Domain name: d"), k.cast("string")), F.format_string("Position of the fragment 1  start:%d, end:%d", k % 300, k % 300 + 9))
     d = o.select("path", "k", F.posexplode(four).alias("i", "line"))
-    return text.read_pdomains(d.select("path", (F.col("k") * 4 + F.col("i")).cast("int").alias("n"), "line"))
+    return text.read_pdomains(d.select("path", (F.col("k") * 4 + F.col("i")).alias("n"), "line"))
 
 
 @bind("cluster_members", f"{_O} SELECT path, (k % 1000)::INT AS cluster, 0 AS seq_no, (k % 400)::INT AS seq_len, 's' || k::VARCHAR AS id, k % 3 <> 0 AS protein, k % 2 = 0 AS representative, CASE WHEN k % 2 = 0 THEN 100 ELSE (k % 101)::INT END AS pct FROM o")
@@ -169,7 +169,18 @@ def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     member = F.format_string("0\t%daa, >s%d mol:%s length:9... %s", k % 400, k, F.when(k % 3 == 0, "na").otherwise("protein"), F.when(k % 2 == 0, "*").otherwise(F.format_string("at %d%%", k % 101)))
     d = o.select("path", "k", F.posexplode(F.array(F.format_string(">Cluster %d", k % 1000), member)).alias("i", "line"))
-    return text.read_clusters(d.select("path", (F.col("k") * 2 + F.col("i")).cast("int").alias("n"), "line"))
+    return text.read_clusters(d.select("path", (F.col("k") * 2 + F.col("i")).alias("n"), "line"))
+
+
+@bind("protein_clusters", f"{_O}, m AS (SELECT path, k, unnest(range(0, 3)) AS j FROM o) SELECT path, (k % 1000)::INT AS cluster, j::INT AS seq_no, 's' || k || '_' || j AS id, (k + j) % 3 <> 0 AS protein FROM m WHERE k % 3 <> 0")
+def protein_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of three members each; the first one decides."""
+    o = _orders(spark, sf_dir)
+    k = F.col("k")
+    members = [F.format_string(f"{j}\t9aa, >s%d_{j} mol:%s... *", k, F.when((k + j) % 3 == 0, "na").otherwise("protein")) for j in range(3)]
+    d = o.select("path", "k", F.posexplode(F.array(F.format_string(">Cluster %d", k % 1000), *members)).alias("i", "line"))
+    found = text.protein_clusters(text.read_clusters(d.select("path", (F.col("k") * 4 + F.col("i")).alias("n"), "line")))
+    return found.select("path", "cluster", "seq_no", "id", "protein")
 
 
 @bind("parsed_results", f"{_O} SELECT path, 'q' || path AS query_id, 't' || k::VARCHAR AS target_id, round(v, 2) AS score FROM o WHERE k % 4 IN (1, 2)")
@@ -195,7 +206,7 @@ def structure_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     two = F.array(F.concat(_left(F.lit("EXPDTA"), 10), F.lit("METHOD "), k.cast("string")), F.format_string("REMARK   2 RESOLUTION.    %.1f  ANGSTROMS.", (k % 50) / F.lit(10.0)))
     d = o.select("path", "k", F.posexplode(two).alias("i", "line"))
-    return text.read_header(d.select("path", (F.col("k") * 2 + F.col("i")).cast("int").alias("n"), "line"))
+    return text.read_header(d.select("path", (F.col("k") * 2 + F.col("i")).alias("n"), "line"))
 
 
 @bind("central_atoms", f"{_O} SELECT path, {_CHAIN} AS chain, (k % 9000)::VARCHAR AS res, 'ALA' AS residue, round(v / 1000, 3) AS x, round(-(k % 999) / 8.0, 3) AS y, round((k % 777) / 4.0, 3) AS z FROM o WHERE k % 3 <> 1")
@@ -224,7 +235,7 @@ def read_code_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir)
     d = o.select("path", "k", F.posexplode(F.array(F.lit("GROUP 1"), F.concat(F.lit("m"), F.col("k").cast("string")))).alias("i", "line"))
-    return text.read_groups(d.select("path", (F.col("k") * 2 + F.col("i")).cast("int").alias("n"), "line"))
+    return text.read_groups(d.select("path", (F.col("k") * 2 + F.col("i")).alias("n"), "line"))
 
 
 @bind("read_cluster_lines", f"{_O}, c AS (SELECT path, k, (row_number() OVER (PARTITION BY path ORDER BY k) - 1)::INT AS cluster FROM o) SELECT path, cluster, unnest([k::VARCHAR, (k + 1)::VARCHAR]) AS member FROM c")

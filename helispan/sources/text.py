@@ -6,6 +6,9 @@ parsing needs no order between tasks. Every parser takes ``path, n, line`` rows,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,36 @@ def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return numbered(files.select(F.input_file_name().alias("path"), "value"))
 
 
+def split_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, start, n, line`` of all files below a path, each dealt to tasks in byte ranges that begin at ``start``.
+
+    For files that are too large for one row. Spark's reader gives each range its own lines; a line's number is its
+    place in its range and the count of lines in the ranges before. Lines end at line feeds, a return before them goes.
+    The parsers take these rows as they take those of ``lines``. Compressed files are one range.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
+    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task reads its ranges one after another, each in order.
+        at: tuple | None = None
+        count = 0
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            places = []
+            for key in keys:
+                at, count = key, count + 1 if key == at else 0
+                places.append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["path", "start", "line", "k"])
+
+    own = raw.mapInArrow(placed, "path string, start long, line string, k long")
+    sizes = raw.groupBy("path", "start").agg(F.count("*").alias("_lines"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("path", "start", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_base"))
+    return own.join(bases, ["path", "start"]).select("path", "start", (F.col("_base") + F.col("k")).alias("n"), "line")
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """``path, n, line`` of ``path, value`` rows that hold whole files."""
     return files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
@@ -198,10 +231,20 @@ def read_cluster_lines(rows: DataFrame) -> DataFrame:
 
 
 def fill_down(rows: DataFrame, pattern: str, name: str) -> DataFrame:
-    """Adds the group captured by the latest line that matches."""
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.regexp_extract("line", pattern, 1)
-    return rows.withColumn(name, F.last(F.when(F.col("line").rlike(pattern), found), ignorenulls=True).over(w))
+    """Adds the group captured by the latest line that matches.
+
+    Rows of ``split_lines`` are filled within their ranges, and ranges get the last group of those before.
+    """
+    found = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1))
+    keys = ["path", "start"] if "start" in rows.columns else ["path"]
+    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn(name, F.last(found, ignorenulls=True).over(w))
+    if len(keys) == 1:
+        return own
+    last = rows.withColumn("_f", found).groupBy(*keys).agg(F.max(F.when(F.col("_f").isNotNull(), F.struct("n", "_f")))["_f"].alias("_last"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    return own.join(carried, keys).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
 
 
 def read_cath(rows: DataFrame) -> DataFrame:
@@ -252,6 +295,12 @@ def read_clusters(rows: DataFrame) -> DataFrame:
     )
 
 
+def protein_clusters(members: DataFrame) -> DataFrame:
+    """Members of the clusters whose first member is a protein."""
+    first = members.groupBy("path", "cluster").agg(F.min_by("protein", "seq_no").alias("_first"))
+    return members.join(first.where("_first"), ["path", "cluster"], "left_semi")
+
+
 def read_results(rows: DataFrame) -> DataFrame:
     """Search results (S10, S11): path, query_id, target_id, score; comments and bad scores are left out, self hits too."""
     d = fill_down(rows, r"(?i)^#\s*QUERY ?ID\s*=\s*(\S+)", "query_id")
