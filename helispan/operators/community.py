@@ -6,13 +6,13 @@ Edges are rows ``by, src, dst``, each undirected edge once and without loops.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helispan.operators import runs
-from helispan.session import materialize
+from helispan.session import finished, materialize
 
 
 def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -117,21 +117,27 @@ def ratio_cut_domains(nodes: DataFrame, edges: DataFrame, by: list[str], limit:
 def _divided(nodes: DataFrame, edges: DataFrame, by: list[str], best: Callable[..., DataFrame]) -> DataFrame:
     """Domains of chains, cut where ``best`` says; all parts of all chains are cut at once, round by round.
 
-    A part is named by its first place. Each round is written; parts without a cut take no part in later ones.
+    A part is named by its first place. Parts without a cut are put aside, so that a round reads and writes only those
+    that the round before has cut; rounds' tables go when the result is written.
     """
     keys = [*by, "lo"]
-    start = nodes.groupBy(*by).agg(F.min("seq").alias("lo"))
-    placed = materialize(nodes.select(*by, "node", "seq").join(start, by).withColumn("open", F.lit(True)), "nodes")
-    while True:
-        open_ = placed.where("open")
-        a = open_.select(*by, F.col("node").alias("src"), F.col("lo").alias("lo"))
-        b = open_.select(*by, F.col("node").alias("dst"), F.col("lo").alias("_lo2"))
-        inner = edges.select(*by, "src", "dst").join(a, [*by, "src"]).join(b, [*by, "dst"]).where("lo = _lo2").select(*keys, "src", "dst")
-        curve = prefix_cuts(open_.select(*keys, "node", (F.col("seq") - F.col("lo") + 1).alias("seq")), inner, keys)
-        cuts = materialize(best(curve, keys).select(*keys, (F.col("lo") + F.col("seq")).alias("_at")), "cuts")
-        if cuts.isEmpty():
-            break
-        d = placed.join(cuts, keys, "left")
-        placed = materialize(d.select(*by, "node", "seq", F.when(F.col("seq") >= F.col("_at"), F.col("_at")).otherwise(F.col("lo")).alias("lo"), F.col("_at").isNotNull().alias("open")), "nodes")
-    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("lo")) - 1
-    return placed.select(*by, "node", number.alias("domain"))
+
+    def build() -> DataFrame:
+        start = nodes.groupBy(*by).agg(F.min("seq").alias("lo"))
+        open_ = materialize(nodes.select(*by, "node", "seq").join(start, by).select(*by, "node", "seq", "lo"), "nodes")
+        closed = []
+        while True:
+            a = open_.select(*by, F.col("node").alias("src"), F.col("lo").alias("lo"))
+            b = open_.select(*by, F.col("node").alias("dst"), F.col("lo").alias("_lo2"))
+            inner = edges.select(*by, "src", "dst").join(a, [*by, "src"]).join(b, [*by, "dst"]).where("lo = _lo2").select(*keys, "src", "dst")
+            curve = prefix_cuts(open_.select(*keys, "node", (F.col("seq") - F.col("lo") + 1).alias("seq")), inner, keys)
+            cuts = materialize(best(curve, keys).select(*keys, (F.col("lo") + F.col("seq")).alias("_at")), "cuts")
+            closed.append(open_.join(cuts, keys, "left_anti").select(*by, "node", "lo"))
+            if cuts.isEmpty():
+                break
+            cut = open_.join(cuts, keys)
+            open_ = materialize(cut.select(*by, "node", "seq", F.when(F.col("seq") >= F.col("_at"), F.col("_at")).otherwise(F.col("lo")).alias("lo")), "nodes")
+        number = F.dense_rank().over(Window.partitionBy(*by).orderBy("lo")) - 1
+        return reduce(DataFrame.unionByName, closed).select(*by, "node", number.alias("domain"))
+
+    return finished(nodes.sparkSession, build, "divided")

@@ -7,6 +7,8 @@ y grows downwards.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,6 +219,11 @@ def place_elements(elements: DataFrame, pairs: DataFrame, by: list[str]) -> Data
         near = near.sort_values(["dist", "ref", "test"])
         asked = list(zip(near.ref.tolist(), near.test.tolist(), near.position.tolist(), strict=True))
         towards = {(r, t): p for r, t, p in asked}
+        # The pairs of placed elements, by their place in the order of all.
+        of: dict[int, list[int]] = {}
+        for k, (r, _, _) in enumerate(asked):
+            of.setdefault(r, []).append(k)
+        heap: list[int] = []
         at: dict[int, tuple[int, int]] = {}
         taken: dict[tuple[int, int], int] = {}
         rows = []
@@ -224,6 +231,8 @@ def place_elements(elements: DataFrame, pairs: DataFrame, by: list[str]) -> Data
         def put(node: int, slot: tuple[int, int], origin: int | None, position: str | None) -> None:
             at[node], taken[slot] = slot, node
             rows.append((*key, node, len(rows), origin, position, *slot))
+            for k in of.get(node, []):
+                heapq.heappush(heap, k)
 
         def slot_beside(node: int, position: str) -> tuple[int, int]:
             return at[node][0] + _STEP[position][0], at[node][1] + _STEP[position][1]
@@ -233,7 +242,9 @@ def place_elements(elements: DataFrame, pairs: DataFrame, by: list[str]) -> Data
             if not at:
                 put(ids[0], (0, 0), None, None)
                 continue
-            found = next(((r, t, p) for r, t, p in asked if r in at and t not in at), None)
+            while heap and asked[heap[0]][1] in at:
+                heapq.heappop(heap)
+            found = asked[heapq.heappop(heap)] if heap else None
             if found is None:
                 put(next(i for i in ids if i not in at), (max(c for c, _ in taken) + 1, 0), None, None)
                 continue

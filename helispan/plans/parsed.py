@@ -25,7 +25,7 @@ def _chain(blank: str = " ") -> Column:
 
 
 def _lines(o: DataFrame, line: Column, n: Column | str = "k") -> DataFrame:
-    return o.select("path", (F.col(n) if isinstance(n, str) else n).cast("int").alias("n"), line.alias("line"))
+    return o.select("path", (F.col(n) if isinstance(n, str) else n).cast("long").alias("n"), line.alias("line"))
 
 
 def _left(x: Column, width: int) -> Column:
@@ -98,7 +98,7 @@ def _dssp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("a"), F.lit("A")), (q % 2 + 1).cast("int")), F.lit(" "), _right(i % 4, 4), _right(F.lit(0), 4), F.lit(" " * 6), bond, F.lit("       0, 0.0" [-11:]), F.lit("       0, 0.0" [-11:]), F.lit("       0, 0.0" [-11:]),
     )
     head = li.select("path", F.lit(0).alias("n"), F.lit("  #  RESIDUE AA STRUCTURE").alias("line")).distinct()
-    return li.select("path", i.cast("int").alias("n"), line.alias("line")).unionByName(head)
+    return li.select("path", i.cast("long").alias("n"), line.alias("line")).unionByName(head)
 
 
 _DSSP = """WITH r AS (SELECT l_orderkey::VARCHAR AS path, l_linenumber AS ordinal, (l_suppkey % 900)::VARCHAR AS res, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE '-' END AS chain, l_quantity::INT AS q FROM lineitem)"""

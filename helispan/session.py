@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Tables written since each open ``finished`` began.
-_OPEN: list[list[str]] = []
+#: Tables written since each open ``finished`` of this thread began.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it goes when the ``finished`` around it ends."""
     path = f"{shared_dir(spark)}/helispan/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 
@@ -66,12 +67,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """Materialize what ``build`` returns and delete the tables that were written on the way to it."""
     path = shared_path(spark, name)
-    _OPEN.append([])
+    own: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), own))
     try:
         df = build()
         df.write.parquet(path)
     finally:
-        for old in _OPEN.pop():
+        _OPEN.reset(before)
+        for old in own:
             _delete(spark, old)
     return spark.read.schema(df.schema).parquet(path)
 
