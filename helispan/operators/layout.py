@@ -163,6 +163,36 @@ def node_colours(elements: DataFrame, by: list[str], order: str, scheme: str) ->
     return elements.withColumn("_r", rank).withColumn("colour", F.when(F.col("sheet").isNull(), "ffffff").otherwise(scalar.palette(scalar.COLOURS, F.col("_r")))).drop("_r")
 
 
+def listed_colours(elements: DataFrame, by: list[str], order: str, colours: dict[str, list[str]], default: str = "ffffff") -> DataFrame:
+    """Adds ``colour`` from lists of colours by kind (L9): elements of a kind take its colours in turn, in their order.
+
+    Strands of a sheet share a colour of the list ``sheet``, sheets taking it in turn; kinds without a list, and strands without
+    a sheet, get the default.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by, "kind").orderBy(order)) - 1
+    sheet = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col("sheet").asc_nulls_last())) - 1
+    d = elements.withColumn("_r", rank).withColumn("_s", sheet)
+    colour = F.lit(default)
+    for kind, own in colours.items():
+        if kind != "sheet":
+            colour = F.when(F.col("kind") == kind, scalar.palette(own, F.col("_r"))).otherwise(colour)
+    if "sheet" in colours:
+        colour = F.when((F.col("kind") == "strand") & F.col("sheet").isNotNull(), scalar.palette(colours["sheet"], F.col("_s"))).otherwise(colour)
+    return d.withColumn("colour", colour).drop("_r", "_s")
+
+
+def fold_colours(elements: DataFrame, by: list[str], order: str, default: str = "ffffff") -> DataFrame:
+    """Adds ``part`` and ``colour`` by the scheme ``fold`` (L9, G12): strands of a sheet that follow each other with only turns between share both.
+
+    Parts are numbered from 0 in order; elements that are no strands of a sheet have none, and the default colour.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    strand = (F.col("kind") == "strand") & F.col("sheet").isNotNull()
+    goes_on = F.coalesce(F.lag(strand).over(w) & (F.lag("sheet").over(w) == F.col("sheet")), F.lit(False))
+    d = elements.withColumn("_b", (strand & ~goes_on).cast("int")).withColumn("part", F.when(strand, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)).drop("_b")
+    return d.withColumn("colour", F.when(F.col("part").isNull(), default).otherwise(scalar.palette(scalar.COLOURS, F.col("part"))))
+
+
 def flipped(strands: DataFrame, by: list[str]) -> DataFrame:
     """A sheet seen from behind: its columns in the opposite order."""
     last = F.max("place").over(Window.partitionBy(*by))

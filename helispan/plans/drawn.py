@@ -116,6 +116,27 @@ def element_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.node_colours(simple, ["c"], "k", "sheet").select("c", "k", "simple", F.col("colour").alias("by_sheet"))
 
 
+@bind("fold_colours", _K + f""", e AS (SELECT c, k, k % 3 < 2 AS strand, (k // 8) % 3 AS sheet FROM o),
+s AS (SELECT *, strand AND NOT coalesce(lag(strand) OVER w AND lag(sheet) OVER w = sheet, false) AS starts FROM e WINDOW w AS (PARTITION BY c ORDER BY k)),
+p AS (SELECT *, CASE WHEN strand THEN sum(starts::INT) OVER (PARTITION BY c ORDER BY k) - 1 END AS part FROM s)
+SELECT c, k, part::BIGINT AS part, CASE WHEN part IS NULL THEN 'ffffff' ELSE ({_COLOURS})[(part % 10 + 1)::INT] END AS colour FROM p""")
+def fold_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    d = _orders(spark, sf_dir).select("c", "k", F.when(k % 3 < 2, "strand").otherwise("alpha").alias("kind"), (F.floor(k / 8) % 3).alias("sheet"))
+    return layout.fold_colours(d, ["c"], "k").select("c", "k", "part", "colour")
+
+
+@bind("listed_colours", _K + """, e AS (SELECT c, k, (['strand', 'alpha', 'pi', 'terminus'])[(k % 4 + 1)::INT] AS kind, CASE WHEN k % 8 = 0 THEN k % 5 END AS sheet FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY c, kind ORDER BY k) - 1 AS r, dense_rank() OVER (PARTITION BY c ORDER BY sheet NULLS LAST) - 1 AS s FROM e)
+SELECT c, k, CASE WHEN kind = 'strand' AND sheet IS NOT NULL THEN (['0000ff', '00ffff'])[(s % 2 + 1)::INT] WHEN kind = 'alpha' THEN (['ff0000', 'aa0000', '550000'])[(r % 3 + 1)::INT] WHEN kind = 'terminus' THEN '808080' ELSE 'ffffff' END AS colour FROM r""")
+def listed_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    kind = F.element_at(F.array(*map(F.lit, ["strand", "alpha", "pi", "terminus"])), (k % 4 + 1).cast("int"))
+    d = _orders(spark, sf_dir).select("c", "k", kind.alias("kind"), F.when(k % 8 == 0, k % 5).alias("sheet"))
+    lists = {"sheet": ["0000ff", "00ffff"], "alpha": ["ff0000", "aa0000", "550000"], "terminus": ["808080"]}
+    return layout.listed_colours(d, ["c"], "k", lists).select("c", "k", "colour")
+
+
 def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as strands from 1, of as many residues as their quantity."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
