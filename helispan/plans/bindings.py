@@ -36,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from helispan.plans import coded, drawn, graphs, labelled, parsed, ranked, sequenced, sheeted  # noqa: E402, F401  the modules that register queries
+from helispan.plans import coded, drawn, graphs, labelled, parsed, ranked, sequenced, sheeted, written  # noqa: E402, F401  the modules that register queries
