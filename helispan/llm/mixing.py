@@ -62,28 +62,32 @@ def targets(sized: DataFrame) -> DataFrame:
     return table.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * level).alias("target"))
 
 
-def _taken(docs: DataFrame, id_column: str, by_source: DataFrame) -> DataFrame:
-    """Adds source_size, target and ``copies`` to rows with ``source``; the sources are few or the join is salted."""
+def _taken(docs: DataFrame, id_column: str, text_column: str, by_source: DataFrame) -> DataFrame:
+    """Adds source_size, target and ``copies`` to rows with ``source``; the sources are few or the join is salted.
+
+    The draw is by the id, or by the hash of the text where there is none.
+    """
+    own = F.when(F.col(id_column).isNotNull(), F.xxhash64(F.lit(SEED), F.col(id_column))).otherwise(F.xxhash64(F.lit(SEED), F.lit("text"), F.col(text_column)))
     if by_source.count() <= BROADCAST_ROWS:
         d = docs.join(F.broadcast(by_source), docs["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
     else:
         salted = by_source.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        d = docs.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+        d = docs.withColumn("_salt", F.pmod(own, F.lit(SALTS)).cast("int"))
         d = d.join(salted, d["source"].eqNullSafe(salted["source"]) & (d["_salt"] == salted["_salt"])).drop(salted["source"]).drop("_salt")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_column)), 11) * F.lit(2.0**-53)
+    draw = F.shiftrightunsigned(own, 11) * F.lit(2.0**-53)
     return d.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (of its source), copies, taken.
 
-    Rows with a null id or the same id share a draw; null sources are a source; a source without words
+    Rows with the same id share a draw, and rows without an id share one if their texts are equal; null sources are a source; a source without words
     has target 0; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", sizes().alias("size"))
+    sized = docs.select("doc_id", "source", sizes().alias("size"), F.xxhash64("text").alias("_text"))
     by_source = targets(sized)
-    return _taken(sized, "doc_id", by_source).withColumn("taken", F.col("size") * F.col("copies"))
+    return _taken(sized, "doc_id", "_text", by_source).drop("_text").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
@@ -91,7 +95,8 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     by_source = targets(docs.select("source", sizes().alias("size")))
     own = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)], F.col("source").alias("source"))
-    d = _taken(own, f"_k{columns.index('doc_id')}", by_source)
+    own = own.withColumn("_text", F.xxhash64(f"_k{columns.index('text')}"))
+    d = _taken(own, f"_k{columns.index('doc_id')}", "_text", by_source)
     d = d.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))))
     return d.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)])
 

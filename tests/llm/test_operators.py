@@ -244,6 +244,16 @@ def test_mix_comes_near(spark):
         assert abs(r.taken / r.target - 1) < 0.1
 
 
+def test_mix_without_ids(spark):
+    """Documents without an id are drawn by their texts, not all alike."""
+    text = F.concat(F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")), F.col("id").cast("string"))
+    d = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"), text.alias("text"))
+    got = mixing.mix(d)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken / r.target - 1) < 0.1
+    assert mixing.repeat_documents(d).count() == got.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_shuffle_join(docs, monkeypatch):
     wanted = _sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
