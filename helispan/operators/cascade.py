@@ -17,7 +17,10 @@ def representatives(members: DataFrame, by: list[str], prefer: list[Column], col
 
 
 def listed(members: DataFrame, chosen: DataFrame, by: list[str], key: str) -> DataFrame:
-    """``representative, others``: the other members' keys in order, joined by blanks."""
+    """``representative, others``: the other members' keys in order, joined by blanks.
+
+    A cluster's members are one row here, as the list's format asks, so clusters have to fit in one; ``others`` gives them as rows.
+    """
     named = chosen.select(*by, F.col(key).alias("representative"))
     rest = members.join(named, by).where(F.col(key) != F.col("representative"))
     others = F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), " ")
@@ -25,6 +28,12 @@ def listed(members: DataFrame, chosen: DataFrame, by: list[str], key: str) -> Da
     return named.join(lists, by, "left").withColumn("others", F.coalesce("others", F.lit("")))
 
 
+def others(members: DataFrame, chosen: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``representative, key``: a row for each other member, for clusters of any size."""
+    named = chosen.select(*by, F.col(key).alias("representative"))
+    return members.join(named, by).where(F.col(key) != F.col("representative")).select(*by, "representative", key)
+
+
 def duplicates(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     """``key, kept, dropped``: the first row of each key and how many others it has."""
     return df.groupBy(*key).agg(F.min(order).alias("kept"), (F.count("*") - 1).alias("dropped"))

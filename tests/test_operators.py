@@ -205,3 +205,11 @@ def test_orientation_and_top(spark):
     at = spark.createDataFrame([(10, False), (15, False), (16, False), (16, True), (12, True)], "n int, r boolean")
     got = [x.t for x in at.select(sheets.nearer_top(F.col("n"), F.lit(10), F.lit(20), F.col("r")).alias("t")).collect()]
     assert got == [False, False, True, False, True]
+
+
+def test_lists_of_clusters(spark):
+    """A cluster's other members as one text and as rows; a cluster of one has none."""
+    m = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("a", 2, 2.0), ("b", 9, 0.0)], "k string, id long, score double")
+    chosen = cascade.representatives(m, ["k"], [-F.col("score"), F.col("id")], ["id", "score"])
+    assert {(r.k, r.representative, r.others) for r in cascade.listed(m, chosen, ["k"], "id").collect()} == {("a", 1, "2 3"), ("b", 9, "")}
+    assert {tuple(r) for r in cascade.others(m, chosen, ["k"], "id").collect()} == {("a", 1, 2), ("a", 1, 3)}
