@@ -28,12 +28,16 @@ def bind(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _registered() -> None:
+    """Import the modules that register queries; they import this one."""
+    from helispan.plans import coded, drawn, graphs, labelled, parsed, ranked, sequenced, sheeted, written  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(SQL)
-
-
-from helispan.plans import coded, drawn, graphs, labelled, parsed, ranked, sequenced, sheeted, written  # noqa: E402, F401  the modules that register queries

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helispan.functions import geometry, scalar
 from helispan.operators import align, matching, pairs, ranks
 from helispan.plans.bindings import bind, table
+from helispan.session import materialize
 
 #: A structure is sixteen vectors in a row; structures stay as small however many there are.
 SIZE = 16
@@ -96,14 +97,14 @@ def packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind("tableau_dp_search")
 def tableau_dp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-level alignment has no plain SQL; tests compare with worked examples."""
-    d = packed_codes(spark, sf_dir)
+    d = materialize(packed_codes(spark, sf_dir), "packed")
     return align.search(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
 
 
 @bind("qp_search")
 def qp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A local search has no SQL; tests hold it against all matchings of small matrices."""
-    d = packed_codes(spark, sf_dir)
+    d = materialize(packed_codes(spark, sf_dir), "packed")
     found = matching.search_relaxed(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
     return found.select("query_id", "target_id", "objective")
 
@@ -127,7 +128,7 @@ SELECT query_id, target_id, -v AS objective, array_to_string(list_filter(list_tr
 def exact_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five vectors in a row make a matrix; each whose number is divisible by 100 is matched with all."""
     n = coded(spark, sf_dir).select(F.floor(F.col("vec_id") / 5).alias("target_id"), (F.col("vec_id") % 5).alias("seq"), "omega")
-    d = _packed(n)
+    d = materialize(_packed(n), "packed")
     found = matching.search_exact(d, d.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "packed"))
     listed = F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["i"], x["j"])), ",")
     return found.select("query_id", "target_id", F.col("objective").cast("long").alias("objective"), listed.alias("matches"))
