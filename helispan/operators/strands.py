@@ -7,9 +7,9 @@ A sheet is a few dozen strands at most, so one group holds it. Bridges are rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,25 +60,40 @@ def _closing(links: dict[int, list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _links(pdf: pd.DataFrame) -> dict[int, list[int]]:
+def _links(bridges: list[dict]) -> dict[int, list[int]]:
     found: dict[int, list[int]] = {}
-    for a, b in zip(pdf.node.tolist(), pdf.other.tolist(), strict=True):
-        found.setdefault(a, []).append(b)
-        found.setdefault(b, [])
+    for r in bridges:
+        found.setdefault(r["node"], []).append(r["other"])
+        found.setdefault(r["other"], [])
     return found
 
 
+def _by_sheet(rows: DataFrame, by: list[str], compute: Callable[[dict], list[dict]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """``by`` and the fields that ``compute`` finds for each sheet, from rows of ``by`` and the lists that hold a sheet.
+
+    Tasks go through batches of sheets, as a frame for each of many small groups costs more than the work in it.
+    """
+    kind = pa.list_(pa.struct([(name, t) for name, _, t in fields]))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: batch.column(k).to_pylist() for k, c in enumerate(batch.schema.names) if c not in by}
+            out = [compute(dict(zip(lists, own, strict=True))) for own in zip(*lists.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(out, kind)], names=[*by, "found"])
+
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema]
+    listed = ",".join(f"{name}:{t}" for name, t, _ in fields)
+    return rows.mapInArrow(found, ", ".join([*keys, f"found array<struct<{listed}>>"])).select(*by, F.inline("found"))
+
+
 def closing_edges(bridges: DataFrame, by: list[str]) -> DataFrame:
     """``by, src, dst`` of the bridges that are taken out to open barrels, one for each cycle."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bridges.select(*by).schema)
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_closing(_links(pdf)), columns=["src", "dst"]).astype("int64")
-        for k, name in enumerate(by):
-            out.insert(k, name, pdf[name].iloc[0])
-        return out
+    def close(sheet: dict) -> list[dict]:
+        return [{"src": a, "dst": b} for a, b in _closing(_links(sheet["links"]))]
 
-    return bridges.select(*by, F.col("node").cast("long"), F.col("other").cast("long")).groupBy(*by).applyInPandas(close, f"{fields}, src long, dst long")
+    rows = bridges.groupBy(*by).agg(F.collect_list(F.struct(F.col("node").cast("long").alias("node"), F.col("other").cast("long").alias("other"))).alias("links"))
+    return _by_sheet(rows, by, close, [("src", "bigint", pa.int64()), ("dst", "bigint", pa.int64())])
 
 
 def opened(bridges: DataFrame, closing: DataFrame, by: list[str]) -> DataFrame:
@@ -107,14 +122,13 @@ def order_strands(strands: DataFrame, bridges: DataFrame, by: list[str]) -> Data
     from, on the side that its neighbours' sides leave; it points the same way if they are parallel, and
     its height follows from the bonded residues next to the strands' upper ends. Places count from 0.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in strands.select(*by).schema)
     names = ["node", "other", "side", "parallel", "low_own", "low_other", "high_own", "high_other"]
 
-    def order(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        span = {n: (lo, hi) for n, lo, hi in zip(own.node.tolist(), own.lo.tolist(), own.hi.tolist(), strict=True)}
-        facts = {(r["node"], r["other"]): r for r in links.to_dict("records")}
+    def order(sheet: dict) -> list[dict]:
+        span = {r["node"]: (r["lo"], r["hi"]) for r in sheet["strands"]}
+        facts = {(r["node"], r["other"]): r for r in sheet["links"]}
         near: dict[int, list[int]] = {n: [] for n in sorted(span)}
-        for a, b in facts:
+        for a, b in sorted(facts):
             near[a].append(b)
         cut = _closing(near)
         for a, b in cut:
@@ -133,16 +147,18 @@ def order_strands(strands: DataFrame, bridges: DataFrame, by: list[str]) -> Data
             turned[node] = turned[origin] == bool(fact["parallel"])
             low, high = span[node]
             own_at, other_at = (fact["low_own"], fact["low_other"]) if turned[node] else (fact["high_own"], fact["high_other"])
-            if pd.isna(own_at):
+            if own_at is None:
                 own_at = low if turned[node] else high
                 other_at = span[origin][0 if turned[node] == bool(fact["parallel"]) else 1]
             mine = own_at - low if turned[node] else high - own_at
             theirs = other_at - span[origin][0] if turned[origin] else span[origin][1] - other_at
             height[node] = height[origin] + theirs - mine
         least = min(place.values(), default=0)
-        rows = [(*key, n, place[n] - least, turned[n], int(height[n]), n in barrel) for n in place]
-        return pd.DataFrame(rows, columns=[*by, "node", "place", "reversed", "offset", "barrel"])
-
-    left = strands.select(*by, F.col("node").cast("long"), F.col("lo").cast("long"), F.col("hi").cast("long"))
-    schema = f"{fields}, node long, place long, reversed boolean, offset long, barrel boolean"
-    return left.groupBy(*by).cogroup(bridges.select(*by, *names).groupBy(*by)).applyInPandas(order, schema)
+        return [{"node": n, "place": place[n] - least, "reversed": turned[n], "offset": height[n], "barrel": n in barrel} for n in place]
+
+    strand, link = (F.struct(*[F.col(c) if c in ("side", "parallel") else F.col(c).cast("long").alias(c) for c in cs]) for cs in (["node", "lo", "hi"], names))
+    own = strands.select(*by, strand.alias("strand"))
+    both = own.unionByName(bridges.select(*by, link.alias("link")), allowMissingColumns=True)
+    rows = both.groupBy(*by).agg(F.collect_list("strand").alias("strands"), F.collect_list("link").alias("links"))
+    fields = [("node", "bigint", pa.int64()), ("place", "bigint", pa.int64()), ("reversed", "boolean", pa.bool_()), ("offset", "bigint", pa.int64()), ("barrel", "boolean", pa.bool_())]
+    return _by_sheet(rows, by, order, fields)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,12 @@ def test_texts(spark):
     assert sink.svg_constraints(spark.createDataFrame([(1, 0, 5), (1, 0, 4)], "s int, place int, node int"), ["s"]).first().element == '<constraint type="alignment" guide="0" members="4 5"/>'
     con = spark.createDataFrame([(1, 2, "TOP", "BOTTOM")], "src int, dst int, src_port string, dst_port string")
     assert con.select(sink.svg_connectors(con).alias("e")).first().e == '<path class="connector" data-src="1" data-src-port="TOP" data-dst="2" data-dst-port="BOTTOM"/>'
+
+
+def test_many_small_sheets_in_batches(spark):
+    """A frame for each sheet took milliseconds: these would take minutes."""
+    sheets = spark.range(60_000).select(F.col("id").alias("s"))
+    ring = sheets.select("s", F.inline(F.array(*[F.struct(F.lit(a).alias("node"), F.lit(b).alias("other")) for a, b in ((1, 2), (2, 3), (1, 3))])))
+    begun = time.monotonic()
+    cut = strands.closing_edges(ring, ["s"]).agg(F.count("*"), F.min("src"), F.max("src"), F.min("dst"), F.max("dst")).first()
+    assert tuple(cut) == (60_000, 1, 1, 3, 3) and time.monotonic() - begun < 30
