@@ -20,6 +20,8 @@ GAP_CODES, GAP_ANGLES = -1.0, -20.0
 DIAGONAL_CODES = ["e ", "xa", "xi", "xg"]
 #: Cells of the score tables that a task holds at once.
 BUNDLE = 1 << 21
+#: Tasks for each core in searches of all pairs.
+TASKS = 4
 
 
 def align_score(a: Column, b: Column, match: float = 1.0, mismatch: float = 0.0, gap: float = -1.0) -> Column:
@@ -175,13 +177,14 @@ def _grouped(one: pa.ListArray, two: pa.ListArray) -> Iterator[tuple[np.ndarray,
 def pairwise(database: DataFrame, queries: DataFrame, key: str, packed: str, compute: Callable[..., list[list]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
     """``query_id, key`` and the fields that ``compute`` finds, for every query's packed matrix with every matrix of a database.
 
-    ``queries`` has query_id and packed, a stated set; they go to the tasks in blocks, and the database
-    is not shuffled. ``compute`` gets the matrices of many pairs of equal orders and the codes they number (none for
+    ``queries`` has query_id and packed, a stated set; they go to the tasks in blocks, and the database, which is small
+    beside the pairs, is dealt to ``TASKS`` tasks for each core, whatever the number of its files. ``compute`` gets the matrices of many pairs of equal orders and the codes they number (none for
     angles), and returns a list of values for each field (name, SQL type, Arrow type). A null matrix is an empty one.
     """
     kinds = queries.schema["query_id"].dataType.simpleString(), database.schema[key].dataType.simpleString()
     asked = queries.select("query_id", F.col(packed).alias("_query"))
-    both = against(asked, database.select(key, packed), "query_id").select("query_id", key, "_query", packed)
+    dealt = database.select(key, packed).repartition(TASKS * database.sparkSession.sparkContext.defaultParallelism)
+    both = against(asked, dealt, "query_id").select("query_id", key, "_query", packed)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

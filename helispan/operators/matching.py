@@ -7,6 +7,8 @@ The original formats left both problems to external solvers; the searches here a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ PENALTY = -999.0
 STEPS, SHARPNESS, EVEN = 40, (0.2, 20.0), 12
 #: Single pairs that the improvement starts from besides.
 SEEDS = 24
+#: Matchings that are valued one and all, instead of by branch and bound.
+LISTED = 2_000
 
 
 def best_matching(w: np.ndarray, ordered: bool = True, products: bool = True) -> tuple[float, list[tuple[int, int]]]:
@@ -70,6 +74,50 @@ def best_matching(w: np.ndarray, ordered: bool = True, products: bool = True) ->
     return best, chosen or []
 
 
+def _countable(m: int, n: int, ordered: bool) -> bool:
+    """Whether m rows and n columns have ``LISTED`` matchings at most."""
+    fewer, more = min(m, n), max(m, n)
+    return (math.comb(m + n, m) if ordered else sum(math.comb(fewer, k) * math.perm(more, k) for k in range(fewer + 1))) <= LISTED
+
+
+def best_matchings(w: np.ndarray, ordered: bool = True, products: bool = True) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """``best_matching`` of many problems (pair, i, j, k, l) at once: those of few matchings are all valued, for all problems together.
+
+    Matchings are built up row by row in the order that decides among equals; what a pair adds is a sum of a few
+    cells, each a vector over the problems.
+    """
+    pairs, m, n = w.shape[:3]
+    if not _countable(m, n, ordered):
+        found = [best_matching(x, ordered, products) for x in w]
+        return np.array([value for value, _ in found]), [own for _, own in found]
+    if not products:
+        w = np.maximum(w, 0.0)
+    cells = np.ascontiguousarray(w.transpose(1, 2, 3, 4, 0))
+    both = cells + cells.transpose(2, 3, 0, 1, 4)
+    best, at, listed = np.full(pairs, -np.inf), np.zeros(pairs, np.int64), []
+    taken: list[tuple[int, int]] = []
+
+    def decide(row: int, value: np.ndarray) -> None:
+        nonlocal best
+        if row == m:
+            at[value > best + 1e-9] = len(listed)
+            best = np.maximum(best, value)
+            listed.append(list(taken))
+            return
+        for j in range(n):
+            if all(x < j if ordered else x != j for _, x in taken):
+                worth = value + cells[row, j, row, j]
+                for k, x in taken:
+                    worth += both[k, x, row, j]
+                taken.append((row, j))
+                decide(row + 1, worth)
+                taken.pop()
+        decide(row + 1, value)
+
+    decide(0, np.zeros(pairs))
+    return best, [listed[k] for k in at.tolist()]
+
+
 def quadratic_forms(scores: np.ndarray, types_a: np.ndarray, types_b: np.ndarray, typed: bool, ordered: bool) -> np.ndarray:
     """The problems (M6) of many pairs of matrices as symmetric forms over (i, j): pair, i, j, k, l.
 
@@ -140,29 +188,35 @@ def improve(q: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Values and matchings that no change of one pair betters: a pair is taken out, or one is put in for those in its row and column."""
     pairs, m, n = matched.shape
     flat, y = q.reshape(pairs, m * n, m * n), matched.reshape(pairs, m * n).copy()
-    every = np.arange(pairs)
     cells = np.arange(m * n)
+    row_of, column_of = cells // n, cells % n
+    g = np.einsum("pij,pj->pi", flat, y.astype(float))
+    left = np.arange(pairs)
+    # What no change betters is put aside; the others' slopes follow the cells that change.
     for _ in range(4 * m * n):
-        g = np.einsum("pij,pj->pi", flat, y.astype(float))
-        grid = y.reshape(pairs, m, n)
-        in_row = np.where(grid.any(axis=2), np.arange(m) * n + grid.argmax(axis=2), -1)[:, cells // n]
-        in_column = np.where(grid.any(axis=1), grid.argmax(axis=1) * n + np.arange(n), -1)[:, cells % n]
-        lost_row = np.where(in_row >= 0, g[every[:, None], in_row], 0.0)
-        lost_column = np.where(in_column >= 0, g[every[:, None], in_column], 0.0)
-        shared = np.where((in_row >= 0) & (in_column >= 0), flat[every[:, None], in_row, in_column], 0.0)
-        gain = np.where(y, -g, g - lost_row - lost_column + shared)
+        own, slope = y[left], g[left]
+        grid = own.reshape(len(left), m, n)
+        in_row = np.where(grid.any(axis=2), np.arange(m) * n + grid.argmax(axis=2), -1)[:, row_of]
+        in_column = np.where(grid.any(axis=1), grid.argmax(axis=1) * n + np.arange(n), -1)[:, column_of]
+        every = np.arange(len(left))[:, None]
+        lost_row = np.where(in_row >= 0, slope[every, in_row], 0.0)
+        lost_column = np.where(in_column >= 0, slope[every, in_column], 0.0)
+        shared = np.where((in_row >= 0) & (in_column >= 0), flat[left[:, None], in_row, in_column], 0.0)
+        gain = np.where(own, -slope, slope - lost_row - lost_column + shared)
         at = gain.argmax(axis=1)
-        better = gain[every, at] > 1e-9
-        if not better.any():
+        rows = np.flatnonzero(gain[np.arange(len(left)), at] > 1e-9)
+        if not len(rows):
             break
-        rows = np.flatnonzero(better)
-        cell = at[rows]
-        present = y[rows, cell]
+        cell, left = at[rows], left[rows]
+        present = own[rows, cell]
         for other in (in_row[rows, cell], in_column[rows, cell]):
-            some = (other >= 0) & ~present
-            y[rows[some], other[some]] = False
-        y[rows, cell] = ~present
-    value = np.einsum("pi,pij,pj->p", y.astype(float), flat, y.astype(float)) / 2
+            some = np.flatnonzero((other >= 0) & ~present)
+            out = some[y[left[some], other[some]]]
+            y[left[out], other[out]] = False
+            g[left[out]] -= flat[left[out], other[out]]
+        y[left, cell] = ~present
+        g[left] += np.where(present, -1.0, 1.0)[:, None] * flat[left, cell]
+    value = np.einsum("pi,pi->p", y.astype(float), np.einsum("pij,pj->pi", flat, y.astype(float))) / 2
     return value, y.reshape(pairs, m, n)
 
 
@@ -204,9 +258,16 @@ def search_exact(database: DataFrame, queries: DataFrame, key: str = "target_id"
     """
 
     def compute(a: np.ndarray, b: np.ndarray, names: list[str] | None) -> list[list]:
-        table = code_table(names or [], False)
-        found = [best_matching(table[x[:, :, None, None], y].transpose(0, 2, 1, 3), ordered, products) if len(x) and len(y) else (0.0, []) for x, y in zip(a, b, strict=True)]
-        return [[-value + 0.0 for value, _ in found], [[{"i": i, "j": j} for i, j in pairs] for _, pairs in found]]
+        if not a.shape[1] or not b.shape[1]:
+            return [[0.0] * len(a), [[]] * len(a)]
+        values, listed = [], []
+        step = max(1, (BUNDLE >> 3) // (a.shape[1] * b.shape[1]) ** 2)
+        for at in range(0, len(a), step):
+            scores = place_scores(a[at : at + step], b[at : at + step], names, False)
+            value, pairs = best_matchings(scores.transpose(0, 1, 3, 2, 4), ordered, products)
+            values += (-value + 0.0).tolist()
+            listed += [[{"i": i, "j": j} for i, j in own] for own in pairs]
+        return [values, listed]
 
     return pairwise(database, queries, key, packed, compute, [("objective", "double", pa.float64()), _MATCHES])
 

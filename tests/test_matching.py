@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helispan.operators import align, matching
 
@@ -110,3 +112,24 @@ def test_angles(spark):
     db = spark.createDataFrame([(1, [0.0, 0.5, 0.0, -1.0, 2.0, 0.0]), (2, [0.0, 0.5, 0.0])], "target_id long, packed array<double>")
     got = {r.target_id: r.objective for r in matching.search_relaxed(db, db.where("target_id = 1").selectExpr("target_id as query_id", "packed")).collect()}
     assert got[1] == -135.0 and got[2] == -45.0
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_many_matchings_at_once_are_those_of_branch_and_bound(ordered):
+    rng = np.random.default_rng(5)
+    for m, n in ((4, 5), (5, 3), (1, 4), (7, 7)):
+        w = rng.integers(-2, 3, (12 if m < 7 else 2, m, n, m, n)).astype(float)
+        for products in (True, False):
+            values, pairs = matching.best_matchings(w, ordered, products)
+            assert [(v, p) for v, p in zip(values.tolist(), pairs, strict=True)] == [matching.best_matching(x, ordered, products) for x in w]
+
+
+def test_small_problems_are_not_searched_one_by_one(spark, monkeypatch):
+    """One problem after another took about a millisecond each, all in one task for a database of one file."""
+    codes = ["e ", "OT", "xa", "PE", "LE", "e ", "RD", "OT", "PE", "xa", "LS", "RT", "OT", "PD", "e "]
+    db = spark.range(2000).select(F.col("id").alias("target_id"), F.array(*map(F.lit, codes)).alias("packed")).coalesce(1)
+    queries = db.where("target_id < 20").select(F.col("target_id").alias("query_id"), "packed")
+    found = matching.search_exact(db, queries)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    begun = time.monotonic()
+    assert found.select("objective").distinct().count() == 1 and time.monotonic() - begun < 25
