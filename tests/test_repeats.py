@@ -48,3 +48,16 @@ def test_cards_alike_and_keys_of_any_size(spark, tables, name):
 
 def test_blocks_of_domains_with_keys_of_any_size(spark, tables):
     assert _same(spark, "ddomain_segments", tables(orders=_orders([0, 1, 7, 2_000_000_000, 7_000_000_007]))) > 0
+
+
+def test_joined_databases_with_keys_of_seven_digits(spark, tables):
+    lines = {"l_orderkey": [0, 1, 1, 1234567, 1234567, 12345678], "l_linenumber": [1, 1, 2, 1, 2, 1], "l_partkey": [1, 2, 3, 4, 5, 6], "l_suppkey": [1, 2, 3, 4, 5, 6]}
+    made = {c: pa.array(v, pa.int64()) for c, v in lines.items()} | {"l_quantity": pa.array([1.0, 2, 3, 4, 5, 6])}
+    assert _same(spark, "joined_databases", tables(lineitem=made)) == 2
+
+
+def test_list_of_a_cluster_holds_all_its_members(spark, tables):
+    docs = {"doc_id": pa.array([1, 150, 990], pa.int64()), "lang": ["en"] * 3, "source": ["web"] * 3, "n_chars": pa.array([5, 9, 9], pa.int64()), "text": ["a"] * 3}
+    sf_dir = tables(documents=docs)
+    assert _same(spark, "nr_list", sf_dir) == 1
+    assert tuple(bindings.queries()["nr_list"](spark, sf_dir).select("representative", "others").first()) == (150, "1 990")
