@@ -85,15 +85,19 @@ def order_of(packed: Column) -> Column:
     return F.floor((F.sqrt(8.0 * F.size(packed) + 1) - 1) / 2).cast("int")
 
 
-def joined_text(both: DataFrame, name: str, form: str = "%6.3f") -> DataFrame:
-    """``name, n, text``: header, code triangle and number triangle of the matrices that were joined, smaller ones first."""
+def joined_text(both: DataFrame, name: str, form: str = "%6.3f", width: int | None = None) -> DataFrame:
+    """``name, n, text``: header, code triangle and number triangle of the matrices that were joined, smaller ones first.
+
+    A longer name than six characters moves what follows it, or is cut to ``width`` columns in the header.
+    """
     d = both.where("outcome = 'joined'").withColumn("n", order_of(F.col("one")))
 
     def triangle(cells: Column, cell) -> Column:  # noqa: ANN001
         return F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.array_join(F.transform(F.slice(cells, (j * (j + 1) / 2).cast("int") + 1, j + 1), cell), " ")), "\n")
 
     number = lambda x: F.format_string(form, F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x.cast("double")))
-    text = F.concat(F.format_string("%-6s %4d\n", F.upper(F.col(name).cast("string")), "n"), triangle(F.col("one"), lambda x: x), F.lit("\n"), triangle(F.col("two"), number))
+    title = F.upper(F.col(name).cast("string"))
+    text = F.concat(F.format_string("%-6s %4d\n", F.substring(title, 1, width) if width else title, "n"), triangle(F.col("one"), lambda x: x), F.lit("\n"), triangle(F.col("two"), number))
     return d.select(name, "n", text.alias("text")).orderBy("n", name)
 
 
