@@ -1,12 +1,14 @@
 """Files whose numbers, cards or names repeat, as larger tables have them."""
 
 import os
+import random
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from helispan.operators import pairs
 from helispan.plans import bindings
 from tests.oracle import SF_DIR, TABLES, compare
 
@@ -70,3 +72,20 @@ def test_short_axes_that_are_nearly_parallel(spark, tables, name):
     near = [[0.3, 0.1, 0.2, *axis, -0.1, 0.4, 0.25, 0.1, 0.02 + d, -0.03, 0.2, -0.3, 0.15, 0.1, 0.02, d - 0.03] for d in (1e-2, 1e-3, 2e-4)]
     made = {"vec_id": pa.array([1, 2, 3], pa.int64()), "embedding": pa.array(near, pa.list_(pa.float32())), "label": pa.array([0, 1, 2], pa.int32())}
     assert _same(spark, name, tables(embeddings=made)) == 3
+
+
+def test_products_in_blocks(spark):
+    """Rows of several blocks, null vectors and labels, other lengths; the best are those of all rows, in time that rows one by one would not keep."""
+    rng = random.Random(3)
+    rows = [(k, [rng.random() for _ in range(3)], k % 2) for k in range(1200)] + [(2000, None, 1), (2001, [1.0, None, 2.0], 1), (2002, [1.0, 2.0], None)]
+    d = spark.createDataFrame(rows, "k long, v array<double>, l int")
+    vectors = {k: v for k, v, _ in rows}
+    got = {(r.query_id, r.k): (r.score, r.label) for r in pairs.products(d.where("k % 100 = 0"), d, "k", "v", "l").collect()}
+    assert len(got) == 13 * 1203 - 13
+    for (q, k), (score, label) in got.items():
+        a, b = vectors[q], vectors[k]
+        fits = a is not None and b is not None and len(a) == len(b) and None not in a + b
+        assert score == (round(sum(x * y for x, y in zip(a, b)), 9) if fits else None) and label == (None if k == 2002 else int(q % 2 == k % 2) if q < 2000 and k < 2000 else int((1 if q >= 2000 else q % 2) == (1 if k >= 2000 else k % 2)))
+    best = pairs.products(d.where("k = 100"), d.where("k < 2000"), "k", "v", "l", best=5).collect()
+    top = sorted((-s, k) for (q, k), (s, _) in got.items() if q == 100 and s is not None)[:5]
+    assert sorted((-r.score, r.k) for r in best)[:5] == top and len(best) < 300
