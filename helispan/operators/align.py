@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -233,24 +232,20 @@ def match_constraints(matches: DataFrame, key: str, products: bool = True) -> Da
     A row and a column match once; a variable ``x_i_j_k_l`` of two matches that do not cross is at most
     each of both, and, with ``products``, at least their sum less one; matches that cross exclude each other.
     """
+    row = lambda constraint, variable, coefficient, bound: F.struct(constraint.alias("constraint"), variable.alias("variable"), F.lit(coefficient).alias("coefficient"), F.lit(bound).alias("bound"))
     y = F.concat_ws("_", F.lit("y"), "i", "j")
-    one = matches.select(key, F.concat_ws("_", F.lit("row"), "i").alias("constraint"), y.alias("variable")).unionByName(matches.select(key, F.concat_ws("_", F.lit("column"), "j").alias("constraint"), y.alias("variable")))
-    parts = [one.select("*", F.lit(1).alias("coefficient"), F.lit(1).alias("bound"))]
+    one = matches.select(key, F.inline(F.array(row(F.concat_ws("_", F.lit("row"), "i"), y, 1, 1), row(F.concat_ws("_", F.lit("column"), "j"), y, 1, 1))))
     a, b = matches.select(key, "i", "j"), matches.select(key, F.col("i").alias("k"), F.col("j").alias("l"))
-    two = a.join(b, key).where("i < k and j <> l")
-    ends = [F.concat_ws("_", F.lit("y"), "i", "j"), F.concat_ws("_", F.lit("y"), "k", "l")]
-    pair = F.concat_ws("_", F.lit("x"), "i", "j", "k", "l")
-
-    def rows(of: DataFrame, name: str, bound: int, terms: list[tuple[Column, int]]) -> DataFrame:
-        listed = F.array(*[F.struct(v.alias("variable"), F.lit(c).alias("coefficient")) for v, c in terms])
-        return of.select(key, F.concat_ws("_", F.lit(name), "i", "j", "k", "l").alias("constraint"), F.inline(listed), F.lit(bound).alias("bound")).select(key, "constraint", "variable", "coefficient", "bound")
-
-    straight = two.where("j < l")
-    parts += [rows(straight, "first", 0, [(pair, 1), (ends[0], -1)]), rows(straight, "second", 0, [(pair, 1), (ends[1], -1)])]
+    # Each two matches are met once, and give all their rows there.
+    two = a.join(b, key).where("i < k and j <> l").select(key, (F.col("j") < F.col("l")).alias("straight"), F.concat_ws("_", "i", "j", "k", "l").alias("four"), y.alias("y1"), F.concat_ws("_", F.lit("y"), "k", "l").alias("y2"))
+    named = lambda name: F.concat(F.lit(f"{name}_"), "four")
+    y1, y2, x = F.col("y1"), F.col("y2"), F.concat(F.lit("x_"), "four")
+    first, second, both, cross = map(named, ("first", "second", "both", "cross"))
+    kept = [row(first, x, 1, 0), row(first, y1, -1, 0), row(second, x, 1, 0), row(second, y2, -1, 0)]
     if products:
-        parts.append(rows(straight, "both", 1, [(ends[0], 1), (ends[1], 1), (pair, -1)]))
-    parts.append(rows(two.where("l < j"), "cross", 1, [(ends[0], 1), (ends[1], 1)]))
-    return reduce(DataFrame.unionByName, parts)
+        kept += [row(both, y1, 1, 1), row(both, y2, 1, 1), row(both, x, -1, 1)]
+    crossed = F.array(row(cross, y1, 1, 1), row(cross, y2, 1, 1))
+    return one.unionByName(two.select(key, F.inline(F.when(F.col("straight"), F.array(*kept)).otherwise(crossed))))
 
 
 def quadratic_terms(a: DataFrame, b: DataFrame, key: str, score: Column) -> DataFrame:

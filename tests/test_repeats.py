@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from helispan.operators import pairs
+from helispan.operators import align, pairs
 from helispan.plans import bindings
 from tests.oracle import SF_DIR, TABLES, compare
 
@@ -89,3 +89,10 @@ def test_products_in_blocks(spark):
     best = pairs.products(d.where("k = 100"), d.where("k < 2000"), "k", "v", "l", best=5).collect()
     top = sorted((-s, k) for (q, k), (s, _) in got.items() if q == 100 and s is not None)[:5]
     assert sorted((-r.score, r.k) for r in best)[:5] == top and len(best) < 300
+
+
+def test_constraints_meet_each_two_matches_once(spark):
+    matches = spark.createDataFrame([(1, i, j) for i in range(3) for j in range(3)], "matrix int, i int, j int")
+    d = align.match_constraints(matches, "matrix")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert d.count() == 18 + 9 * 7 + 9 * 2
