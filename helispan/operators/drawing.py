@@ -8,7 +8,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,68 +247,257 @@ class _Room:
         return x, y
 
 
+#: Drawings of up to so many boxes are placed many at once, and so many pairs of boxes go into a block of them.
+TOGETHER, BLOCK = 128, 1 << 20
+_SIDES = list(_AWAY)
+_STEPS = np.array(list(_AWAY.values()), dtype=np.float64)
+_PLACED = [("id", "long", pa.int64()), ("step", "long", pa.int64()), ("reference", "long", pa.int64()), ("position", "string", pa.string()), ("x", "double", pa.float64()), ("y", "double", pa.float64())]
+
+
+def _place_alone(own: list[tuple[int, bool, float, float]], near: list[tuple[float, int, int, str]], gap: float) -> list[tuple]:
+    """Rows of ``_PLACED`` of one drawing: boxes id, sheet, width and height, and pairs dist, ref, test and position."""
+    own = sorted(own, key=lambda r: (not r[1], -r[2] * r[3], r[0]))
+    size = {i: (w, h) for i, _, w, h in own}
+    towards: dict[tuple[int, int], str] = {}
+    of: dict[int, list[tuple[float, int, int, str]]] = {}
+    for d, r, t, p in sorted(near, key=lambda x: x[:3]):
+        if r in size and t in size and r != t and (r, t) not in towards:
+            towards[r, t] = p
+            of.setdefault(r, []).append((d, r, t, p))
+    room, rows, heap = _Room(gap), [], []
+
+    def put(node: int, at: tuple[float, float], origin: int | None, position: str | None) -> None:
+        room.boxes[node] = (*at, *size[node])
+        rows.append((node, len(rows), origin, position, *at))
+        for x in of.get(node, []):
+            heapq.heappush(heap, x)
+
+    def search(origin: int, node: int, position: str) -> tuple[tuple[float, float], int, str]:
+        at = room.beside(origin, position, *size[node])
+        taken = room.hit(*at, *size[node])
+        if taken is None:
+            return at, origin, position
+        if (taken, node) in towards:
+            other = towards[taken, node]
+            at = room.beside(taken, other, *size[node])
+            if room.hit(*at, *size[node]) is None:
+                return at, taken, other
+        for other in layout.FREE_SLOTS:
+            at = room.beside(origin, other, *size[node])
+            if room.hit(*at, *size[node]) is None:
+                return at, origin, other
+        return room.beyond(*room.beside(origin, position, *size[node]), *size[node], position), origin, position
+
+    for node in size:
+        if node in room.boxes:
+            continue
+        if not room.boxes:
+            put(node, (0.0, 0.0), None, None)
+        else:
+            right = max(x + w / 2 for x, _, w, _ in room.boxes.values())
+            put(node, (right + gap + size[node][0] / 2, 0.0), None, None)
+        while heap:
+            _, origin, test, position = heapq.heappop(heap)
+            if test not in room.boxes:
+                at, origin, position = search(origin, test, position)
+                put(test, at, origin, position)
+    return rows
+
+
+def _place_together(w: np.ndarray, h: np.ndarray, seed: np.ndarray, dist: np.ndarray, side: np.ndarray, gap: float) -> tuple[np.ndarray, ...]:
+    """What ``_place_alone`` does, for many drawings of n boxes each, box by box of all of them.
+
+    Given are sizes and ranks as seeds, one row for each drawing with boxes in order of their ids, and dist and side (-1: no
+    pair) of each box (second axis) to each (third). Returned are, by step, the boxes, their references, sides (-1: none) and places.
+    """
+    count, n = w.shape
+    every = np.arange(count)
+    x, y, step, done = np.zeros((count, n)), np.zeros((count, n)), np.full((count, n), n), np.zeros((count, n), bool)
+    # The nearest placed box of each one that is not placed.
+    near, of = np.full((count, n), np.inf), np.full((count, n), n)
+    out = tuple(np.empty((count, n), t) for t in (np.int64, np.int64, np.int64, np.float64, np.float64))
+
+    def beside(g: np.ndarray, other: np.ndarray, position: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dx, dy = _STEPS[position].T
+        return x[g, other] + dx * ((w[g, other] + w[g, test]) / 2 + gap), y[g, other] + dy * ((h[g, other] + h[g, test]) / 2 + gap)
+
+    def hit(g: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, test: np.ndarray) -> np.ndarray:
+        """The box placed first of those in the way, n where there is room."""
+        close = done[g] & (np.abs(at_x[:, None] - x[g]) < (w[g, test][:, None] + w[g]) / 2 + gap - TOUCH) & (np.abs(at_y[:, None] - y[g]) < (h[g, test][:, None] + h[g]) / 2 + gap - TOUCH)
+        return np.where(close.any(axis=1), np.where(close, step[g], n).argmin(axis=1), n)
+
+    for k in range(n):
+        least = near.min(axis=1)
+        some = least < np.inf
+        tied = near == least[:, None]
+        first = np.where(tied, of, n).min(axis=1)
+        test = np.where(some, (tied & (of == first[:, None])).argmax(axis=1), np.where(done, n, seed).argmin(axis=1))
+        origin, position = np.where(some, first, -1), np.full(count, -1)
+        at_x, at_y = np.zeros(count), np.zeros(count)
+        if k:
+            at_x = np.where(done, x + w / 2, -np.inf).max(axis=1) + gap + w[every, test] / 2
+        g = np.flatnonzero(some)
+        if len(g):
+            t, o = test[g], origin[g]
+            p = side[g, o, t]
+            position[g] = p
+            at_x[g], at_y[g] = start_x, start_y = beside(g, o, p, t)
+            taken = hit(g, start_x, start_y, t)
+            left = np.flatnonzero(taken < n)
+
+            def tried(left: np.ndarray, other: np.ndarray, sides: np.ndarray) -> np.ndarray:
+                """Puts those that find room beside the others given, and returns which are left."""
+                rows = g[left]
+                nx, ny = beside(rows, other, sides, t[left])
+                free = hit(rows, nx, ny, t[left]) == n
+                found = rows[free]
+                at_x[found], at_y[found], origin[found], position[found] = nx[free], ny[free], other[free], sides[free]
+                return left[~free]
+
+            if len(left):
+                other = side[g[left], taken[left], t[left]]
+                known = other >= 0
+                left = np.sort(np.concatenate([left[~known], tried(left[known], taken[left[known]], other[known])]))
+            for slot in layout.FREE_SLOTS:
+                if len(left):
+                    left = tried(left, o[left], np.full(len(left), _SIDES.index(slot)))
+            px, py = start_x[left], start_y[left]
+            lying = p[left] < 2
+            going = np.arange(len(left))
+            while len(going):
+                rows, tests = g[left[going]], t[left[going]]
+                taken = hit(rows, px[going], py[going], tests)
+                on = taken < n
+                going, rows, tests, taken = going[on], rows[on], tests[on], taken[on]
+                nx, ny = beside(rows, taken, p[left[going]], tests)
+                px[going], py[going] = np.where(lying[going], nx, px[going]), np.where(lying[going], py[going], ny)
+            at_x[g[left]], at_y[g[left]] = px, py
+        x[every, test], y[every, test], step[every, test], done[every, test] = at_x, at_y, k, True
+        for o, v in zip(out, (test, origin, position, at_x, at_y), strict=True):
+            o[:, k] = v
+        new = dist[every, test]
+        closer = (side[every, test] >= 0) & ((new < near) | ((new == near) & (test[:, None] < of)))
+        near, of = np.where(closer, new, near), np.where(closer, test[:, None], of)
+        near[done] = np.inf
+    return out
+
+
+def _filled(column: pa.Array, what: str) -> np.ndarray:
+    if column.null_count:
+        raise ValueError(f"a box without {what}")
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _placed(drawings: pa.Array, boxes: pa.ListArray, near: pa.ListArray, gap: float) -> pa.RecordBatch:
+    """``_d`` (of ``drawings``) and the fields of ``_PLACED`` for the boxes of each drawing."""
+    e, p = boxes.flatten(), near.flatten()
+    sizes = lambda a: np.where(a.is_null().to_numpy(zero_copy_only=False), 0, np.diff(a.offsets.to_numpy()))
+    own, of = (np.repeat(np.arange(len(drawings)), sizes(a)) for a in (boxes, near))
+    ids, w, h = (_filled(e.field(c), c) for c in ("id", "width", "height"))
+    sheet = np.asarray(pc.fill_null(pc.equal(e.field("kind"), "sheet"), False).to_numpy(zero_copy_only=False), bool)
+    whole = np.logical_and.reduce([p.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("ref", "test", "dist", "position")])
+    p, of = p.filter(pa.array(whole)), of[whole]
+    ref, test, dist = (p.field(c).to_numpy(zero_copy_only=False) for c in ("ref", "test", "dist"))
+    side = pc.index_in(p.field("position"), pa.array(_SIDES))
+    if side.null_count:
+        raise ValueError(f"a position that is none of {', '.join(_SIDES)}")
+    side = side.to_numpy(zero_copy_only=False)
+
+    # Boxes by drawing and id; of a repeated id the largest one decides when it comes and the smallest one its size.
+    order = np.lexsort((-(w * h), ~sheet, ids, own))
+    own, ids, w, h, sheet = (c[order] for c in (own, ids, w, h, sheet))
+    first = np.ones(len(ids), bool)
+    first[1:] = (own[1:] != own[:-1]) | (ids[1:] != ids[:-1])
+    area, last = (w * h)[first], np.roll(first, -1)
+    own, ids, w, h, sheet = own[first], ids[first], w[last], h[last], sheet[first]
+    starts = np.searchsorted(own, np.arange(len(drawings) + 1))
+    counts = np.diff(starts)
+    seed = np.empty(len(ids), np.int64)
+    seed[np.lexsort((ids, -area, ~sheet, own))] = np.arange(len(ids))
+    names, number = np.unique(np.concatenate([ids, ref, test]), return_inverse=True)
+    key = own * len(names) + number[: len(ids)]
+
+    def found(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(key, of * len(names) + numbers), max(len(key) - 1, 0))
+        return at, (key[at] == of * len(names) + numbers) if len(key) else np.zeros(len(of), bool)
+
+    (a, known), (b, too) = (found(number[len(ids) + i * len(ref) : len(ids) + (i + 1) * len(ref)]) for i in range(2))
+    some = known & too & (a != b)
+    # Of pairs given twice the nearer one is written last and stays; what is no number comes after all.
+    far = np.finfo(np.float64).max
+    dist = np.where(np.isnan(dist), far, np.minimum(dist, far))[some]
+    nearer = np.argsort(dist, kind="stable")[::-1]
+    a, b, dist, side, of = a[some][nearer], b[some][nearer], dist[nearer], side[some][nearer], of[some][nearer]
+    by_drawing = np.argsort(of, kind="stable")
+    a, b, dist, side = (c[by_drawing] for c in (a, b, dist, side))
+    pair_starts = np.searchsorted(of[by_drawing], np.arange(len(drawings) + 1))
+
+    def within(starts: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows of drawings ``g``, and the place in ``g`` of each."""
+        lengths = starts[g + 1] - starts[g]
+        at = np.repeat(np.arange(len(g)), lengths)
+        return np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[g][at], at
+
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for n in np.unique(counts[counts > 0]).tolist():
+        every = np.flatnonzero(counts == n)
+        if n > TOGETHER:
+            for d in every.tolist():
+                i, j = slice(starts[d], starts[d + 1]), slice(pair_starts[d], pair_starts[d + 1])
+                pairs = zip(dist[j].tolist(), ids[a[j]].tolist(), ids[b[j]].tolist(), [_SIDES[s] for s in side[j]], strict=True)
+                rows = list(zip(*_place_alone(list(zip(ids[i].tolist(), sheet[i].tolist(), w[i].tolist(), h[i].tolist(), strict=True)), list(pairs), gap), strict=True))
+                at = {v: k for k, v in enumerate(ids[i].tolist(), starts[d])}
+                both = [[at.get(v, -1) for v in rows[c]] for c in (0, 2)]
+                sides = [-1 if s is None else _SIDES.index(s) for s in rows[3]]
+                for c, v in zip(columns, (np.full(n, d), both[0], rows[1], both[1], sides, rows[4], rows[5]), strict=True):
+                    c.append(np.asarray(v))
+            continue
+        block = max(1, BLOCK // (n * n))
+        for cut in range(0, len(every), block):
+            g = every[cut : cut + block]
+            i, j = starts[g][:, None] + np.arange(n), within(pair_starts, g)
+            cell = (j[1], a[j[0]] - starts[g][j[1]], b[j[0]] - starts[g][j[1]])
+            to, sides = np.full((len(g), n, n), np.inf), np.full((len(g), n, n), -1)
+            to[cell], sides[cell] = dist[j[0]], side[j[0]]
+            rank = seed[i].argsort(axis=1).argsort(axis=1)
+            node, origin, position, x, y = _place_together(w[i], h[i], rank, to, sides, gap)
+            base = starts[g][:, None]
+            made = (np.repeat(g, n), node + base, np.tile(np.arange(n), len(g)), np.where(origin < 0, -1, origin + base), position, x, y)
+            for c, v in zip(columns, made, strict=True):
+                c.append(v.ravel())
+    d, node, step, origin, position, x, y = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(columns, (np.int64,) * 5 + (np.float64,) * 2, strict=True))
+    none = origin < 0
+    reference = pa.array(ids[origin] if len(ids) else origin, pa.int64(), mask=none)
+    position = pa.array(_SIDES).take(pa.array(position, pa.int32(), mask=none))
+    return pa.RecordBatch.from_arrays([drawings.take(pa.array(d)), pa.array(ids[node] if len(ids) else node, pa.int64()), pa.array(step, pa.int64()), reference, position, pa.array(x), pa.array(y)], names=["_d", *(f[0] for f in _PLACED)])
+
+
+def place_listed(drawings: DataFrame, by: list[str], gap: float = layout.GAP) -> DataFrame:
+    """What ``place_boxes`` gives, for a row for each drawing: by, elements (an array of id, kind, width, height) and pairs (of ref, test, dist, position)."""
+    key = F.struct(*by)
+    near = "array<struct<ref:bigint,test:bigint,dist:double,position:string>>"
+    rows = drawings.select(key.alias("_d"), F.col("elements").cast("array<struct<id:bigint,kind:string,width:double,height:double>>").alias("_e"), F.coalesce(F.col("pairs").cast(near), F.array().cast(near)).alias("_p"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _placed(*batch.columns, gap)
+
+    fields = ", ".join(f"{name} {t}" for name, t, _ in _PLACED)
+    return rows.mapInArrow(made, f"_d {rows.schema['_d'].dataType.simpleString()}, {fields}").select("_d.*", *[f[0] for f in _PLACED])
+
+
 def place_boxes(elements: DataFrame, pairs: DataFrame, by: list[str], gap: float = layout.GAP) -> DataFrame:
     """``by, id, step, reference, position, x, y``: centres of boxes, no two nearer than a gap.
 
     ``elements`` has id, kind, width and height; ``pairs`` has, in both directions, ref, test, dist and position, rows with nulls are ignored. The largest sheet
-    is the seed at 0, 0, or the largest box; then comes the element nearest to any placed one, off a heap, beside it. Where
+    is the seed at 0, 0, or the largest box; then comes the element nearest to any placed one, beside it. Where
     another box is in the way, the same is tried beside that one, once, then the free sides of the reference; at last the
     element goes on in its direction until there is room. Of equals the least id comes first. Elements that no pair connects with
     placed ones follow to the right of all.
     """
-    def place(both: list[dict]) -> list[dict]:
-        own = sorted((r for r in both if r["ref"] is None), key=lambda r: (r["kind"] != "sheet", -r["width"] * r["height"], r["id"]))
-        size = {r["id"]: (r["width"], r["height"]) for r in own}
-        towards: dict[tuple[int, int], str] = {}
-        of: dict[int, list[tuple[float, int, int, str]]] = {}
-        for d, r, t, p in sorted(((r["dist"], r["ref"], r["id"], r["position"]) for r in both if None not in (r["ref"], r["dist"], r["position"])), key=lambda x: x[:3]):
-            if r in size and t in size and r != t and (r, t) not in towards:
-                towards[r, t] = p
-                of.setdefault(r, []).append((d, r, t, p))
-        room, rows, heap = _Room(gap), [], []
-
-        def put(node: int, at: tuple[float, float], origin: int | None, position: str | None) -> None:
-            room.boxes[node] = (*at, *size[node])
-            rows.append({"id": node, "step": len(rows), "reference": origin, "position": position, "x": at[0], "y": at[1]})
-            for x in of.get(node, []):
-                heapq.heappush(heap, x)
-
-        def search(origin: int, node: int, position: str) -> tuple[tuple[float, float], int, str]:
-            at = room.beside(origin, position, *size[node])
-            taken = room.hit(*at, *size[node])
-            if taken is None:
-                return at, origin, position
-            if (taken, node) in towards:
-                other = towards[taken, node]
-                at = room.beside(taken, other, *size[node])
-                if room.hit(*at, *size[node]) is None:
-                    return at, taken, other
-            for other in layout.FREE_SLOTS:
-                at = room.beside(origin, other, *size[node])
-                if room.hit(*at, *size[node]) is None:
-                    return at, origin, other
-            return room.beyond(*room.beside(origin, position, *size[node]), *size[node], position), origin, position
-
-        for node in size:
-            if node in room.boxes:
-                continue
-            if not room.boxes:
-                put(node, (0.0, 0.0), None, None)
-            else:
-                right = max(x + w / 2 for x, _, w, _ in room.boxes.values())
-                put(node, (right + gap + size[node][0] / 2, 0.0), None, None)
-            while heap:
-                _, origin, test, position = heapq.heappop(heap)
-                if test not in room.boxes:
-                    at, origin, position = search(origin, test, position)
-                    put(test, at, origin, position)
-        return rows
-
-    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("ref", "long"), ("dist", "double"), ("position", "string"), ("kind", "string"), ("width", "double"), ("height", "double"))}
-    rows = elements.select(*by, F.col("id").cast("long").alias("id"), "kind", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), *[none[c] for c in ("ref", "dist", "position")])
-    rows = rows.unionByName(pairs.select(*by, F.col("test").cast("long").alias("id"), *[none[c] for c in ("kind", "width", "height")], F.col("ref").cast("long").alias("ref"), F.col("dist").cast("double").alias("dist"), "position"))
-    fields = [("id", "long", pa.int64()), ("step", "long", pa.int64()), ("reference", "long", pa.int64()), ("position", "string", pa.string()), ("x", "double", pa.float64()), ("y", "double", pa.float64())]
-    return _by_drawing(rows, by, place, fields)
+    own, near = F.struct("id", "kind", "width", "height"), F.struct("ref", "test", "dist", "position")
+    rows = elements.select(*by, own.alias("_e"), F.lit(None).alias("_p")).unionByName(pairs.select(*by, F.lit(None).alias("_e"), near.alias("_p")))
+    return place_listed(rows.groupBy(*by).agg(F.collect_list("_e").alias("elements"), F.collect_list("_p").alias("pairs")), by, gap)
 
 
 def place_domains(placed: DataFrame, pairs: DataFrame, by: list[str], domain: str = "domain", gap: float = layout.DOMAIN_GAP) -> DataFrame:
