@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,35 +98,55 @@ def svg_drawing(shapes: DataFrame, clusters: DataFrame, connectors: DataFrame, c
     src, dst, x1, y1, x2, y2, src_port, dst_port and colour; ``constraints`` guide, axis and id (of the shapes aligned). Elements come in this order,
     each kind by its own names. A member or end that is no shape of the drawing is left out, as is what then refers to nothing.
     """
-    number = Window.partitionBy(*by).orderBy("id")
-    n_shapes = Window.partitionBy(*by)
-    s = shapes.withColumn("_n", F.row_number().over(number)).withColumn("_all", F.count("*").over(n_shapes))
-    numbers = s.select(*by, "id", "_n")
-
-    def members(rows: DataFrame, name: list[str]) -> DataFrame:
-        listed = F.array_join(F.transform(F.sort_array(F.collect_set("_n")), lambda x: x.cast("string")), " ")
-        return rows.join(numbers, [*by, "id"]).groupBy(*by, *name).agg(listed.alias("_m"))
-
-    ends = [numbers.select(*by, F.col("id").alias(e), F.col("_n").alias(f"_{e}")) for e in ("src", "dst")]
-    joined = connectors.join(ends[0], [*by, "src"]).join(ends[1], [*by, "dst"])
-    box = [F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2]
-    rect = F.format_string('<rect id="%d" class="%s" x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="#%s"><title>%s</title></rect>', "_n", "kind", *box, "width", "height", "fill", escaped(F.coalesce("label", F.lit(""))))
-    parts = [
-        s.select(*by, F.lit(0).alias("_k"), F.struct(F.col("_n").cast("string").alias("a"), F.lit("").alias("b")).alias("_o"), F.col("_n").alias("_first"), rect.alias("_text")),
-        members(clusters, ["cluster", "fill"]).select(*by, F.lit(1), F.struct(F.col("cluster").cast("string"), F.lit("")), F.lit(None), F.format_string('<g id="%%d" class="cluster" data-members="%s" fill="#%s"><title>%s</title></g>', "_m", "fill", F.replace(escaped(F.col("cluster").cast("string")), F.lit("%"), F.lit("%%")))),
-        joined.select(*by, F.lit(2), F.struct(F.lpad(F.col("_src").cast("string"), 12, "0"), F.lpad(F.col("_dst").cast("string"), 12, "0")), F.lit(None), F.format_string('<path id="%%d" class="connector" d="M %.2f %.2f L %.2f %.2f" data-src="%d" data-src-port="%s" data-dst="%d" data-dst-port="%s" stroke="#%s"/>', "x1", "y1", "x2", "y2", "_src", "src_port", "_dst", "dst_port", "colour")),
-        members(constraints, ["guide", "axis"]).select(*by, F.lit(3), F.struct(F.lpad(F.col("guide").cast("string"), 12, "0"), F.col("axis")), F.lit(None), F.format_string('<constraint id="%%d" type="alignment" axis="%s" members="%s"/>', "axis", "_m")),
-    ]
-    rows = reduce(DataFrame.union, parts)
+    parts = {"shapes": ["id", "kind", "x", "y", "width", "height", "fill", "label"], "clusters": ["cluster", "fill", "id"], "connectors": ["src", "dst", "x1", "y1", "x2", "y2", "src_port", "dst_port", "colour"], "constraints": ["guide", "axis", "id"]}
+    tables = dict(zip(parts, (shapes, clusters, connectors, constraints), strict=True))
+    rows = [tables[p].select(*by, *[(F.struct(*c) if p == q else F.lit(None)).alias(q) for q, c in parts.items()]) for p in parts]
+    return svg_listed(reduce(DataFrame.unionByName, rows).groupBy(*by).agg(*[F.collect_list(p).alias(p) for p in parts]), by)
+
+
+def svg_listed(drawings: DataFrame, by: list[str]) -> DataFrame:
+    """What ``svg_drawing`` gives, for a row for each drawing: by and the arrays shapes, clusters, connectors and constraints of its columns.
+
+    Each drawing is written in its row, so that nothing is sorted or joined again; drawings without shapes, or with a null in ``by``, are left out.
+    """
+    box = lambda s: (s["x"] - s["width"] / 2, s["y"] - s["height"] / 2)
+    label = lambda x: escaped(F.coalesce(x.cast("string"), F.lit("")))
+    rect = lambda s, n: F.format_string('<rect id="%d" class="%s" x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="#%s"><title>%s</title></rect>', n, s["kind"], *box(s), s["width"], s["height"], s["fill"], label(s["label"]))
+    d = drawings.where(F.size("shapes") > 0).dropna(subset=by).withColumn("_s", F.sort_array("shapes"))
+    ids = F.transform("_s", lambda s, i: F.struct(s["id"].alias("id"), (i + 1).alias("n")))
+    d = d.select("*", ids.alias("_ids"), F.size("_s").alias("_n"))
+
+    def numbers(name: Column) -> Column:
+        return F.transform(F.filter("_ids", lambda s: s["id"] == name), lambda s: s["n"])
+
+    def grouped(rows: str, names: list[str], sort: Callable[[Column], list[Column]], text: Callable[[Column, Column], Column]) -> Column:
+        """The texts of groups of members that are shapes, in order."""
+        same = lambda a, b: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+        heads = F.array_distinct(F.transform(rows, lambda r: F.struct(*[r[n].alias(n) for n in names])))
+        listed = lambda h: F.sort_array(F.array_distinct(F.flatten(F.transform(F.filter(rows, lambda r: same(r, h)), lambda r: numbers(r["id"])))))
+        found = F.filter(F.transform(heads, lambda h: F.struct(h.alias("h"), listed(h).alias("m"))), lambda g: F.size(g["m"]) > 0)
+        members = lambda g: F.array_join(F.transform(g["m"], lambda n: n.cast("string")), " ")
+        return F.transform(F.sort_array(F.transform(found, lambda g: F.struct(*[c.alias(f"o{i}") for i, c in enumerate(sort(g["h"]))], text(g["h"], members(g)).alias("t")))), lambda g: g["t"])
+
+    place = lambda n: F.lpad(n.cast("string"), 12, "0")
+    path = lambda c, a, b: F.format_string('class="connector" d="M %.2f %.2f L %.2f %.2f" data-src="%d" data-src-port="%s" data-dst="%d" data-dst-port="%s" stroke="#%s"/>', c["x1"], c["y1"], c["x2"], c["y2"], a, c["src_port"], b, c["dst_port"], c["colour"])
+    line = lambda c, a, b: F.struct(place(a).alias("a"), place(b).alias("b"), path(c, a, b).alias("t"))
+    lines = F.flatten(F.transform("connectors", lambda c: F.flatten(F.transform(numbers(c["src"]), lambda a: F.transform(numbers(c["dst"]), lambda b: line(c, a, b))))))
+    found = {
+        "_g": grouped("clusters", ["cluster", "fill"], lambda h: [h["cluster"].cast("string")], lambda h, m: F.format_string('class="cluster" data-members="%s" fill="#%s"><title>%s</title></g>', m, h["fill"], escaped(h["cluster"].cast("string")))),
+        "_path": F.transform(F.sort_array(lines), lambda c: c["t"]),
+        "_constraint": grouped("constraints", ["guide", "axis"], lambda h: [place(h["guide"]), h["axis"]], lambda h, m: F.format_string('type="alignment" axis="%s" members="%s"/>', h["axis"], m)),
+    }
+    d = d.select(*by, "_s", "_n", *[c.alias(k) for k, c in found.items()])
     # Shapes keep the numbers that the others refer to; all others follow.
-    order = Window.partitionBy(*by).orderBy("_k", F.col("_first").asc_nulls_last(), "_o", "_text")
-    rows = rows.withColumn("_id", F.row_number().over(order))
-    text = F.when(F.col("_k") == 0, F.col("_text")).otherwise(F.expr("format_string(_text, _id)"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_id", text.alias("t")))), lambda x: x["t"]), "\n")
-    bodies = rows.groupBy(*by).agg(body.alias("_body"))
-    left, top, right, bottom = F.min(box[0]), F.min(box[1]), F.max(F.col("x") + F.col("width") / 2), F.max(F.col("y") + F.col("height") / 2)
-    view = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="%.2f %.2f %.2f %.2f">\n', left, top, right - left, bottom - top)
-    return shapes.groupBy(*by).agg(view.alias("_view")).join(bodies, by).select(*by, F.concat("_view", "_body", F.lit("\n</svg>")).alias("text"))
+    element = lambda k, base: F.transform(k, lambda t, i: F.concat(F.lit(f'<{k[1:]} id="'), (base + i + 1).cast("string"), F.lit('" '), t))
+    after = [F.col("_n"), F.col("_n") + F.size("_g"), F.col("_n") + F.size("_g") + F.size("_path")]
+    body = F.concat(F.transform("_s", lambda s, i: rect(s, i + 1)), *[element(k, base) for k, base in zip(found, after, strict=True)])
+    edges = [F.transform("_s", lambda s: box(s)[0]), F.transform("_s", lambda s: box(s)[1]), F.transform("_s", lambda s: s["x"] + s["width"] / 2), F.transform("_s", lambda s: s["y"] + s["height"] / 2)]
+    ends = [F.array_min(e) for e in edges[:2]] + [F.array_max(e) for e in edges[2:]]
+    d = d.select(*by, body.alias("_body"), *[e.alias(n) for e, n in zip(ends, ("_l", "_t", "_r", "_b"), strict=True)])
+    view = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="%.2f %.2f %.2f %.2f">\n', F.col("_l"), F.col("_t"), F.col("_r") - F.col("_l"), F.col("_b") - F.col("_t"))
+    return d.select(*by, F.concat(view, F.array_join("_body", "\n"), F.lit("\n</svg>")).alias("text"))
 
 
 def problem_lines(terms: DataFrame, key: str = "matrix") -> DataFrame:

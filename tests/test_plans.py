@@ -27,6 +27,26 @@ def sorted_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_drawings_are_written_in_their_rows(spark, sorted_joins):
+    d = bindings.queries()["drawing_documents"](spark, SF_DIR)
+    assert "Join" not in plan(d) and plan(d).count("Exchange") == 1
+    shapes = spark.createDataFrame([(1, i, "strand", 10.0 * i, 0.0, 4.0, 2.0, "ffff00", None) for i in (5, 3)] + [(None, 1, "strand", 0.0, 0.0, 1.0, 1.0, "ffff00", "x")], "k long, id long, kind string, x double, y double, width double, height double, fill string, label string")
+    clusters = spark.createDataFrame([(1, c, i, "eeeeee") for c, i in (("b%", 3), ("b%", 5), ("a<", 5), ("none", 9))] + [(2, "lost", 1, "eeeeee")], "k long, cluster string, id long, fill string")
+    lines = spark.createDataFrame([(1, 5, 3, 0.0, 0.0, 1.0, 1.0, "TOP", "LEFT", "00%d00"), (1, 5, 9, 0.0, 0.0, 1.0, 1.0, "TOP", "LEFT", "000000")], "k long, src long, dst long, x1 double, y1 double, x2 double, y2 double, src_port string, dst_port string, colour string")
+    guides = spark.createDataFrame([(1, 0, "x", 3), (1, 0, "x", 5)], "k long, guide int, axis string, id long")
+    (row,) = sinks.svg_drawing(shapes, clusters, lines, guides, ["k"]).collect()
+    assert row.text.split("\n") == [
+        '<svg xmlns="http://www.w3.org/2000/svg" viewBox="28.00 -1.00 24.00 2.00">',
+        '<rect id="1" class="strand" x="28.00" y="-1.00" width="4.00" height="2.00" fill="#ffff00"><title></title></rect>',
+        '<rect id="2" class="strand" x="48.00" y="-1.00" width="4.00" height="2.00" fill="#ffff00"><title></title></rect>',
+        '<g id="3" class="cluster" data-members="2" fill="#eeeeee"><title>a&lt;</title></g>',
+        '<g id="4" class="cluster" data-members="1 2" fill="#eeeeee"><title>b%</title></g>',
+        '<path id="5" class="connector" d="M 0.00 0.00 L 1.00 1.00" data-src="2" data-src-port="TOP" data-dst="1" data-dst-port="LEFT" stroke="#00%d00"/>',
+        '<constraint id="6" type="alignment" axis="x" members="1 2"/>',
+        "</svg>",
+    ]
+
+
 def test_drawings_are_placed_together(spark):
     """Many drawings at once get the places of each alone, with pairs missing, given twice or to strangers, and boxes in the way."""
     rng = random.Random(7)
