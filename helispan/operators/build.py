@@ -22,13 +22,14 @@ def long_enough(segments: DataFrame, least: int) -> DataFrame:
 
 
 def chosen(segments: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
-    """The segments, chains or domains of a list (P5)."""
-    return segments.join(ids.select(*key).distinct(), key, "left_semi")
+    """The segments, chains or domains of a list (P5); a task holds its part of the list, and segments pass it unsorted."""
+    return segments.join(ids.select(*key).distinct().hint("shuffle_hash"), key, "left_semi")
 
 
 def unknown(segments: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
-    """Listed ids that name nothing, which is an error of the list (P5)."""
-    return ids.select(*key).distinct().join(segments, key, "left_anti")
+    """Listed ids that name nothing, which is an error of the list (P5); ids are held against those found, not against all segments."""
+    found = chosen(segments.select(*key), ids, key).distinct()
+    return ids.select(*key).distinct().join(found.hint("shuffle_hash"), key, "left_anti")
 
 
 def useful_chains(segments: DataFrame, by: list[str], with_310: bool = False, with_pi: bool = False) -> DataFrame:

@@ -27,6 +27,14 @@ def sorted_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_lists_pass_unsorted(spark, sorted_joins):
+    s = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (None, 5)], "k long, lo long")
+    ids = spark.createDataFrame([(1,), (1,), (7,), (None,)], "k long")
+    found, missing = build.chosen(s, ids, ["k"]), build.unknown(s, ids, ["k"])
+    assert sorted(r.lo for r in found.collect()) == [10, 11] and sorted(repr(r.k) for r in missing.collect()) == ["7", "None"]
+    assert "SortMergeJoin" not in plan(found) + plan(missing)
+
+
 @pytest.mark.parametrize("name", ["dssp_bonds", "dssp_bridges", "dssp_residues"])
 def test_residue_lines_are_made_once(spark, name):
     """What is asked of a line's fields is not asked of the expression that makes the line."""
