@@ -16,10 +16,19 @@ def runs(df: DataFrame, by: list[str], order: list[str], code: str) -> DataFrame
 
 
 def segments(df: DataFrame, by: list[str], number: str) -> DataFrame:
-    """Intervals of consecutive integers: by, lo, hi, n."""
+    """Intervals of consecutive integers: by, lo, hi, n (W8); repeated integers count once, and nulls are one interval.
+
+    Rows are sorted once and none are kept beside them: an interval begins and ends where the integers before and after
+    leave a gap, and its length follows from its ends.
+    """
     w = Window.partitionBy(*by).orderBy(number)
-    d = df.select(*by, number).distinct().withColumn("_island", F.col(number) - F.row_number().over(w))
-    return d.groupBy(*by, "_island").agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count("*").alias("n")).drop("_island")
+    x, before, after = F.col(number), F.lag(number).over(w), F.lead(number).over(w)
+    d = df.select(*by, number, ((F.row_number().over(w) == 1) | ~x.eqNullSafe(before)).alias("_new")).where("_new")
+    # Of distinct integers; a null comes before all and is apart from them.
+    first, last = F.coalesce(x - before > 1, F.lit(True)), F.coalesce(after - x > 1, F.lit(True))
+    d = d.select(*by, number, first.alias("_first"), last.alias("_last")).where("_first or _last")
+    d = d.select(*by, x.alias("lo"), F.when(F.col("_last"), x).otherwise(after).alias("hi"), "_first").where("_first")
+    return d.select(*by, "lo", "hi", F.coalesce((F.col("hi") - F.col("lo")).cast("long") + 1, F.lit(1)).alias("n"))
 
 
 def gaps(intervals: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:

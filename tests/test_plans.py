@@ -27,6 +27,15 @@ def sorted_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_segments_are_sorted_once(spark):
+    """Intervals and gaps of repeated integers, nulls and a null group; no table of all rows is held."""
+    d = spark.createDataFrame([("a", x) for x in (5, 5, 6, 9, 9, None, None, 7, -1)] + [("b", 3), (None, 1), (None, 2)], "k string, x long").repartition(3)
+    found = runs.segments(d, ["k"], "x")
+    assert {tuple(r) for r in found.collect()} == {("a", None, None, 1), ("a", -1, -1, 1), ("a", 5, 7, 3), ("a", 9, 9, 1), ("b", 3, 3, 1), (None, 1, 2, 2)}
+    assert {tuple(r) for r in runs.gaps(found.where("lo is not null"), ["k"], "lo", "hi").collect()} == {("a", 0, 4), ("a", 8, 8)}
+    assert "HashAggregate" not in plan(found) and plan(found).count("Sort [") == 1
+
+
 def test_lists_pass_unsorted(spark, sorted_joins):
     s = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (None, 5)], "k long, lo long")
     ids = spark.createDataFrame([(1,), (1,), (7,), (None,)], "k long")
