@@ -7,14 +7,15 @@ begins with rare tokens, told by a table of counts of all tokens by hash bucket.
 * A linked set has most of its tokens in common with another. So of the first tokens of each set, twice
   as many as may be its own, it is counted which are found in any other set; a set with too many of its
   own has no partner and is alone.
-* Prefix rule: two sets within the threshold share a token among the first few of each.
+* Prefix rule: two sets within the threshold share several tokens, not just one, among the first few
+  of each; the larger the sets, the more.
 
-Sets connected by shared prefix tokens are put in order of their least token and cut into groups of
-similar sets. A group's row of the token-group matrix is the union of its tokens, and beside each
-token a word with a bit for every set that holds it. A sketch of the union, a bit map of hash buckets,
-bounds the overlap of any two groups from above before any token moves; only for pairs of groups
-that can hold partners rows are opened, and there the unions bound each set's overlap once more
-before intersections are counted. All counts are exact integers.
+Sets are put in order of their least token and cut into groups of sets that a sketch, a bit map of hash
+buckets, lets be similar to the group's first. A group's row of the token-group matrix is the union of
+its tokens, and beside each token a word with a bit for every set that holds it. Only groups that share
+enough tokens of their sets' prefixes meet, so sets that are merely chained together by single tokens
+move nothing; where two groups meet, their rows are opened, and there the unions bound each set's
+overlap once more before intersections are counted. All counts are exact integers.
 
 Sets are compared by 64-bit hashes of shingles, and told apart by a 64-bit hash of the set; two
 different ones among n fall together with a chance of about n * n / 2**65.
@@ -48,6 +49,8 @@ PANEL_TOKENS = 400_000
 BUCKETS = 1 << 20
 ROW = 1 << 12
 STEPS = 8
+#: Groups of one least token that may still grow.
+OPEN = 16
 #: Tables up to so many rows of two or three numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -120,9 +123,18 @@ def first_tokens(tokens: np.ndarray, common: np.ndarray, count: int) -> np.ndarr
     return tokens[np.argpartition(key, count - 1)[:count]]
 
 
+def prefix_share(n: int, percent: int) -> int:
+    """How many tokens two linked sets, the smaller of ``n`` tokens, have in common in their prefixes at least."""
+    return own_tokens(n, percent) // 2 + 1
+
+
 def prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set of which two sets within the threshold share one."""
-    return first_tokens(tokens, common, own_tokens(len(tokens), percent) + 1)
+    """The first tokens of a set, of which two sets within the threshold share ``prefix_share``.
+
+    Two linked sets have all but ``own_tokens`` of either in common, so the first k of the common ones
+    are among the first own_tokens + k of each.
+    """
+    return first_tokens(tokens, common, own_tokens(len(tokens), percent) + prefix_share(len(tokens), percent))
 
 
 def _shared(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -186,80 +198,6 @@ def _shared(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFr
     return each.groupBy("sid").agg(F.sum("shared").alias("shared"))
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["src", "dst"])
-
-
-def _candidates(tokens: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """Edges ``src, dst`` that connect all sets with a prefix token in common, as stars around one of them.
-
-    Sets of a batch are linked before the shuffle and only one of them goes on, so that a token that
-    many sets share moves few rows.
-    """
-    table = tokens.sparkSession.sparkContext.broadcast(common)
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            found = [prefix(values[i:j], table.value, percent) for i, j in zip(at[:-1], at[1:], strict=True)]
-            if not found:
-                continue
-            token, sid = np.concatenate(found).view(np.int64), np.repeat(batch.column(0).to_numpy(), [len(t) for t in found])
-            order = np.lexsort((sid, token))
-            token, sid = token[order], sid[order]
-            first = np.concatenate(([True], token[1:] != token[:-1]))
-            root = sid[first][np.cumsum(first) - 1]
-            linked = _pairs(sid[sid != root], root[sid != root])
-            src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
-            key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
-            columns = (np.concatenate([token[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "src", "dst"])
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            token, src, dst = (batch.column(i).to_numpy() for i in range(3))
-            done = src != dst
-            yield _pairs(src[done], dst[done])
-            token, src = token[~done], src[~done]
-            if not len(token):
-                continue
-            first = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
-            roots = src[first] if first[0] else np.concatenate(([held], src[first]))
-            root = roots[np.cumsum(first) - (1 if first[0] else 0)]
-            yield _pairs(src[src != root], root[src != root])
-            last, held = token[-1], root[-1]
-
-    posted = tokens.select("sid", "tokens").mapInArrow(postings, "token long, src long, dst long")
-    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(links, "src long, dst long")
-
-
-def _grouped(active: DataFrame) -> DataFrame:
-    """Adds ``gid`` and ``panel`` to sets with a component: groups of one component, of similar sets where they are many."""
-    columns = ["component", "sid", "n", "copies"]
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid = panel = TaskContext.get().partitionId() << 32
-        of, count, tokens, groups, held = None, 0, 0, 0, 0
-        for batch in batches:
-            gids, panels = [], []
-            for component, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if component != of or count == GROUP or tokens + n > GROUP_TOKENS:
-                    gid, count, tokens, groups = gid + 1, 0, 0, groups + 1
-                    if component != of or groups > PANEL or held + n > PANEL_TOKENS:
-                        panel, of, groups, held = panel + 1, component, 1, 0
-                count, tokens, held = count + 1, tokens + n, held + n
-                gids.append(gid)
-                panels.append(panel)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(gids, pa.int64()), pa.array(panels, pa.int64())], names=[*columns, "gid", "panel"])
-
-    keys = ["component", "least", "sid"]
-    ordered = active.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns)
-    return ordered.mapInArrow(number, "component long, sid long, n long, copies long, gid long, panel long")
-
-
 def sketch(tokens: np.ndarray) -> bytes:
     """A bit map of the hash buckets of a set's tokens, with four buckets or more for each."""
     size = max(64, 1 << (4 * max(len(tokens), 1) - 1).bit_length())
@@ -279,16 +217,56 @@ def most_common_tokens(a: bytes, n: int, b: bytes, m: int) -> int:
     return both + min(n - x, m - y)
 
 
-_MATRIX = "component long, panel long, gid long, low long, high long, sids array<long>, copies array<long>, ns array<long>, tokens array<long>, words array<long>, sketch binary, n_tokens long"
-
+def _grouped(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """``sid, copies, gid, panel``: groups of sets with one least token that may be similar to the group's first set."""
+    near = max(2 * percent - 100, 0)  # as two sets have that are linked with a third
 
-def _matrix(tokens: DataFrame) -> DataFrame:
-    """One row per group: its sets, the union of their tokens, a word of bits for each token, and the union's sketch."""
+    def similar(n: int, bits: bytes, m: int, others: bytes) -> bool:
+        most = near * max(n, m)
+        return 100 * min(n, m) >= most and 100 * most_common_tokens(bits, n, others, m) >= most
 
-    kinds = [("component", pa.int64()), ("panel", pa.int64()), ("gid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("sids", "copies", "ns", "tokens", "words")), ("sketch", pa.binary()), ("n_tokens", pa.int64())]
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = panel = TaskContext.get().partitionId() << 32
+        of = last = None
+        groups = held = 0
+        leaders: list[list] = []  # gid, panel, sets, tokens; n and sketch of the first
+        for batch in batches:
+            cells = []
+            for least, n, sid, copies, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sid == last:
+                    continue  # a set found by several tasks counts once
+                last = sid
+                if least != of:
+                    of, panel, groups, held, leaders = least, panel + 1, 0, 0, []
+                if groups and held + n > PANEL_TOKENS:
+                    panel, groups, held, leaders = panel + 1, 0, 0, []
+                fit = next((g for g in leaders if g[2] < GROUP and g[3] + n <= GROUP_TOKENS and similar(n, bits, g[4], g[5])), None)
+                if fit is None:
+                    if groups == PANEL:
+                        panel, groups, held, leaders = panel + 1, 0, 0, []
+                    made, groups = made + 1, groups + 1
+                    fit = [made, panel, 0, 0, n, bits]
+                    leaders = [*leaders[-OPEN + 1 :], fit]
+                fit[2], fit[3], held = fit[2] + 1, fit[3] + n, held + n
+                cells.append((sid, copies, fit[0], fit[1]))
+            yield batch_of(cells, [(c, pa.int64()) for c in ("sid", "copies", "gid", "panel")])
+
+    keys = ["least", "n", "sid"]
+    sets = materialize(tokens.select("sid", "sketch").join(alive.select("sid", "least", "n", "copies"), "sid"), "sketches")
+    ordered = sets.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, "copies", "sketch")
+    return ordered.mapInArrow(number, "sid long, copies long, gid long, panel long")
+
+
+_MATRIX = "panel long, gid long, low long, high long, sids array<long>, copies array<long>, ns array<long>, tokens array<long>, words array<long>, first array<long>"
+
+
+def _matrix(tokens: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """One row per group: its sets, the union of their tokens, a word of bits for each token, and the union of their prefixes."""
+    table = tokens.sparkSession.sparkContext.broadcast(common)
+    kinds = [*((c, pa.int64()) for c in ("panel", "gid", "low", "high")), *((c, pa.list_(pa.int64())) for c in ("sids", "copies", "ns", "tokens", "words", "first"))]
 
     def row(batch: pa.RecordBatch) -> list:
-        sid, lists = batch.column(3).to_numpy(), batch.column(5)
+        sid, lists = batch.column(2).to_numpy(), batch.column(4)
         _, first = np.unique(sid, return_index=True)  # a set found by several tasks counts once
         at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         sets = [values[at[i] : at[i + 1]] for i in first]
@@ -296,14 +274,15 @@ def _matrix(tokens: DataFrame) -> DataFrame:
         union, column = np.unique(np.concatenate(sets), return_inverse=True)
         words = np.zeros(len(union), np.uint64)
         np.bitwise_or.at(words, column, np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), n))
-        heads = [batch.column(i)[0].as_py() for i in range(3)]
-        return [*heads, int(n.min()), int(n.max()), sid[first], batch.column(4).to_numpy()[first], n, union, words.view(np.int64), sketch(union.view(np.uint64)), len(union)]
+        prefixes = np.unique(np.concatenate([prefix(s.view(np.uint64), table.value, percent) for s in sets]))
+        heads = [batch.column(i)[0].as_py() for i in range(2)]
+        return [*heads, int(n.min()), int(n.max()), sid[first], batch.column(3).to_numpy()[first], n, union, words.view(np.int64), prefixes.view(np.int64)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held = [], 0
-        for batch in runs(batches, 2):
+        for batch in runs(batches, 1):
             made.append(row(batch))
-            held += made[-1][-1]
+            held += len(made[-1][-3])
             if held >= PANEL_TOKENS:
                 yield batch_of(made, kinds)
                 made, held = [], 0
@@ -314,10 +293,10 @@ def _matrix(tokens: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """``sid, tokens`` of the sets asked for by text_key and sid, from one text of each (of each task)."""
+    """``sid, tokens, sketch`` of the sets asked for by text_key and sid, from one text of each (of each task)."""
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
     texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(asked, "text_key")
-    kinds = [("sid", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    kinds = [("sid", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -328,39 +307,31 @@ def _tokens(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 for s, t in zip(sids[at : at + len(off) - 1], shingle_hashes(*hashed_words(off, raw), k), strict=True):
                     if len(t) and s not in known and _sid(t) == s:
                         known.add(s)
-                        rows.append((s, t.view(np.int64)))
+                        rows.append((s, t.view(np.int64), sketch(t)))
                 yield batch_of(rows, kinds)
 
-    return texts.select("sid", "text").mapInArrow(tokens, "sid long, tokens array<long>")
+    return texts.select("sid", "text").mapInArrow(tokens, "sid long, tokens array<long>, sketch binary")
 
 
 def _opened(matrix: DataFrame, percent: int) -> DataFrame:
-    """``x, y, gid, second``: groups to open for a pair of panels, those whose sketches leave room for a link.
+    """``x, y, gid, second``: groups to open for a pair of panels, those that share enough of their prefixes.
 
-    Only panels of one component meet, and what meets are sketches.
+    Groups of one panel all meet; a panel of one set meets nothing by itself.
     """
-    heads = matrix.select("component", "panel", "gid", "low", "high", "sketch", "n_tokens")
-    sizes = heads.groupBy("component", "panel").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    a, b = sizes.alias("a"), sizes.alias("b")
+    posted = matrix.select("gid", "low", "high", F.explode("first").alias("token"))
+    a, b = posted.alias("a"), posted.alias("b")
     near = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.panel") < F.col("b.panel")) & near).select(F.col("a.panel").alias("x"), F.col("b.panel").alias("y"))
-    sides = pairs.select("x", "y", F.col("x").alias("panel"), F.lit(False).alias("second")).unionByName(pairs.select("x", "y", F.col("y").alias("panel"), F.lit(True).alias("second")))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, 0, 1):
-            cells = batch.to_pylist()
-            one, two = [c for c in cells if not c["second"]], [c for c in cells if c["second"]]
-            found = set()
-            for p in one:
-                for q in two:
-                    need = max(p["low"], q["low"])
-                    if 100 * min(p["high"], q["high"]) >= percent * need and 100 * most_common_tokens(p["sketch"], p["n_tokens"], q["sketch"], q["n_tokens"]) >= percent * need:
-                        found |= {(p["gid"], False), (q["gid"], True)}
-            yield batch_of([[cells[0]["x"], cells[0]["y"], *f] for f in sorted(found)], [("x", pa.int64()), ("y", pa.int64()), ("gid", pa.int64()), ("second", pa.bool_())])
-
-    met = sides.join(heads, "panel").select("x", "y", "second", "gid", "low", "high", "sketch", "n_tokens")
-    across = met.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(rows, "x long, y long, gid long, second boolean")
-    within = heads.select(F.col("panel").alias("x"), F.col("panel").alias("y"), "gid", F.lit(False).alias("second"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid")) & near)
+    least = F.least("a.low", "b.low")
+    pairs = met.groupBy(F.col("a.gid").alias("p"), F.col("b.gid").alias("q")).agg(F.count("*").alias("shared"), F.min(least).alias("least"))
+    enough = F.col("shared") > F.floor((F.col("least") - F.ceil(F.lit(percent) * F.col("least") / 100)) / 2)  # prefix_share
+    heads = matrix.select("gid", "panel", F.size("sids").alias("sets"))
+    panels = heads.select("gid", "panel")
+    kept = pairs.where(enough).select("p", "q").join(panels.toDF("p", "x"), "p").join(panels.toDF("q", "y"), "q").where("x <> y")
+    sides = F.explode(F.array(F.struct(F.col("p").alias("gid"), F.lit(False).alias("second")), F.struct(F.col("q").alias("gid"), F.lit(True).alias("second")))).alias("side")
+    across = kept.select("x", "y", sides).select("x", "y", "side.gid", "side.second").distinct()
+    several = heads.groupBy("panel").agg(F.sum("sets").alias("sets")).where("sets > 1").select("panel")
+    within = heads.join(several, "panel").select(F.col("panel").alias("x"), F.col("panel").alias("y"), "gid", F.lit(False).alias("second"))
     return within.unionByName(across)
 
 
@@ -416,9 +387,10 @@ def _verified(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     return links.rows(np.concatenate(lists("sids")))
 
 
-def _links(tokens: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+def _links(tokens: DataFrame, grouped: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     """``src, dst, links``: connects each linked set with one of its sets, and counts its links in all rows."""
-    matrix = materialize(_matrix(tokens.join(grouped, "sid").select("component", "panel", "gid", "sid", "copies", "tokens")), "matrix")
+    groups = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped
+    matrix = materialize(_matrix(tokens.select("sid", "tokens").join(groups, "sid").select("panel", "gid", "sid", "copies", "tokens"), common, percent), "matrix")
     opened = materialize(_opened(matrix, percent), "opened")
     asked = F.broadcast(opened) if opened.count() <= BROADCAST_ROWS else opened
 
@@ -445,9 +417,8 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     first_n = F.least(F.col("n"), 2 * own_most + 2)
     alive = materialize(each.join(_shared(docs, common, k, percent), "sid").where(first_n - F.col("shared") <= own_most).drop("shared"), "alive")
     tokens = materialize(_tokens(docs, alive.select("text_key", "sid"), k), "tokens")
-    near = connected_components(_candidates(tokens, common, percent)).withColumnRenamed("node", "sid")
-    grouped = materialize(_grouped(alive.join(near, "sid")), "groups")
-    links = finished(spark, lambda: _links(tokens, grouped, percent), "links")
+    grouped = materialize(_grouped(tokens, alive, percent), "groups")
+    links = finished(spark, lambda: _links(tokens, grouped, common, percent), "links")
     joined = connected_components(links).withColumnRenamed("node", "sid")
     counts = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
     part = each.join(joined, "sid", "left").join(counts, "sid", "left").where("copies > 1 or component is not null")

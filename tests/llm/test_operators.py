@@ -125,6 +125,51 @@ def test_jaccard_prefixes_share(percent):
     assert within > 300
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_prefixes_share_several(percent):
+    """Two linked sets have as many prefix tokens in common as groups have to share in order to meet."""
+    rng = np.random.default_rng(percent)
+    common = rng.integers(0, 9, jaccard.BUCKETS).astype(np.uint8)
+    within = 0
+    for _ in range(600):
+        n = int(2 ** rng.uniform(0, 10))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        gone, more = (int(x) for x in rng.integers(0, n // 6 + 1, 2))
+        b = np.unique(np.concatenate([np.delete(a, rng.permutation(n)[:gone]), rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            within += 1
+            met = np.intersect1d(jaccard.prefix(a, common, percent), jaccard.prefix(b, common, percent))
+            assert len(met) >= jaccard.prefix_share(min(len(a), len(b)), percent)
+    assert within > 100
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 40])
+def test_jaccard_chained_sets_do_not_meet(spark, monkeypatch, bound):
+    """Any two texts share one passage of eleven at most, so all are chained; only near copies meet."""
+    p, rows = 11, []
+    passages = [[f"w{i}x{j}" for j in range(30)] for i in range(p * p)]
+    for m in range(p):
+        for c in range(p):
+            rows.append((m * p + c, " ".join(w for x in range(p) for w in passages[x * p + (m * x + c) % p])))
+    rows += [(1000 + i, rows[i][1].replace("x29", "x99", 1)) for i in range(0, p * p, 9)]
+    opened, met = jaccard._opened, []
+
+    def counted(*args):
+        out = opened(*args)
+        met.append(out.where("x <> y").count())
+        return out
+
+    monkeypatch.setattr(jaccard, "_opened", counted)
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "PANEL", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", bound)
+    got = _sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == _sorted(brute.jaccard(rows))
+    assert sum(r[3] for r in got) == 2 * 14
+    assert met[0] <= 2 * 14
+
+
 def test_jaccard_sketch_bounds():
     rng = np.random.default_rng(0)
     for _ in range(300):
