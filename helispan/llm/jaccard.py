@@ -10,7 +10,7 @@ begins with rare tokens, told by a table of counts of all tokens by hash bucket.
 * Prefix rule: two sets within the threshold share several tokens, not just one, among the first few
   of each; the larger the sets, the more.
 
-Sets are put in order of their least token and cut into groups of sets that a sketch, a bit map of hash
+Sets connected by shared prefix tokens are put in order of their least token and dealt to groups of sets that a sketch, a bit map of hash
 buckets, lets be similar to the group's first. A group's row of the token-group matrix is the union of
 its tokens, and beside each token a word with a bit for every set that holds it. Only groups that share
 enough tokens of their sets' prefixes meet, so sets that are merely chained together by single tokens
@@ -49,7 +49,7 @@ PANEL_TOKENS = 400_000
 BUCKETS = 1 << 20
 ROW = 1 << 12
 STEPS = 8
-#: Groups of one least token that may still grow.
+#: Groups of a component that may still grow.
 OPEN = 16
 #: Tables up to so many rows of two or three numbers are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -198,6 +198,56 @@ def _shared(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFr
     return each.groupBy("sid").agg(F.sum("shared").alias("shared"))
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["src", "dst"])
+
+
+def _candidates(tokens: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect all sets with a prefix token in common, as stars around one of them.
+
+    Sets of a batch are linked before the shuffle and only one of them goes on, so that a token that
+    many sets share moves few rows.
+    """
+    table = tokens.sparkSession.sparkContext.broadcast(common)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            found = [prefix(values[i:j], table.value, percent) for i, j in zip(at[:-1], at[1:], strict=True)]
+            if not found:
+                continue
+            token, sid = np.concatenate(found).view(np.int64), np.repeat(batch.column(0).to_numpy(), [len(t) for t in found])
+            order = np.lexsort((sid, token))
+            token, sid = token[order], sid[order]
+            first = np.concatenate(([True], token[1:] != token[:-1]))
+            root = sid[first][np.cumsum(first) - 1]
+            linked = _pairs(sid[sid != root], root[sid != root])
+            src, dst = linked.column(0).to_numpy(), linked.column(1).to_numpy()
+            key = mix(mix(src.view(np.uint64)) + dst.view(np.uint64)).view(np.int64)
+            columns = (np.concatenate([token[first], key]), np.concatenate([sid[first], src]), np.concatenate([sid[first], dst]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "src", "dst"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            token, src, dst = (batch.column(i).to_numpy() for i in range(3))
+            done = src != dst
+            yield _pairs(src[done], dst[done])
+            token, src = token[~done], src[~done]
+            if not len(token):
+                continue
+            first = np.concatenate(([last is None or token[0] != last], token[1:] != token[:-1]))
+            roots = src[first] if first[0] else np.concatenate(([held], src[first]))
+            root = roots[np.cumsum(first) - (1 if first[0] else 0)]
+            yield _pairs(src[src != root], root[src != root])
+            last, held = token[-1], root[-1]
+
+    posted = tokens.select("sid", "tokens").mapInArrow(postings, "token long, src long, dst long")
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(links, "src long, dst long")
+
+
 def sketch(tokens: np.ndarray) -> bytes:
     """A bit map of the hash buckets of a set's tokens, with four buckets or more for each."""
     size = max(64, 1 << (4 * max(len(tokens), 1) - 1).bit_length())
@@ -218,7 +268,7 @@ def most_common_tokens(a: bytes, n: int, b: bytes, m: int) -> int:
 
 
 def _grouped(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    """``sid, copies, gid, panel``: groups of sets with one least token that may be similar to the group's first set."""
+    """``sid, copies, gid, panel``: groups of sets of one component that may be similar to the group's first set."""
     near = max(2 * percent - 100, 0)  # as two sets have that are linked with a third
 
     def similar(n: int, bits: bytes, m: int, others: bytes) -> bool:
@@ -232,12 +282,12 @@ def _grouped(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
         leaders: list[list] = []  # gid, panel, sets, tokens; n and sketch of the first
         for batch in batches:
             cells = []
-            for least, n, sid, copies, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for component, _, n, sid, copies, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sid == last:
                     continue  # a set found by several tasks counts once
                 last = sid
-                if least != of:
-                    of, panel, groups, held, leaders = least, panel + 1, 0, 0, []
+                if component != of:
+                    of, panel, groups, held, leaders = component, panel + 1, 0, 0, []
                 if groups and held + n > PANEL_TOKENS:
                     panel, groups, held, leaders = panel + 1, 0, 0, []
                 fit = next((g for g in leaders if g[2] < GROUP and g[3] + n <= GROUP_TOKENS and similar(n, bits, g[4], g[5])), None)
@@ -246,13 +296,13 @@ def _grouped(tokens: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
                         panel, groups, held, leaders = panel + 1, 0, 0, []
                     made, groups = made + 1, groups + 1
                     fit = [made, panel, 0, 0, n, bits]
-                    leaders = [*leaders[-OPEN + 1 :], fit]
+                leaders = [*[g for g in leaders if g is not fit][-OPEN + 1 :], fit]
                 fit[2], fit[3], held = fit[2] + 1, fit[3] + n, held + n
                 cells.append((sid, copies, fit[0], fit[1]))
             yield batch_of(cells, [(c, pa.int64()) for c in ("sid", "copies", "gid", "panel")])
 
-    keys = ["least", "n", "sid"]
-    sets = materialize(tokens.select("sid", "sketch").join(alive.select("sid", "least", "n", "copies"), "sid"), "sketches")
+    keys = ["component", "least", "n", "sid"]
+    sets = materialize(tokens.select("sid", "sketch").join(alive.select("sid", "component", "least", "n", "copies"), "sid"), "sketches")
     ordered = sets.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, "copies", "sketch")
     return ordered.mapInArrow(number, "sid long, copies long, gid long, panel long")
 
@@ -417,7 +467,8 @@ def _classes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     first_n = F.least(F.col("n"), 2 * own_most + 2)
     alive = materialize(each.join(_shared(docs, common, k, percent), "sid").where(first_n - F.col("shared") <= own_most).drop("shared"), "alive")
     tokens = materialize(_tokens(docs, alive.select("text_key", "sid"), k), "tokens")
-    grouped = materialize(_grouped(tokens, alive, percent), "groups")
+    near = connected_components(_candidates(tokens, common, percent)).withColumnRenamed("node", "sid")
+    grouped = materialize(_grouped(tokens, alive.join(near, "sid"), percent), "groups")
     links = finished(spark, lambda: _links(tokens, grouped, common, percent), "links")
     joined = connected_components(links).withColumnRenamed("node", "sid")
     counts = links.groupBy(F.col("src").alias("sid")).agg(F.sum("links").alias("links"))
