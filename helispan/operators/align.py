@@ -144,7 +144,7 @@ def _squares(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _grouped(one: pa.ListArray, two: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None]]:
+def _grouped(one: pa.ListArray, two: pa.ListArray, bundle: int = BUNDLE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None]]:
     """Rows whose matrices have equal orders, in bundles of bounded size, with both matrices and the codes they number.
 
     Cells are taken out of the batch once; a null matrix is an empty one.
@@ -162,23 +162,25 @@ def _grouped(one: pa.ListArray, two: pa.ListArray) -> Iterator[tuple[np.ndarray,
         values = [flat[: len(values[0])], flat[len(values[0]) :]]
     else:
         values = [v.cast(pa.float64()).to_numpy(zero_copy_only=False) for v in values]
-    shape = np.stack(sizes, axis=1)
-    for x, y in np.unique(shape, axis=0).tolist():
-        rows = np.flatnonzero((shape[:, 0] == x) & (shape[:, 1] == y))
+    shape = sizes[0] << 32 | sizes[1]
+    for xy in np.unique(shape).tolist():
+        x, y = xy >> 32, xy & 0xFFFFFFFF
+        rows = np.flatnonzero(shape == xy)
         n, m = order_of(x), order_of(y)
-        step = max(1, BUNDLE // max(1, (n * m) ** 2))
+        step = max(1, bundle // max(1, (n * m) ** 2))
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
             matrices = [_squares(v[b[some][:, None] + np.arange(k)], order) for v, b, k, order in zip(values, begins, (x, y), (n, m), strict=True)]
             yield some, *matrices, names
 
 
-def pairwise(database: DataFrame, queries: DataFrame, key: str, packed: str, compute: Callable[..., list[list]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+def pairwise(database: DataFrame, queries: DataFrame, key: str, packed: str, compute: Callable[..., list[list]], fields: list[tuple[str, str, pa.DataType]], bundle: int = BUNDLE) -> DataFrame:
     """``query_id, key`` and the fields that ``compute`` finds, for every query's packed matrix with every matrix of a database.
 
     ``queries`` has query_id and packed, a stated set; they go to the tasks in blocks, and the database, which is small
     beside the pairs, is dealt to ``TASKS`` tasks for each core, whatever the number of its files. ``compute`` gets the matrices of many pairs of equal orders and the codes they number (none for
-    angles), and returns a list of values for each field (name, SQL type, Arrow type). A null matrix is an empty one.
+    angles), and returns a list of values for each field (name, SQL type, Arrow type). ``bundle`` bounds
+    the places that the matrices given to it lay upon each other. A null matrix is an empty one.
     """
     kinds = queries.schema["query_id"].dataType.simpleString(), database.schema[key].dataType.simpleString()
     asked = queries.select("query_id", F.col(packed).alias("_query"))
@@ -188,7 +190,7 @@ def pairwise(database: DataFrame, queries: DataFrame, key: str, packed: str, com
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[None] * batch.num_rows for _ in fields]
-            for some, a, b, names in _grouped(batch.column(2), batch.column(3)):
+            for some, a, b, names in _grouped(batch.column(2), batch.column(3), bundle):
                 for column, found in zip(out, compute(a, b, names), strict=True):
                     for k, value in zip(some.tolist(), found, strict=True):
                         column[k] = value

@@ -23,6 +23,8 @@ STEPS, SHARPNESS, EVEN = 40, (0.2, 20.0), 12
 SEEDS = 24
 #: Matchings that are valued one and all, instead of by branch and bound.
 LISTED = 2_000
+#: Matchings without crossings that are valued one and all instead of a relaxation, and pairs of matrices for which that is done at once.
+COUNTED, TOGETHER = 20_000, 10_240
 
 
 def best_matching(w: np.ndarray, ordered: bool = True, products: bool = True) -> tuple[float, list[tuple[int, int]]]:
@@ -243,6 +245,58 @@ def relaxed_matchings(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, matched
 
 
+def ordered_matchings(a: np.ndarray, b: np.ndarray, names: list[str] | None, typed: bool, listed: bool) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """The greatest values of the problems of ``quadratic_forms`` with ``ordered``, and with ``listed`` the first matchings that have them: all matchings are valued, for all pairs of symmetric matrices together.
+
+    A matching is built up by its pairs, and for all that may follow them it is known what these would gain. Pairs of unlike types are worth PENALTY on their own, so that no matching with one is better than none.
+    Codes score small whole numbers, of which 16 bits hold the sums: more than eight pairs make more than ``COUNTED`` matchings.
+    """
+    count, m, n = len(a), a.shape[1], b.shape[1]
+    kind = np.dtype(float if names is None else np.int16)
+    table = None if names is None else code_table(names, False).astype(kind).ravel()
+    unlike = np.diagonal(a, axis1=1, axis2=2).T[:, None] != np.diagonal(b, axis1=1, axis2=2).T
+    # Places of both matrices as rows over the pairs; those of the first are rows of the table of scores.
+    a, b = (np.ascontiguousarray(x.transpose(1, 2, 0) * by) for x, by in ((a, 1 if names is None else len(names)), (b, 1)))
+
+    def after(i: int, j: int) -> np.ndarray:
+        """What the pair (i, j) adds to each pair of a later row and a later column."""
+        x, y = a[i, i + 1 :, None], b[j, None, j + 1 :]
+        if table is not None:
+            return table.take(x + y, mode="clip")
+        d = np.abs(np.degrees(x) - np.degrees(y))
+        return 45.0 - np.minimum(d, 360.0 - d)
+
+    adds = {(i, j): after(i, j) for i in range(m - 1) for j in range(n - 1)}
+    own = np.zeros((m, n, count), kind)
+    if typed:
+        own[unlike] = PENALTY
+    best, at = np.full(count, -1, kind), np.full(count, -1)
+    found: list[list[tuple[int, int]]] = []
+    room = [np.empty((m - k) * (n - k) * count, kind) for k in range(min(m, n))]
+
+    def decide(row: int, column: int, value: np.ndarray, gain: np.ndarray, taken: list[tuple[int, int]]) -> None:
+        """Matchings that go on from ``taken`` with the rows and columns of ``gain``, which start at ``row`` and ``column``."""
+        rows, columns = gain.shape[:2]
+        worth = gain.reshape(rows * columns, count)
+        most = worth.max(axis=0) + value
+        if listed:
+            more = np.flatnonzero(most > best)
+            at[more] = len(found) + worth[:, more].argmax(axis=0)
+            found.extend([*taken, (row + i, column + j)] for i in range(rows) for j in range(columns))
+        np.maximum(best, most, out=best)
+        for i in range(rows - 1):
+            for j in range(columns - 1):
+                left = (rows - i - 1, columns - j - 1, count)
+                further = room[len(taken) + 1][: math.prod(left)].reshape(left)
+                np.add(gain[i + 1 :, j + 1 :], adds[row + i, column + j], out=further)
+                decide(row + i + 1, column + j + 1, value + gain[i, j], further, [*taken, (row + i, column + j)])
+
+    decide(0, 0, np.zeros(count, kind), own, [])
+    # It refers to itself, which would keep all arrays until cycles are collected.
+    del decide
+    return np.maximum(best, 0).astype(float), [found[k] if k >= 0 else [] for k in at.tolist()] if listed else []
+
+
 _MATCHES = ("matches", "array<struct<i:int,j:int>>", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
 
 
@@ -272,25 +326,34 @@ def search_exact(database: DataFrame, queries: DataFrame, key: str = "target_id"
     return pairwise(database, queries, key, packed, compute, [("objective", "double", pa.float64()), _MATCHES])
 
 
-def search_relaxed(database: DataFrame, queries: DataFrame, key: str = "target_id", packed: str = "packed", typed: bool = True, ordered: bool = True) -> DataFrame:
-    """``query_id, key, objective, matches`` of every query's packed matrix with every matrix of a database by relaxation.
+def search_relaxed(
+    database: DataFrame, queries: DataFrame, key: str = "target_id", packed: str = "packed", typed: bool = True, ordered: bool = True, listed: bool = True
+) -> DataFrame:
+    """``query_id, key, objective, matches`` of every query's packed matrix with every matrix of a database (M6, M7, J7), without matches unless ``listed``.
 
     The objective is minimised: half the negative quadratic form, that is the negative scores of all places off
-    the diagonals, once for each two pairs. Empty and null matrices match nothing, at 0.
+    the diagonals, once for each two pairs. Empty and null matrices match nothing, at 0. Where at most ``COUNTED`` matchings do not cross, as of
+    eight by eight, the best of all is found (``ordered_matchings``); other problems are solved by relaxation.
     """
 
     def compute(a: np.ndarray, b: np.ndarray, names: list[str] | None) -> list[list]:
         m, n = a.shape[1], b.shape[1]
         if not m or not n:
-            return [[0.0] * len(a), [[]] * len(a)]
+            return [[0.0] * len(a), [[]] * len(a)][: 1 + listed]
         kinds = [np.diagonal(x, axis1=1, axis2=2) for x in (a, b)]
-        values, listed = [], []
-        step = max(1, BUNDLE // (8 * (m * n) ** 2))
+        counted = ordered and math.comb(m + n, m) <= COUNTED
+        values, matches = [], []
+        step = (TOGETHER if names is not None else TOGETHER >> 2) if counted else max(1, BUNDLE // (8 * (m * n) ** 2))
         for at in range(0, len(a), step):
-            scores = place_scores(a[at : at + step], b[at : at + step], names, False)
-            best, matched = relaxed_matchings(quadratic_forms(scores, kinds[0][at : at + step], kinds[1][at : at + step], typed, ordered))
+            one, two = a[at : at + step], b[at : at + step]
+            if counted:
+                best, found = ordered_matchings(one, two, names, typed, listed)
+                matches += [[{"i": i, "j": j} for i, j in own] for own in found]
+            else:
+                scores = place_scores(one, two, names, False)
+                best, matched = relaxed_matchings(quadratic_forms(scores, kinds[0][at : at + step], kinds[1][at : at + step], typed, ordered))
+                matches += _listed(matched) if listed else []
             values += (-best + 0.0).tolist()
-            listed += _listed(matched)
-        return [values, listed]
+        return [values, matches][: 1 + listed]
 
-    return pairwise(database, queries, key, packed, compute, [("objective", "double", pa.float64()), _MATCHES])
+    return pairwise(database, queries, key, packed, compute, [("objective", "double", pa.float64()), _MATCHES][: 1 + listed], TOGETHER << 12)
